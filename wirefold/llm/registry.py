@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
-import importlib.util
-
 from pyspark.sql import functions as F
 
 END_ID = 2
@@ -29,8 +26,79 @@ def op5_token_binary(spark, sf_dir):
     return token_binary(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
 
+def _remainder(divisor: int):
+    """crc32 of the doc_id's decimal text modulo ``divisor``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op2_language_id(spark, sf_dir):
+    from .language_id import predict, train
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_remainder(4) == 2, F.lit(False)))
+    model = train(docs.where("NOT held_out"))
+    out = predict(docs.select("doc_id", "text", "held_out"), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+
+
+def op7_toxicity(spark, sf_dir):
+    from .toxicity import predict, train
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_remainder(3) == 1, F.lit(False)))
+    model = train(docs.where("NOT held_out"), table(spark, sf_dir, "labels"))
+    return predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_ngram_join(spark, sf_dir):
+    from .ngram_join import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", "n_links", "kept")
+
+
+def op10_repeat_index(spark, sf_dir):
+    from .repeat_index import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op1_pivot_index(spark, sf_dir):
+    from .pivot_index import near_vectors
+
+    out = near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return out.select("vec_id", "n_links", "component_id", "kept")
+
+
+def op3_chat_format(spark, sf_dir):
+    from .chat_format import format_transcripts, train, transcripts
+
+    turns = table(spark, sf_dir, "conversations")
+    out = format_transcripts(transcripts(turns), train(turns))
+    return out.select(
+        "conv_id", "part", "n_turns", F.array_join("roles", ",").alias("roles"), F.array_join("truth", ",").alias("truth"),
+        F.sha2("chat", 256).alias("chat_sha256"),
+    )
+
+
+def op6_license_scan(spark, sf_dir):
+    from .license_scan import scan_licenses
+
+    out = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op9_decontaminate(spark, sf_dir):
+    from .decontaminate import decontaminate
+
+    out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "coverage", "item_id", "n_tiles", "items", "contaminated")
+
+
 def queries() -> dict:
-    found = [op4_mixing, op5_token_binary]
+    found = [
+        op1_pivot_index, op2_language_id, op3_chat_format, op4_mixing, op5_token_binary, op6_license_scan, op7_toxicity,
+        op8_ngram_join, op9_decontaminate, op10_repeat_index,
+    ]
     return {f.__name__: f for f in found}
 
 

@@ -149,3 +149,47 @@ def shingles(w: dict[str, np.ndarray], k: int = 5) -> tuple[np.ndarray, np.ndarr
         part = code[first[i] : first[i + 1]]
         out[offsets[i]] = mix(np.array([int(grams(part, len(part))[0]) ^ len(part)], np.uint64))[0]
     return out, offsets
+
+
+def complete_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups and a group number per row, from rows sorted by ``keys``."""
+    pending: list[pa.RecordBatch] = []
+    held = 0
+
+    def numbered(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        for k in keys:
+            v = table[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.cumsum(new)
+
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            part = batch.slice(a, rows)
+            pending.append(part)
+            held += part.num_rows
+            if held < rows:
+                continue
+            table = pa.Table.from_batches(pending)
+            group = numbered(table)
+            cut = int(np.searchsorted(group, group[-1])) if len(group) else 0
+            if cut:
+                yield table.slice(0, cut), group[:cut]
+                pending = table.slice(cut).to_batches()
+                held = table.num_rows - cut
+    if held:
+        table = pa.Table.from_batches(pending)
+        yield table, numbered(table)
+
+
+def pairs_at(group: np.ndarray, distance: int) -> np.ndarray:
+    """Rows i whose row i + distance is in the same group."""
+    return np.flatnonzero(group[:-distance] == group[distance:]) if distance < len(group) else np.empty(0, np.int64)
+
+
+def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """A list column of constant length as a matrix."""
+    column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)

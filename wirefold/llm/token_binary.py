@@ -37,6 +37,10 @@ _TAIL = ",.!?;:|*#$%&)"
 _INNER = re.compile(r"\s \s")
 
 
+class _Odd(Exception):
+    """A piece is empty, or has white space at an end: its text may hold _INNER."""
+
+
 class _Units(dict):
     """Ids (as bytes) of a space-separated piece, encoded on first use.
 
@@ -50,16 +54,21 @@ class _Units(dict):
         super().__init__()
         self.tokenizer, self.dtype, self.lead = tokenizer, dtype, lead
         self.plain: _Units = self
+        self.odd = False  # odd pieces are allowed: the text holds no _INNER
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            if not self.odd:
+                raise _Odd
+            return self.ids(self.lead + piece)
         if len(self) >= self.LIMIT:
             self.clear()
         left, line, right = piece.partition("\n")
         if line and left and right and not left[-1].isspace() and not right[0].isspace():
-            out = self[left] + self.plain["\n"] + self.plain[right]
+            out = self[left] + self.line + self.plain[right]
         else:
             word = piece.rstrip(_TAIL)
             if word != piece and word.isalpha():
@@ -89,13 +98,32 @@ class Encoder:
         self.first = _Units(self.tokenizer, self.dtype, "")
         self.rest = _Units(self.tokenizer, self.dtype, " ")
         self.rest.plain = self.first
+        self.first.line = self.rest.line = self.first.ids("\n")
 
     def encode(self, text: str) -> bytes:
         """Ids of one text as bytes of ``dtype``."""
-        if not self.by_piece or _INNER.search(text):
+        if not self.by_piece or not text:
             return self.first.ids(text)
         head, *tail = text.split(" ")
-        return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
+        try:
+            return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
+        except _Odd:
+            if _INNER.search(text):
+                return self.first.ids(text)
+        self.first.odd = self.rest.odd = True
+        out = self.first[head] + b"".join(map(self.rest.__getitem__, tail))
+        self.first.odd = self.rest.odd = False
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder: kept, with its pieces, for the tasks that follow."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _open(path: str):
@@ -139,7 +167,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, dtype = Encoder(tokenizer_path), np.dtype(f"<u{width}")
+        encoder, dtype = encoder_of(tokenizer_path), np.dtype(f"<u{width}")
         end = np.array([end_id], dtype).tobytes()
         part = TaskContext.get().partitionId()
         ids: list[bytes] = []
