@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import extended
 from .textvec import complete_groups
 
 ROLES = ["system", "user", "assistant"]
@@ -101,7 +102,9 @@ def fit(sequences: list[list[tuple[int, list[str]]]], marker_noise: float = 0.02
 
 def viterbi(model: Model, kinds: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Likeliest state sequence (ties: the lower state)."""
-    emit = model.marker[:, kinds] + model.length[:, sizes] + model.ending[:, ends]
+    emit = model.length[:, sizes] + model.ending[:, ends]
+    if kinds.any():  # in a transcript without any marker their absence tells nothing
+        emit = emit + model.marker[:, kinds]
     n = emit.shape[1]
     if not n:
         return np.empty(0, np.int64)
@@ -165,7 +168,7 @@ def format_transcripts(transcripts: DataFrame, model: Model, column: str = "text
     the added names are replaced; an empty table stays empty.
     """
     names = [c for c in transcripts.columns if c not in ("roles", "n_turns", "chat")]
-    schema = transcripts.select(*names).schema.add("roles", "array<string>").add("n_turns", "int").add("chat", "string")
+    schema = extended(transcripts.select(*names).schema, "roles array<string>, n_turns int, chat string")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A side is broadcast only when a count has shown it has at most this many
 #: narrow rows (a few machine words each), so at most some tens of MB.
@@ -38,6 +39,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(schema: StructType, ddl: str) -> StructType:
+    """``schema`` with the columns of a DDL string behind its own."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def bounded_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is.
 

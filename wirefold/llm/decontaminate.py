@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import extended
 from .textvec import grams, sliced, view, words
 
 K = 5
@@ -150,9 +151,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold:
     """
     added = ["coverage", "item_id", "n_tiles", "items", "contaminated"]
     names = [c for c in docs.columns if c not in added]
-    schema = docs.select(*names).schema
-    for name, kind in zip(added, ("double", "long", "int", "array<long>", "boolean")):
-        schema = schema.add(name, kind)
+    schema = extended(docs.select(*names).schema, "coverage double, item_id long, n_tiles int, items array<bigint>, contaminated boolean")
     out = docs.select(*names, F.lit(0.0).alias("coverage"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("n_tiles"), F.array().cast("array<long>").alias("items"), F.lit(False).alias("contaminated"))
     context = docs.sparkSession.sparkContext
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, written
+from .common import bounded_broadcast, extended, written
 from .textvec import grams, sliced, view, words
 
 K = 2
@@ -62,6 +62,16 @@ def template_rows(templates: list[str], k: int) -> list[tuple[int, int, int]]:
     return rows
 
 
+def _best(spans: list[dict]) -> list[dict]:
+    """Without the spans that overlap a more similar one."""
+    kept: list[dict] = []
+    for s in sorted(spans, key=lambda s: -s["similarity"]):
+        a, b = s["first_word"], s["first_word"] + s["n_words"]
+        if not any(x["similarity"] > s["similarity"] and x["first_word"] < b and a < x["first_word"] + x["n_words"] for x in kept):
+            kept.append(s)
+    return kept
+
+
 def _hashed(docs: DataFrame, k: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -115,10 +125,11 @@ def scan_licenses(docs: DataFrame, k: int = K, near: int = NEAR, votes: float =
     found = written(found, "license-found")
     total = found.agg(F.sum(F.size("_found"))).first()[0] or 0
     met = keyed.join(bounded_broadcast(found, rows=total), ["_k0", "_k1"], "left").select(*names, "_found")
-    schema = docs.schema
-    kinds = ["long", "long", "long", "long", "string", "string", "double", "array<struct<label:string,first_word:long,n_words:long,similarity:double>>"]
-    for name, kind in zip(added, kinds):
-        schema = schema.add(name, kind)
+    schema = extended(
+        docs.schema,
+        "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, "
+        "spans array<struct<label:string,first_word:bigint,n_words:bigint,similarity:double>>",
+    )
     split = [t.split() for t in texts]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,10 +158,15 @@ def scan_licenses(docs: DataFrame, k: int = K, near: int = NEAR, votes: float =
                     a = max(0, f["low"] - 2)
                     b = min(number, max(f["high"] + k + 2, f["low"] + len(template) + near))
                     blocks = SequenceMatcher(None, text(a, b), template, autojunk=False).get_matching_blocks()
-                    share = sum(x.size for x in blocks) / len(template)
-                    if share >= match:
-                        lo, hi = a + blocks[0].a, a + blocks[-2].a + blocks[-2].size
+                    if len(blocks) < 2:
+                        continue
+                    lo, hi = a + blocks[0].a, a + blocks[-2].a + blocks[-2].size
+                    share = sum(x.size for x in blocks) / max(len(template), hi - lo)
+                    met = {j for x in blocks for j in range(x.b, x.b + x.size)}
+                    # Numbers tell versions apart: all of them must match.
+                    if share >= match and all(j in met for j, word in enumerate(template) if word.isdigit()):
                         spans.append({"label": labels[t], "first_word": lo, "n_words": hi - lo, "similarity": min(1.0, share)})
+                spans = _best(spans)
                 spans.sort(key=lambda s: (s["first_word"], s["label"], s["n_words"]))
                 every = sorted(base | {s["label"] for s in spans})
                 score = max([0.5 * bool(base), *(s["similarity"] for s in spans)])

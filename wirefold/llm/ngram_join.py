@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     found = written(leaves(signed, runs, levels, limit), "join-leaves")
     # Leaf of each run for every set (0 where it is alone).
     of_key = found.groupBy("key").agg(F.collect_list(F.struct("run", "leaf")).alias("_got"))
-    of_key = of_key.withColumn("leaves", F.expr(f"transform(sequence(0, {runs - 1}), r -> coalesce(filter(_got, x -> x.run = r)[0].leaf, 0L))"))
+    of_key = of_key.withColumn("leaves", F.expr(f"transform(sequence(0, {runs - 1}), r -> coalesce(get(filter(_got, x -> x.run = r), 0).leaf, 0L))"))
     members = found.join(of_key.drop("_got"), "key").join(signed, "key")
     parts = F.ceil(F.col("size") / block).cast("int")
     members = members.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
             name = table["key"].combine_chunks()
             yield pa.RecordBatch.from_arrays([name.take(has), pa.array(number[number > 0]), name.take(pa.array(root[number > 0]))], ["key", "links", "root"])
 
-    judged = written(judged, "join-links")
+    judged = written(dealt(sized).mapInArrow(verify, "key string, links long, root string"), "join-links")
     links = judged.groupBy("key").agg(F.sum("links").alias("links"))
     classes = connected_components(judged.select(F.col("key").alias("u"), F.col("root").alias("v")))
     member = groups.join(links, "key", "left").join(classes.withColumnRenamed("node", "key"), "key", "left")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, written
+from .common import bounded_broadcast, extended, written
 from .textvec import complete_groups, mix, sliced, view
 
 WINDOW = 400
@@ -344,9 +344,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limi
     # Short and null texts meet no span: a key of their own keeps them apart.
     keyed = keyed.withColumn("_k0", F.coalesce("_k0", F.xxhash64(F.lit("short"), "doc_id"))).withColumn("_k1", F.coalesce("_k1", F.lit(0)))
     met = keyed.join(spans, ["_k0", "_k1"], "left").select(*names, "_spans")
-    schema = docs.schema
-    for name, kind in zip(added, ("long", "long", "long", "string", "binary")):
-        schema = schema.add(name, kind)
+    schema = extended(docs.schema, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):

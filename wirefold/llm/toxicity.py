@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import extended
 from .textvec import LOWER, mix, powers, sliced, view, words
 
 #: Labelled rows used for fitting: the bound of the sample.
@@ -332,7 +333,6 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     the label's share of all labelled rows.  None if a class is missing.
     """
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
-    both = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").join(marks, "doc_id")
     number = {r._toxic: r.n for r in marks.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     if not all(number.get(k) for k in (0, 1)):
         return None
@@ -359,7 +359,7 @@ def predict(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD)
     empty table stays empty; input columns of the two names are replaced.
     """
     names = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*names).schema.add("score", "double").add("predicted", "int")
+    schema = extended(docs.select(*names).schema, "score double, predicted int")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
