@@ -123,12 +123,17 @@ def viterbi(model: Model, kinds: np.ndarray, sizes: np.ndarray, ends: np.ndarray
 
 def parse(model: Model, transcript: str | None) -> list[tuple[str, str]]:
     """Turns (role, text) of a transcript; blank lines only separate."""
-    rows, blank = [], False
+    rows, blank, alone = [], False, 0
     for line in (transcript or "").splitlines():
         if not line.strip():
             blank = True
             continue
-        rows.append(features(line, blank))
+        kind, size, end, rest = features(line, blank)
+        if alone and not kind:
+            kind = alone  # a marker on a line of its own belongs to the next line
+            rows.pop()
+        alone = kind if kind and not rest.strip() else 0
+        rows.append((kind, size, end, rest))
         blank = False
     if not rows:
         return []
