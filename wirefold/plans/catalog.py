@@ -1,13 +1,23 @@
-"""Registry of the host-identification queries and their SQL."""
+"""All host-identification queries and their SQL."""
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
+
+from .base import ORACLE, QUERIES
+
 FLAGSHIP = "v05_verdict"
+_PARTS = ["inventory", "statistics", "lookups", "detection", "exposure", "topology", "feeds", "scalars"]
+
+for _name in _PARTS:
+    if importlib.util.find_spec(f"{__package__}.{_name}"):
+        importlib.import_module(f"{__package__}.{_name}")
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLE)
