@@ -46,7 +46,7 @@ class Throttle(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "us long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last = self.last.get()[0] if self.last.exists() else None
         fired = []
         for us in sorted(int(x) for part in rows for x in part["us"]):
@@ -57,7 +57,7 @@ class Throttle(StatefulProcessor):
         if fired:
             yield pd.DataFrame({"hw_addr": [key[0]] * len(fired), "us": fired})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.last.clear()
         return iter(())
 
@@ -80,7 +80,7 @@ class Presence(StatefulProcessor):
         self.handle = handle
         self.seen = handle.getValueState("seen", "us long, online boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         before = self.seen.get() if self.seen.exists() else (None, False)
         newest = max(int(x) for part in rows for x in part["us"])
         newest = max(newest, before[0] or newest)
@@ -91,7 +91,7 @@ class Presence(StatefulProcessor):
         if not before[1]:
             yield pd.DataFrame({"hw_addr": [key[0]], "us": [newest], "state": ["online"]})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         newest, _ = self.seen.get()
         self.seen.update((newest, False))
         yield pd.DataFrame({"hw_addr": [key[0]], "us": [newest + self.seconds * 1_000_000], "state": ["offline"]})
@@ -116,7 +116,7 @@ class Affinity(StatefulProcessor):
         self.counts = handle.getMapState("counts", "vendor string", "n long")
         self.baseline = handle.getValueState("baseline", "vendor string, drifted boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         counts = {k[0]: v[0] for k, v in self.counts.iterator()}
         base, drifted = self.baseline.get() if self.baseline.exists() else (None, False)
         out = []
