@@ -87,8 +87,9 @@ def test_presence_transitions(spark, tmp_path):
     schema = "hw_addr string, us long"
     minute = 60_000_000
     for part in ([("a", 0), ("b", 0), ("a", minute)], [("a", 20 * minute)], [("b", 21 * minute), ("a", 22 * minute)], [("a", 60 * minute)]):
+        part = [(h, us + 1000 * minute) for h, us in part]  # rows at the first watermark, time 0, would be late
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
     s = stateful.presence(stateful.timed(stream(spark, folder, schema), "1 second"), 300)
-    got = sorted((r.hw_addr, r.us // minute, r.state) for r in run(s, tmp_path, "presence_out"))
+    got = sorted((r.hw_addr, r.us // minute - 1000, r.state) for r in run(s, tmp_path, "presence_out"))
     assert {(h, st) for h, _, st in got} == {("a", "online"), ("a", "offline"), ("b", "online"), ("b", "offline")}
     assert ("b", 5, "offline") in got and ("b", 0, "online") in got

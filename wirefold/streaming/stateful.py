@@ -81,15 +81,22 @@ class Presence(StatefulProcessor):
         self.seen = handle.getValueState("seen", "us long, online boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = self.seen.get() if self.seen.exists() else (None, False)
-        newest = max(int(x) for part in rows for x in part["us"])
-        newest = max(newest, before[0] or newest)
-        for timer in self.handle.listTimers():
+        newest, online = self.seen.get() if self.seen.exists() else (None, False)
+        wait, out = self.seconds * 1_000_000, []
+        for us in sorted(int(x) for part in rows for x in part["us"]):
+            if online and us - newest > wait:
+                out.append((key[0], newest + wait, "offline"))
+                online = False
+            if not online:
+                out.append((key[0], us, "online"))
+                online = True
+            newest = us if newest is None else max(newest, us)
+        for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(newest // 1000 + self.seconds * 1000)
-        self.seen.update((newest, True))
-        if not before[1]:
-            yield pd.DataFrame({"hw_addr": [key[0]], "us": [newest], "state": ["online"]})
+        self.seen.update((newest, online))
+        if out:
+            yield pd.DataFrame(out, columns=["hw_addr", "us", "state"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         newest, _ = self.seen.get()
