@@ -9,7 +9,9 @@ block pairs, and only link counts and spanning links leave a list, so neither
 a hot list nor a dense group is held by one task or written out as pairs.
 
 Pivots are vectors of a bounded sample, ``pivots_per_root`` times the square
-root of a label's size, at most ``max_pivots``.  Every vector is indexed.
+root of a label's size, at most ``max_pivots``.  A sampled vector near an
+earlier pivot is left out: pivots inside one dense group would order its
+members by noise.  Every vector is indexed.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SHARED = 2
 PIVOTS_PER_ROOT = 2.0
 MAX_PIVOTS = 2048
 BLOCK = 1024
+#: Cosine from which a sampled vector is too near to a pivot to be one.
+APART = 0.8
 KEYS = ["label", "pivot", "low", "high"]
 
 
@@ -45,9 +49,9 @@ def _pivots(vectors: DataFrame, per_root: float, most: int) -> dict[int, np.ndar
     rows = vectors.where(chance <= share).select("label", "key", "unit").collect()  # at most about 2 * most per label
     out: dict[int, list] = {}
     for r in sorted(rows, key=lambda r: (r.label, r.key)):
-        mine = out.setdefault(r.label, [])
-        if len(mine) < want[r.label]:
-            mine.append(np.frombuffer(r.unit, np.float64))
+        mine, x = out.setdefault(r.label, []), np.frombuffer(r.unit, np.float64)
+        if len(mine) < want[r.label] and (not mine or (np.stack(mine) @ x).max() < APART):
+            mine.append(x)
     return {c: np.stack(v) for c, v in out.items()}
 
 
@@ -128,7 +132,7 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, prefix: int = P
                 bits[np.repeat(np.arange(n), prefix), place.ravel()] = every[place.ravel()] >= 0
                 common = bits @ bits.T
                 earlier = bits[:, every < pivot[start]]
-                ok = (common >= min(shared, prefix)) & (earlier @ earlier.T == 0)
+                ok = (common >= min(shared, int((mine[0] >= 0).sum()))) & (earlier @ earlier.T == 0)
                 if low[start] != high[start]:
                     ok &= part[start:end, None] != part[None, start:end]
                 i, j = np.nonzero(np.triu(ok & (x @ x.T >= threshold - 1e-9), 1))
