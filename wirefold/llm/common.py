@@ -31,11 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables written by this process; ``release`` removes them.
+_made: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables, once the results that read them are saved."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder, reread it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

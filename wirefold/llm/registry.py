@@ -103,7 +103,22 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_mixing": MIXING_SQL}
+    return {"op1_pivot_index": VECTORS_SQL, "op4_mixing": MIXING_SQL}
+
+
+#: All pairs of a label by brute force, components by reachability.
+VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT r.x AS vec_id, (SELECT count(*) FROM l WHERE l.x = r.x) AS n_links, min(r.y) AS component_id, min(r.y) = r.x AS kept
+FROM r GROUP BY r.x
+"""
 
 
 #: Blocks, targets and the boundary block's documents by the same md5 numbers.
