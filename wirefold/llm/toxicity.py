@@ -21,8 +21,10 @@ from .common import extended
 from .textvec import LOWER, mix, powers, sliced, view, words
 
 #: Labelled rows used for fitting: the bound of the sample.
-TRAIN_DOCS = 16_000
+TRAIN_DOCS = 12_000
 THRESHOLD = 0.7
+#: Toxic texts that an item of the lexicon must be in.
+LEAST = 3
 STEMS = (4, 5, 6)
 KINDS = 2 + len(STEMS)
 
@@ -85,15 +87,38 @@ def _plain(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[keep], np.concatenate(([0], np.cumsum(keep)))[offsets]
 
 
+def _found(keys: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Which hashes are among the sorted keys."""
+    if not len(keys):
+        return np.zeros(len(code), bool)
+    return keys[np.minimum(np.searchsorted(keys, code), len(keys) - 1)] == code
+
+
 @dataclass
 class Parts:
     """What the features need of a batch: items per kind and plain rates."""
 
     items: list[tuple[np.ndarray, np.ndarray]]  # (hash, doc) of each occurrence
+    sizes: list[np.ndarray]  # occurrences per doc, whatever is kept of them
     rates: np.ndarray
     second: np.ndarray  # for kind 0: a second-person word within three words
     n: int
 
+    def only(self, keys: list[np.ndarray]) -> Parts:
+        """With the occurrences of some (sorted) items only."""
+        kept = [_found(k, code) for k, (code, _) in zip(keys, self.items)]
+        items = [(code[m], doc[m].astype(np.int32)) for m, (code, doc) in zip(kept, self.items)]
+        return Parts(items, self.sizes, self.rates, self.second[kept[0]], self.n)
+
+    def unique(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each item of each doc once."""
+        code, doc = self.items[kind]
+        order = np.lexsort((code, doc))
+        code, doc = code[order], doc[order]
+        new = np.ones(len(code), bool)
+        new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
+        return code[new], doc[new]
+
 
 def parts(column) -> Parts:
     data, offsets = view(column)
@@ -145,7 +170,7 @@ def parts(column) -> Parts:
         share(mark, each), share(query, each), share(same & (mark | query), each), share(_SYMBOL[data], each),
         share(_DIGIT[data], each), share(mixed, per), share(stretched, per), of_words(length == 1),
     ))
-    return Parts(items, rates, near, n)
+    return Parts(items, [np.bincount(doc, minlength=n) for _, doc in items], rates, near, n)
 
 
 @dataclass
@@ -166,7 +191,7 @@ def features(p: Parts, lexicon: Lexicon) -> np.ndarray:
         if len(keys):
             at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
             value = np.where(keys[at] == code, odds[at], 0.0)
-        count = np.maximum(np.bincount(doc, minlength=p.n), 1)
+        count = np.maximum(p.sizes[kind], 1)
         hit = value > 1.5
         most = np.zeros(p.n)
         np.maximum.at(most, doc[value > 0], value[value > 0])
@@ -179,7 +204,7 @@ def features(p: Parts, lexicon: Lexicon) -> np.ndarray:
     return np.column_stack(columns)
 
 
-def learn_lexicon(uniques: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, use: np.ndarray, least: int = 3) -> Lexicon:
+def learn_lexicon(uniques: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, use: np.ndarray, least: int = LEAST) -> Lexicon:
     """Smoothed log-odds of items seen in at least ``least`` toxic texts."""
     keys, odds = [], []
     bad, good = np.sum(toxic & use), np.sum(~toxic & use)
@@ -199,7 +224,7 @@ def learn_lexicon(uniques: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarra
 class Trees:
     """Gradient-boosted regression trees with logistic loss on binned features."""
 
-    def __init__(self, rounds: int = 120, depth: int = 4, rate: float = 0.1, bins: int = 48, ridge: float = 2.0, least: float = 12.0) -> None:
+    def __init__(self, rounds: int = 80, depth: int = 4, rate: float = 0.1, bins: int = 48, ridge: float = 2.0, least: float = 12.0) -> None:
         self.rounds, self.depth, self.rate, self.bins, self.ridge, self.least = rounds, depth, rate, bins, ridge, least
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.start = 0.0
@@ -287,29 +312,36 @@ class Model:
         return np.clip(0.98 * np.interp(margin, self.knots, self.values) + 0.02 * smooth, 0, 1)
 
 
-def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, folds: int = 4) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, folds: int = 3) -> Model:
     """Fit lexicon, trees and calibration; lexicon features are cross-fitted."""
     column = pa.array(texts, pa.large_string())
     toxic = toxic.astype(bool)
-    whole: list[Parts] = []
-    row, base = [], 0
     batch = pa.RecordBatch.from_arrays([column], ["text"])
+    # Items of the lexicon are in at least ``least`` toxic texts; only their
+    # occurrences are kept in memory.
+    keys: list[np.ndarray] = []
+    seen: list[list[np.ndarray]] = [[] for _ in range(KINDS)]
+    at = 0
     for part in sliced(iter([batch])):
-        whole.append(parts(part.column(0)))
-        row.append(base)
-        base += part.num_rows
+        p = parts(part.column(0))
+        for kind in range(KINDS):
+            code, doc = p.unique(kind)
+            seen[kind].append(code[toxic[at + doc]])
+        at += p.n
+    for kind in range(KINDS):
+        code, times = np.unique(np.concatenate(seen[kind]), return_counts=True)
+        keys.append(code[times >= LEAST])
+    seen = []
+    whole: list[Parts] = []
+    row, at = [], 0
+    for part in sliced(iter([batch])):
+        whole.append(parts(part.column(0)).only(keys))
+        row.append(at)
+        at += part.num_rows
     uniques = []
     for kind in range(KINDS):
-        codes, docs = [], []
-        for p, at in zip(whole, row):
-            code, doc = p.items[kind]
-            order = np.lexsort((code, doc))
-            code, doc = code[order], doc[order]
-            new = np.ones(len(code), bool)
-            new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
-            codes.append(code[new])
-            docs.append(doc[new] + at)
-        uniques.append((np.concatenate(codes), np.concatenate(docs)))
+        both = [p.unique(kind) for p in whole]
+        uniques.append((np.concatenate([c for c, _ in both]), np.concatenate([d.astype(np.int64) + a for (_, d), a in zip(both, row)])))
     n = len(texts)
     fold = np.arange(n) % folds
     x = np.zeros((n, len(FEATURES)))
