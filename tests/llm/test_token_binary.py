@@ -46,3 +46,10 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert token_binary(spark.createDataFrame([], SCHEMA), PATH, 2).collect() == []
+
+
+def test_words_match_on_every_letter():
+    for lead in ("", "x "):
+        for code in [*range(65, 91), *range(97, 123), *range(0xAA, 0x250)]:
+            for text in (lead + chr(code), lead + "ab" + chr(code) + "cd,"):
+                assert np.frombuffer(encoder.encode(text), encoder.dtype).astype("<u4").tolist() == ids(text).tolist()

@@ -17,8 +17,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -37,6 +39,12 @@ _TAIL = ",.!?;:|*#$%&)"
 _INNER = re.compile(r"\s \s")
 
 
+#: The byte-level alphabet: printable Latin-1 characters stand for themselves,
+#: all other bytes for characters from 256 on, in order.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_SELF))}
+
+
 class _Odd(Exception):
     """A piece is empty, or has white space at an end: its text may hold _INNER."""
 
@@ -48,17 +56,23 @@ class _Units(dict):
     space, so a text's ids are the concatenation of the ids of its pieces.
     """
 
-    LIMIT = 300_000
+    LIMIT = 400_000
 
     def __init__(self, tokenizer, dtype, lead: str) -> None:
         super().__init__()
         self.tokenizer, self.dtype, self.lead = tokenizer, dtype, lead
+        self.model, self.code = tokenizer.model, {2: "H", 4: "I"}[dtype.itemsize]
         self.plain: _Units = self
         self.odd = False  # odd pieces are allowed: the text holds no _INNER
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def word_ids(self, word: str) -> bytes:
+        """Ids of a word of letters: one pre-token, so the model alone decides."""
+        raw = (self.lead + word).encode().decode("latin-1").translate(_BYTE_CHARS)
+        return array(self.code, [t.id for t in self.model.tokenize(raw)]).tobytes()
+
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             if not self.odd:
@@ -71,8 +85,8 @@ class _Units(dict):
             out = self[left] + self.line + self.plain[right]
         else:
             word = piece.rstrip(_TAIL)
-            if word != piece and word.isalpha():
-                out = self[word] + self.plain[piece[len(word) :]]
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                out = self.word_ids(word) if word == piece else self[word] + self.plain[piece[len(word) :]]
             else:
                 out = self.ids(self.lead + piece)
         self[piece] = out
@@ -94,7 +108,7 @@ class Encoder:
         model = spec.get("model") or {}
         added = spec.get("added_tokens") or []
         simple = all(re.fullmatch(r"<\S+>", t["content"]) and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in added)
-        self.by_piece = bool(byte_level and not spec.get("normalizer") and not model.get("dropout") and simple)
+        self.by_piece = bool(sys.byteorder == "little" and byte_level and not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout") and simple)
         self.first = _Units(self.tokenizer, self.dtype, "")
         self.rest = _Units(self.tokenizer, self.dtype, " ")
         self.rest.plain = self.first
