@@ -42,6 +42,11 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard_later(path: str) -> None:
+    """Let ``release`` delete a folder of the shared folder, too."""
+    _made.append(path)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder, reread it."""
     spark = df.sparkSession
