@@ -1,10 +1,13 @@
 """Hand cases of the host-identification rules."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from wirefold.functions import ip, mac, names
 from wirefold.operators import detect, fusion, lookups, throttle
+from wirefold.plans import catalog
 from wirefold.sources import capture, feeds
 
 EVIDENCE = "id long, hw_addr string, source string, certainty double, category string, vendor string, platform string, hostname string, model string, us long"
@@ -147,3 +150,28 @@ def test_affinity_drift(spark):
     rows = [("m", i, "Apple") for i in range(25)] + [("m", 1000 + i, "Microsoft") for i in range(50)] + [("n", i, "Apple") for i in range(60)]
     got = detect.affinity_drift(spark.createDataFrame(rows, "hw_addr string, us long, vendor string"), 100).collect()
     assert [(r.hw_addr, r.from_vendor, r.to_vendor) for r in got] == [("m", "Apple", "Microsoft")]
+
+
+def test_as_of_and_links_take_every_packet(spark):
+    from types import SimpleNamespace
+
+    from wirefold.plans import topology
+    from wirefold.plans.base import DAY
+    from wirefold.plans.lookups import _as_of_previous
+
+    rng = random.Random(3)
+    packets = [(i, f"h{rng.randint(0, 3)}", 8200 * DAY + rng.randint(0, 40), rng.randint(0, 99), "arp", f"ip{i % 2}") for i in range(120)]
+    evidence = [(i, f"h{rng.randint(0, 2)}", rng.randint(0, 40), f"v{i}") for i in range(30)]
+    t = SimpleNamespace(packets=spark.createDataFrame(packets, "packet_id long, hw_addr string, us long, k int, protocol string, ip_addr string"), evidence=spark.createDataFrame(evidence, "id long, hw_addr string, us long, vendor string"))
+    got = {r.packet_id: r.vendor for r in _as_of_previous(t, t.packets).collect()}
+    want = {}
+    for i, h, us, *_ in packets:
+        before = [(e[2], e[0], e[3]) for e in evidence if e[1] == h and e[2] <= us - 8200 * DAY]
+        want[i] = max(before)[2] if before else None
+    assert got == want
+    pairs = set()
+    for ip in ("ip0", "ip1"):
+        mine = [h for _, h in sorted(((p[2], p[0]), p[1]) for p in packets if p[5] == ip)]
+        pairs |= set(zip(mine[1:], mine))
+    assert {tuple(r) for r in topology.links(t, "true").collect()} == pairs
+    assert {"j18_as_of_previous_all", "g03_edges_all", "g04_neighbours_all"} <= set(catalog.queries())

@@ -98,16 +98,26 @@ def _(t):
     return lookups.exact_then_partial_join(t.packets.select("packet_id", "opt60"), "opt60", _table(t, _SATORI, "text string, weight int, os string"))
 
 
-@query("j18_as_of_previous", f"""SELECT p.packet_id, (SELECT arg_max(e.vendor, (e.us, e.id)) FROM evidence e WHERE e.hw_addr = p.hw_addr AND e.us <= p.us - {8200 * DAY}) AS vendor FROM packets p WHERE k < 20""")
-def _(t):
+def _as_of_previous(t, packets):
     # As-of join by union: the newest evidence before each packet's moment.
     e = t.evidence.select("hw_addr", "us", F.lit(0).alias("side"), F.col("id"), F.struct("vendor").alias("v"), F.lit(None).cast("long").alias("packet_id"))
-    p = t.packets.where("k < 20").select("hw_addr", (F.col("us") - F.lit(8200 * DAY)).alias("us"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("struct<vendor:string>").alias("v"), "packet_id")
+    p = packets.select("hw_addr", (F.col("us") - F.lit(8200 * DAY)).alias("us"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("struct<vendor:string>").alias("v"), "packet_id")
     w = Window.partitionBy("hw_addr").orderBy("us", "side", "id").rowsBetween(Window.unboundedPreceding, 0)
     both = e.unionByName(p).withColumn("last", F.last("v", ignorenulls=True).over(w))
     return both.where("side = 1").select("packet_id", F.col("last.vendor").alias("vendor"))
 
 
+@query("j18_as_of_previous", f"""SELECT p.packet_id, (SELECT arg_max(e.vendor, (e.us, e.id)) FROM evidence e WHERE e.hw_addr = p.hw_addr AND e.us <= p.us - {8200 * DAY}) AS vendor FROM packets p WHERE k < 20""")
+def _(t):
+    return _as_of_previous(t, t.packets.where("k < 20"))
+
+
+@query("j18_as_of_previous_all", f"""SELECT packet_id, vendor FROM (SELECT packet_id, hw_addr, us - {8200 * DAY} AS at FROM packets) p
+  ASOF LEFT JOIN (SELECT hw_addr, us, arg_max(vendor, id) AS vendor FROM evidence GROUP BY hw_addr, us) e ON p.hw_addr = e.hw_addr AND p.at >= e.us""")
+def _(t):
+    return _as_of_previous(t, t.packets)
+
+
 @query("l01_first_per_protocol", "SELECT packet_id, hw_addr, protocol FROM (SELECT *, row_number() OVER (PARTITION BY hw_addr, protocol ORDER BY us, packet_id) AS n FROM packets) WHERE n = 1")
 def _(t):
     return inventory.latest(t.packets, ["hw_addr", "protocol"], [F.col("us"), F.col("packet_id")]).select("packet_id", "hw_addr", "protocol")

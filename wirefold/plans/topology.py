@@ -21,6 +21,8 @@ VIEWS = {
       FROM g_devices d LEFT JOIN g_gates g USING (hw_addr) WHERE d.ip_addr IS NOT NULL""",
     "g_links": "SELECT DISTINCT hw_addr AS a, before AS b FROM (SELECT *, lag(hw_addr) OVER (PARTITION BY ip_addr ORDER BY us, packet_id) AS before FROM packets WHERE protocol = 'arp' AND k < 20) WHERE before IS NOT NULL",
 }
+#: The same views with the links of every ARP packet.
+EVERY = VIEWS | {"g_links": VIEWS["g_links"].replace(" AND k < 20", "")}
 
 
 def devices(t):
@@ -31,9 +33,9 @@ def gates(t):
     return G.gateways(devices(t), t.spark.createDataFrame(_BIND, "ip string, mac string"))
 
 
-def links(t):
+def links(t, which="k < 20"):
     w = Window.partitionBy("ip_addr").orderBy("us", "packet_id")
-    return t.packets.where("protocol = 'arp' AND k < 20").select(F.col("hw_addr").alias("a"), F.lag("hw_addr").over(w).alias("b")).where("b IS NOT NULL").distinct()
+    return t.packets.where("protocol = 'arp'").where(which).select(F.col("hw_addr").alias("a"), F.lag("hw_addr").over(w).alias("b")).where("b IS NOT NULL").distinct()
 
 
 @query("g01_gateways", "SELECT hw_addr, tier FROM g_gates", VIEWS)
@@ -46,22 +48,36 @@ def _(t):
     return G.nodes(devices(t), gates(t))
 
 
-@query("g03_edges", f"""WITH up AS (SELECT coalesce(l.g, (SELECT min(hw_addr) FROM g_nodes WHERE tier = 'gateway')) AS source, n.hw_addr AS target, CASE WHEN tier = 'client' THEN 'client' ELSE 'trunk' END AS kind, 3 AS rank
+_EDGES = f"""WITH up AS (SELECT coalesce(l.g, (SELECT min(hw_addr) FROM g_nodes WHERE tier = 'gateway')) AS source, n.hw_addr AS target, CASE WHEN tier = 'client' THEN 'client' ELSE 'trunk' END AS kind, 3 AS rank
     FROM g_nodes n LEFT JOIN (SELECT subnet, min(hw_addr) AS g FROM g_nodes WHERE tier = 'gateway' GROUP BY subnet) l USING (subnet) WHERE tier <> 'gateway'),
   near AS (SELECT DISTINCT least(a, b) AS source, greatest(a, b) AS target, 'lldp' AS kind, 2 AS rank FROM g_links WHERE a <> b),
   manual AS (SELECT parent AS source, mac AS target, 'manual' AS kind, 1 AS rank FROM {oracle.values(_OVER, "o(mac, parent)")}),
   every AS (SELECT * FROM (FROM up UNION ALL FROM near) WHERE target NOT IN (SELECT target FROM manual) UNION ALL FROM manual)
-  SELECT source, target, kind FROM (SELECT *, row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY rank, source) AS n FROM every WHERE source IS NOT NULL) WHERE n = 1""", VIEWS)
+  SELECT source, target, kind FROM (SELECT *, row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY rank, source) AS n FROM every WHERE source IS NOT NULL) WHERE n = 1"""
+
+
+@query("g03_edges", _EDGES, VIEWS)
 def _(t):
     over = t.spark.createDataFrame(_OVER, "hw_addr string, parent string")
     return G.edges(G.nodes(devices(t), gates(t)), links(t), over)
 
 
+@query("g03_edges_all", _EDGES, EVERY)
+def _(t):
+    over = t.spark.createDataFrame(_OVER, "hw_addr string, parent string")
+    return G.edges(G.nodes(devices(t), gates(t)), links(t, "true"), over)
+
+
 @query("g04_neighbours", "SELECT a, b, count(*) OVER (PARTITION BY a) AS degree FROM g_links", VIEWS)
 def _(t):
     return links(t).withColumn("degree", F.count("*").over(Window.partitionBy("a")))
 
 
+@query("g04_neighbours_all", "SELECT a, b, count(*) OVER (PARTITION BY a) AS degree FROM g_links", EVERY)
+def _(t):
+    return links(t, "true").withColumn("degree", F.count("*").over(Window.partitionBy("a")))
+
+
 @query("j23_vm_host_pairs", """SELECT v.hw_addr AS vm, arg_min(h.hw_addr, h.hw_addr) AS host FROM g_nodes v JOIN g_nodes h ON v.subnet = h.subnet WHERE v.hw_addr LIKE 'd2%' AND h.hw_addr NOT LIKE 'd2%' GROUP BY v.hw_addr""", VIEWS)
 def _(t):
     n = G.nodes(devices(t), gates(t))
