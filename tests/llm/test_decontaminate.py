@@ -63,3 +63,12 @@ def test_reordered_and_clean(spark):
         ])
     none = spark.createDataFrame([], SCHEMA)
     assert decontaminate(none, marks).collect() == [] and decontaminate(docs, marks.limit(0)).where("contaminated").collect() == []
+
+
+def test_items_without_an_id(spark):
+    bench = [(None, "one two three four five six"), (None, "red green blue white black grey"), (5, "one two three four five six"), (-3, "a b c d e f")]
+    rows = [(1, "x one two three four five six y", "", ""), (2, "red green blue white black grey", "", ""), (3, "a b c d e f red green blue white black grey", "", ""), (4, "clean text", "", "")]
+    for size in (1_000_000, 5):
+        out = decontaminate(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(bench, "item_id long, text string"), block_words=size)
+        got = sorted((r.doc_id, r.contaminated, r.item_id, r["items"], r.coverage) for r in out.collect())
+        assert got == [(1, True, 5, [5, None], 1.0), (2, True, None, [None], 1.0), (3, True, -3, [-3, None], 1.0), (4, False, None, [], 0.0)]

@@ -35,13 +35,13 @@ BLOCK_WORDS = 1_000_000
 class Block:
     """Items of one block: word hashes, bounds, and their sorted seeds."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     code: np.ndarray
     first: np.ndarray
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length: hash, item, position
 
 
-def make_block(ids: list[int], texts: list[str | None], k: int = K) -> Block:
+def make_block(ids: list[int | None], texts: list[str | None], k: int = K) -> Block:
     """An item of fewer than ``k`` words has one seed of all its words."""
     w = words(*view(pa.array(texts, pa.large_string())))
     code, first = w["hash"], w["first"]
@@ -56,7 +56,7 @@ def make_block(ids: list[int], texts: list[str | None], k: int = K) -> Block:
         g, item, at = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(g, kind="stable")
         seeds[length] = g[order], item[order], at[order]
-    return Block(np.array(ids), code, first, seeds)
+    return Block(ids, code, first, seeds)
 
 
 def tile(matches: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -126,14 +126,14 @@ def covered(block: Block, code: np.ndarray, first: np.ndarray) -> dict[int, list
 
 def blocks(benchmark: DataFrame, k: int, block_words: int) -> Iterator[Block]:
     """The benchmark's items with a word, cut into bounded blocks by item_id."""
-    sized = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    sized = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     sized = sized.withColumn("size", F.size(F.split("text", r"\s+")).cast("long"))
     # Prefix sums over the benchmark only, whose size is the query set's.
     sized = sized.withColumn("_block", F.floor(F.sum("size").over(Window.orderBy("item_id", "text")) / block_words))
     numbers = sorted(r._block for r in sized.select("_block").distinct().collect())
     for number in numbers:
         rows = sized.where(F.col("_block") == number).select("item_id", "text").collect()
-        rows.sort()
+        rows.sort(key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
         yield make_block([r.item_id for r in rows], [r.text for r in rows], k)
 
 
@@ -144,8 +144,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold:
     seed is shared), ``item_id`` that item (the smallest of ties), ``n_tiles``
     its tiles, ``items`` all items whose coverage reaches ``threshold``, sorted.
     Words are ``[0-9a-z]`` and non-ASCII runs of the A-Z-lowered text.  Null
-    and empty texts are clean; null items, and items without a word, match
-    nothing; an item of fewer than k words must occur whole.  Whole texts are
+    and empty texts are clean; items without a word match nothing; an item with
+    a text but no item_id counts like any other and is reported as null (behind
+    the others in ``items`` and in ties); an item of fewer than k words must occur whole.  Whole texts are
     read; repeated rows get the same; input columns of the added names are
     replaced; empty tables are fine on either side.
     """
@@ -163,13 +164,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold:
                 found = covered(block, w["hash"], w["first"])
                 before = [batch.column(c).to_pylist() for c in added]
                 for row, got in found.items():
-                    best = before[0][row], -(before[1][row] if before[1][row] is not None else 1 << 62), before[2][row]
+                    best = before[0][row], before[1][row] is not None, -(before[1][row] or 0), before[2][row]
                     for item, share, tiles in got:
-                        number = int(block.ids[item])
-                        best = max(best, (share, -number, tiles))
+                        number = block.ids[item]
+                        best = max(best, (share, number is not None, -(number or 0), tiles))
                         if share >= threshold:
-                            before[3][row] = sorted({*before[3][row], number})
-                    before[0][row], before[1][row], before[2][row] = best[0], -best[1], best[2]
+                            before[3][row] = sorted({*before[3][row], number}, key=lambda x: (x is None, x or 0))
+                    before[0][row], before[1][row], before[2][row] = best[0], -best[2] if best[1] else None, best[3]
                     before[4][row] = bool(before[3][row])
                 kinds = [pa.float64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(x, t) for x, t in zip(before, kinds))], [*names, *added])
