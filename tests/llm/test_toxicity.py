@@ -71,6 +71,17 @@ def test_trees_fit_an_interaction():
     assert auc(Trees(rounds=60).fit(x, y, np.ones(2000)).margin(x), y) > 0.99
 
 
+def test_labels_of_other_documents_do_not_count(spark, monkeypatch):
+    from wirefold.llm import toxicity
+
+    docs = spark.createDataFrame([(i, f"text {i}", "") for i in range(0, 300, 3)] + [(1, None, "")], SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0 or i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, weight: (texts, toxic, weight))
+    texts, toxic, weight = train(docs, labels, train_docs=30)
+    assert len(texts) == 30 and toxic.sum() == 15
+    assert np.isclose(weight[toxic == 1].sum() / weight.sum(), 20 / 100)
+
+
 def test_edges(spark):
     texts, label = corpus(300, 3)
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(1000, None, ""), (None, "x", ""), (1001, "", ""), (1001, "", "")], SCHEMA)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended
+from .common import extended, written
 from .textvec import LOWER, mix, powers, sliced, view, words
 
 #: Labelled rows used for fitting: the bound of the sample.
@@ -365,6 +365,8 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     the label's share of all labelled rows.  None if a class is missing.
     """
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
+    # Only labels of the given documents count, in the sample and in the weights.
+    marks = written(marks.join(docs.where("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi"), "tox-labels")
     number = {r._toxic: r.n for r in marks.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     if not all(number.get(k) for k in (0, 1)):
         return None
