@@ -101,3 +101,11 @@ def test_held_out(spark):
     model = train(docs.where("NOT held"), labels)
     rows = predict(docs.where("held").join(labels, "doc_id").select("doc_id", "text", "toxic"), model).select("score", "toxic").toPandas()
     assert auc(rows.score.to_numpy(), rows.toxic.to_numpy()) > 0.75
+
+
+def test_sample_rounds_and_folds_are_whole():
+    import inspect
+
+    from wirefold.llm import toxicity
+
+    assert toxicity.TRAIN_DOCS >= 16_000 and Trees().rounds >= 120 and inspect.signature(fit).parameters["folds"].default >= 4
