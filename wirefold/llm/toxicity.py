@@ -4,7 +4,9 @@ Features are lexicon densities (whole words, word stems and de-obfuscated
 words; the lexicon is learned from labelled rows and joined with a short list
 of insults), second-person proximity, capitals, punctuation and obfuscation
 rates.  The model is fitted on a bounded sample of labelled rows
-(``train_docs``); every document is then scored over its whole text.
+(``train_docs``), whose texts are counted and turned into features by Spark;
+the trees then see a matrix of ``train_docs`` rows.  Every document is scored
+over its whole text.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ from .textvec import LOWER, mix, powers, sliced, view, words
 
 #: Labelled rows used for fitting: the bound of the sample.
 TRAIN_DOCS = 16_000
+FOLDS = 4
 THRESHOLD = 0.7
 #: Toxic texts that an item of the lexicon must be in.
 LEAST = 3
@@ -104,12 +108,6 @@ class Parts:
     second: np.ndarray  # for kind 0: a second-person word within three words
     n: int
 
-    def only(self, keys: list[np.ndarray]) -> Parts:
-        """With the occurrences of some (sorted) items only."""
-        kept = [_found(k, code) for k, (code, _) in zip(keys, self.items)]
-        items = [(code[m], doc[m].astype(np.int32)) for m, (code, doc) in zip(kept, self.items)]
-        return Parts(items, self.sizes, self.rates, self.second[kept[0]], self.n)
-
     def unique(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
         """Each item of each doc once."""
         code, doc = self.items[kind]
@@ -204,20 +202,22 @@ def features(p: Parts, lexicon: Lexicon) -> np.ndarray:
     return np.column_stack(columns)
 
 
-def learn_lexicon(uniques: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, use: np.ndarray, least: int = LEAST) -> Lexicon:
-    """Smoothed log-odds of items seen in at least ``least`` toxic texts."""
+def log_odds(bad_with: np.ndarray, good_with: np.ndarray, bad: float, good: float) -> np.ndarray:
+    """Smoothed log-odds of items by the toxic and the clean texts they are in,
+    less one standard error of the rarer count."""
+    return np.log((bad_with + 0.5) / (bad + 1)) - np.log((good_with + 0.5) / (good + 1)) - 1 / np.sqrt(bad_with + 0.5)
+
+
+def learn_lexicon(kind: np.ndarray, key: np.ndarray, bad_with: np.ndarray, good_with: np.ndarray, bad: float, good: float, least: int = LEAST) -> Lexicon:
+    """Items of at least ``least`` toxic texts that speak for toxicity."""
+    value = log_odds(bad_with, good_with, bad, good)
+    keep = (bad_with >= least) & (value > 0.3)
     keys, odds = [], []
-    bad, good = np.sum(toxic & use), np.sum(~toxic & use)
-    for code, doc in uniques:
-        mine = use[doc]
-        code, label = code[mine], toxic[doc[mine]]
-        every, inverse = np.unique(code, return_inverse=True)
-        t = np.bincount(inverse, weights=label, minlength=len(every))
-        c = np.bincount(inverse, weights=~label, minlength=len(every))
-        value = np.log((t + 0.5) / (bad + 1)) - np.log((c + 0.5) / (good + 1)) - 1 / np.sqrt(t + 0.5)
-        keep = (t >= least) & (value > 0.3)
-        keys.append(every[keep])
-        odds.append(value[keep])
+    for k in range(KINDS):
+        mine = np.flatnonzero(keep & (kind == k))
+        mine = mine[np.argsort(key[mine])]
+        keys.append(key[mine])
+        odds.append(value[mine])
     return Lexicon(keys, odds)
 
 
@@ -312,57 +312,85 @@ class Model:
         return np.clip(0.98 * np.interp(margin, self.knots, self.values) + 0.02 * smooth, 0, 1)
 
 
-def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, folds: int = 4) -> Model:
-    """Fit lexicon, trees and calibration; lexicon features are cross-fitted."""
-    column = pa.array(texts, pa.large_string())
-    toxic = toxic.astype(bool)
-    batch = pa.RecordBatch.from_arrays([column], ["text"])
-    # Items of the lexicon are in at least ``least`` toxic texts; only their
-    # occurrences are kept in memory.
-    keys: list[np.ndarray] = []
-    seen: list[list[np.ndarray]] = [[] for _ in range(KINDS)]
-    at = 0
-    for part in sliced(iter([batch])):
-        p = parts(part.column(0))
-        for kind in range(KINDS):
-            code, doc = p.unique(kind)
-            seen[kind].append(code[toxic[at + doc]])
-        at += p.n
-    for kind in range(KINDS):
-        code, times = np.unique(np.concatenate(seen[kind]), return_counts=True)
-        keys.append(code[times >= LEAST])
-    seen = []
-    whole: list[Parts] = []
-    row, at = [], 0
-    for part in sliced(iter([batch])):
-        whole.append(parts(part.column(0)).only(keys))
-        row.append(at)
-        at += part.num_rows
-    uniques = []
-    for kind in range(KINDS):
-        both = [p.unique(kind) for p in whole]
-        uniques.append((np.concatenate([c for c, _ in both]), np.concatenate([d.astype(np.int64) + a for (_, d), a in zip(both, row)])))
-    n = len(texts)
-    fold = np.arange(n) % folds
-    x = np.zeros((n, len(FEATURES)))
-    for k in range(folds):
-        lexicon = learn_lexicon(uniques, toxic, fold != k)
-        for p, at in zip(whole, row):
-            mine = np.flatnonzero(fold[at : at + p.n] == k)
-            x[at + mine] = features(p, lexicon)[mine]
-    y = toxic.astype(float)
-    margin = np.zeros(n)
-    for k in range(folds):
-        margin[fold == k] = Trees().fit(x[fold != k], y[fold != k], weight[fold != k]).margin(x[fold == k])
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray, lexicon: Lexicon) -> Model:
+    """Trees and calibration from cross-fitted features of the sample's rows.
+
+    The calibration sees only margins of trees that were fitted on other folds.
+    """
+    margin = np.zeros(len(y))
+    for k in np.unique(fold):
+        rest = fold != k
+        margin[~rest] = Trees().fit(x[rest], y[rest], weight[rest]).margin(x[~rest])
     knots, values = isotonic(margin, y, weight)
-    return Model(learn_lexicon(uniques, toxic, np.ones(n, bool)), Trees().fit(x, y, weight), knots, values)
+    return Model(lexicon, Trees().fit(x, y, weight), knots, values)
+
+
+def _items(sample: DataFrame) -> DataFrame:
+    """(kind, key, fold, toxic, n): texts of the sample that hold an item."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            p = parts(batch.column("text"))
+            group = (batch.column("fold").to_numpy() * 2 + batch.column("toxic").to_numpy()).astype(np.int64)
+            for kind in range(KINDS):
+                code, doc = p.unique(kind)
+                mine = group[doc]
+                order = np.lexsort((mine, code))
+                code, mine = code[order], mine[order]
+                cut = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (mine[1:] != mine[:-1])))) if len(code) else np.empty(0, np.int64)
+                number = np.diff(np.append(cut, len(code)))
+                columns = [np.full(len(cut), kind), code[cut].view(np.int64), mine[cut] // 2, mine[cut] % 2, number]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["kind", "key", "fold", "toxic", "n"])
+
+    return sample.mapInArrow(scan, "kind long, key long, fold long, toxic long, n long").groupBy("kind", "key", "fold", "toxic").agg(F.sum("n").alias("n"))
+
+
+def _lexicons(sample: DataFrame, folds: int) -> list[Lexicon]:
+    """The lexicon without each fold, and at the end that of all rows.
+
+    Items are counted where the texts are; only those of at least LEAST toxic
+    texts of the bounded sample reach the driver, with a few counts each.
+    """
+    size = {(r.fold, r.toxic): r.n for r in sample.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    counts = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{f}_{t}") for f in range(folds) for t in (0, 1)]
+    wide = _items(sample).groupBy("kind", "key").agg(*counts, F.sum(F.col("n") * F.col("toxic")).alias("_all")).where(F.col("_all") >= LEAST)
+    table = wide.toArrow()
+    kind, key = table["kind"].to_numpy(), table["key"].to_numpy().view(np.uint64)
+    by = {(f, t): table[f"n{f}_{t}"].to_numpy().astype(float) for f in range(folds) for t in (0, 1)}
+    out = []
+    for left_out in [*range(folds), None]:
+        used = [f for f in range(folds) if f != left_out]
+        bad_with, good_with = (sum(by[f, t] for f in used) for t in (1, 0))
+        bad, good = (sum(size.get((f, t), 0) for f in used) for t in (1, 0))
+        out.append(learn_lexicon(kind, key, bad_with, good_with, bad, good))
+    return out
+
+
+def _cross_fitted(sample: DataFrame, lexicons: list[Lexicon]) -> DataFrame:
+    """(order, fold, toxic, x): features by the lexicon that has not seen the row's fold."""
+    shared = sample.sparkSession.sparkContext.broadcast(lexicons)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            p, fold = parts(batch.column("text")), batch.column("fold").to_numpy()
+            x = np.zeros((p.n, len(FEATURES)))
+            for k in np.unique(fold):
+                x[fold == k] = features(p, shared.value[k])[fold == k]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(p.n + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("order", "fold", "toxic")), flat], ["order", "fold", "toxic", "x"])
+
+    return sample.mapInArrow(scan, "order long, fold long, toxic long, x array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
-    """Fit on at most ``train_docs`` labelled rows, half of them toxic if there are enough.
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, folds: int = FOLDS) -> Model | None:
+    """Fit on at most ``train_docs`` labelled documents, half of them toxic if there are enough.
 
-    Rows are taken in the order of a hash of their text and weighted back to
-    the label's share of all labelled rows.  None if a class is missing.
+    Labels of other documents than ``docs`` count nowhere.  Documents are
+    taken in the order of a hash of doc_id and weighted back to the label's
+    share of all labelled documents; equal texts share a fold.  Texts stay on
+    the executors: the driver gets the counts of lexicon items and a row of
+    numbers for each document.  Several rows of one doc_id all count.  None
+    if a class is missing.
     """
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
     # Only labels of the given documents count, in the sample and in the weights.
@@ -373,16 +401,24 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     bad = min(number[1], train_docs // 2)
     quota = {1: bad, 0: train_docs - bad}
     order = F.xxhash64("doc_id")
-    rows = []
+    picked = None
     for k in (0, 1):
-        picked = marks.where(F.col("_toxic") == k).orderBy(order, "doc_id").limit(quota[k])
-        rows += docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "_toxic").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 1000003, r["text"]))
-    toxic = np.array([r["_toxic"] for r in rows])
+        some = marks.where(F.col("_toxic") == k).orderBy(order, "doc_id").limit(quota[k])
+        picked = some if picked is None else picked.unionByName(some)
+    # At most ``train_docs`` rows of two numbers.
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.select("text", order.alias("order"), F.pmod(F.xxhash64("text"), F.lit(folds)).alias("fold"), F.col("_toxic").cast("long").alias("toxic"))
+    sample = written(rows, "tox-sample")
+    lexicons = _lexicons(sample, folds)
+    table = _cross_fitted(sample, lexicons).toArrow()
+    seen, fold, toxic = (table[c].to_numpy() for c in ("order", "fold", "toxic"))
+    x = pc.list_flatten(table["x"]).to_numpy().reshape(-1, len(FEATURES))
+    place = np.lexsort((*x.T[::-1], toxic, fold, seen))
+    x, fold, toxic = x[place], fold[place], toxic[place]
     if len(set(toxic.tolist())) < 2:
         return None
     weight = np.where(toxic == 1, number[1] / max(1, (toxic == 1).sum()), number[0] / max(1, (toxic == 0).sum()))
-    return fit([r["text"] for r in rows], toxic, weight / weight.mean())
+    return fit(x, toxic.astype(float), weight / weight.mean(), fold, lexicons[-1])
 
 
 def predict(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
