@@ -5,11 +5,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .textvec import trimmed
+
 #: A side is broadcast only when a count has shown it has at most this many
 #: narrow rows (a few machine words each), so at most some tens of MB.
 BROADCAST_ROWS = 200_000
@@ -18,13 +21,16 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session has none (unit tests) a folder of our own is set.
+    Only a session of one local process that has none (unit tests) gets a
+    folder of its own; on a cluster the setting has to be there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext.getCheckpointDir()
         if known:
             found = known
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="wirefold-")
             spark.sparkContext.setCheckpointDir(found)
@@ -35,11 +41,21 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables, once the results that read them are saved."""
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+def made() -> int:
+    """How many intermediate tables there are: a mark for ``release``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the intermediate tables, once the results that read them are saved.
+
+    Those made before the mark ``since`` stay, and so do the last ``keep``.
+    """
+    last = len(_made) - keep
+    for name in _made[since:last]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _made[since:last]
 
 
 def discard_later(path: str) -> None:
@@ -56,6 +72,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, step: Callable, schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` whose tasks give their memory back when they end."""
+    return df.mapInArrow(lambda batches: trimmed(step(batches)), schema)
+
+
 def extended(schema: StructType, ddl: str) -> StructType:
     """``schema`` with the columns of a DDL string behind its own."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
@@ -71,7 +92,7 @@ def bounded_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROAD
     return F.broadcast(df) if rows <= limit else df
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node for each node of an undirected edge list.
 
     ``edges`` has columns ``u`` and ``v`` of one orderable type.  Returns
@@ -80,12 +101,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     Alternating large-star / small-star rounds (Kiveris et al., 2014): both
     only take a minimum over neighbours, so hubs are pre-aggregated before the
-    shuffle and the edge count never grows beyond its start.
+    shuffle and the edge count never grows beyond its start.  The rounds end
+    at the fixed point, after about the logarithm of the longest path.
     """
     pairs = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v")
     current = written(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -99,8 +121,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("connected_components did not reach its fixed point")
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

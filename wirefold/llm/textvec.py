@@ -6,17 +6,22 @@ documents are tokenised and hashed by a few numpy passes.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text handled at once; a longer text is handled alone.
+CHUNK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_libc = ctypes.CDLL(ctypes.util.find_library("c")) if ctypes.util.find_library("c") else None
+if not hasattr(_libc, "malloc_trim"):
+    _libc = None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,6 +90,19 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
                 yield batch.slice(a, b - a)
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass batches on; at the task's end give freed memory back to the system.
+
+    Workers live on between tasks, and neither the allocator nor Arrow's pool
+    returns the peaks of a task by itself.
+    """
+    yield from batches
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def separated(data: np.ndarray, offsets: np.ndarray, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The texts with one ``gap`` byte after each, and the new starts (n + 1)."""
     n = len(offsets) - 1
