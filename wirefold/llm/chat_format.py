@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended
+from .common import extended, mapped
 from .textvec import complete_groups
 
 ROLES = ["system", "user", "assistant"]
@@ -181,7 +181,7 @@ def format_transcripts(transcripts: DataFrame, model: Model, column: str = "text
             new = [pa.array([[r for r, _ in t] for t in turns], pa.list_(pa.string())), pa.array([len(t) for t in turns], pa.int32()), pa.array([render(t) for t in turns], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, "roles", "n_turns", "chat"])
 
-    return transcripts.select(*names).mapInArrow(rows, schema)
+    return mapped(transcripts.select(*names), rows, schema)
 
 
 #: How a raw transcript marks its speakers, by style; the last style marks none.
@@ -219,4 +219,4 @@ def transcripts(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["conv_id", "part", "text", "truth"])
 
     kind = conversations.schema["conv_id"].dataType.simpleString()
-    return rows.mapInArrow(join, f"conv_id {kind}, part long, text string, truth array<string>")
+    return mapped(rows, join, f"conv_id {kind}, part long, text string, truth array<string>")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, extended, written
+from .common import bounded_broadcast, extended, mapped, written
 from .textvec import grams, sliced, view, words
 
 K = 2
@@ -84,7 +84,7 @@ def _hashed(docs: DataFrame, k: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(rolled[at]))
             yield pa.RecordBatch.from_arrays([batch.column("_k0"), batch.column("_k1"), lists], ["_k0", "_k1", "grams"])
 
-    return docs.select("_k0", "_k1", "text").mapInArrow(scan, "_k0 long, _k1 long, grams array<long>")
+    return mapped(docs.select("_k0", "_k1", "text"), scan, "_k0 long, _k1 long, grams array<long>")
 
 
 def scan_licenses(docs: DataFrame, k: int = K, near: int = NEAR, votes: float = VOTES, match: float = MATCH) -> DataFrame:
@@ -174,4 +174,4 @@ def scan_licenses(docs: DataFrame, k: int = K, near: int = NEAR, votes: float =
             kind = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())]))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(x, t) for x, t in zip(zip(*out), kind))], [*names, *added])
 
-    return met.mapInArrow(verify, schema)
+    return mapped(met, verify, schema)

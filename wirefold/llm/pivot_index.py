@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, connected_components, written
+from .common import bounded_broadcast, connected_components, mapped, written
 from .ngram_join import forest
 from .textvec import complete_groups, matrix, pairs_at
 
@@ -86,7 +86,7 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, prefix: int = P
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "first", "copies")), batch.column("name"), pa.array([len(u) // 8 for u in out]), pa.array(out, pa.binary())], ["key", "first", "copies", "name", "width", "unit"])
 
     kind = table.schema["vec_id"].dataType.simpleString()
-    vectors = groups.mapInArrow(unit, f"key string, first {kind}, copies long, name string, width long, unit binary")
+    vectors = mapped(groups, unit, f"key string, first {kind}, copies long, name string, width long, unit binary")
     # Vectors of different lengths never link: the length is part of the label.
     vectors = written(vectors.withColumn("label", F.xxhash64("name", "width")), "pivot-vectors")
     pivots = vectors.sparkSession.sparkContext.broadcast(_pivots(vectors, per_root, max_pivots))
@@ -106,7 +106,7 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, prefix: int = P
                 part = batch.take(pa.array(row)) if hasattr(batch, "take") else pa.Table.from_batches([batch]).take(pa.array(row)).combine_chunks().to_batches()[0]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in ("label", "key", "copies", "unit")), lists], ["label", "key", "copies", "unit", "prefix"])
 
-    posted = written(vectors.mapInArrow(post, "label long, key string, copies long, unit binary, prefix array<int>"), "pivot-posted")
+    posted = written(mapped(vectors, post, "label long, key string, copies long, unit binary, prefix array<int>"), "pivot-posted")
     entries = posted.withColumn("pivot", F.explode("prefix")).where("pivot >= 0")
     sizes = posted.select("label", F.explode("prefix").alias("pivot")).groupBy("label", "pivot").agg(F.count("*").alias("size")).where("size > 1")
     entries = entries.join(bounded_broadcast(sizes), ["label", "pivot"])
@@ -148,7 +148,7 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, prefix: int = P
             name = table["key"].combine_chunks()
             yield pa.RecordBatch.from_arrays([name.take(has), pa.array(number[number > 0]), name.take(pa.array(root[number > 0]))], ["key", "links", "root"])
 
-    judged = entries.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(verify, "key string, links long, root string")
+    judged = mapped(entries.repartition(*KEYS).sortWithinPartitions(*KEYS), verify, "key string, links long, root string")
     judged = written(judged, "pivot-links")
     classes = connected_components(judged.select(F.col("key").alias("u"), F.col("root").alias("v")))
     member = vectors.select("key", "first", "copies")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, extended, written
+from .common import bounded_broadcast, extended, mapped, written
 from .textvec import complete_groups, mix, sliced, view
 
 WINDOW = 400
@@ -113,7 +113,7 @@ def listed(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 ["anchor", "seg", "k0", "k1", "pos", "left", "size"],
             )
 
-    return texts.mapInArrow(scan, "anchor long, seg long, k0 long, k1 long, pos int, left int, size int")
+    return mapped(texts, scan, "anchor long, seg long, k0 long, k1 long, pos int, left int, size int")
 
 
 def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -247,7 +247,7 @@ def _indexed(entries: DataFrame, window: int, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pick("gkey"), pick("entry"), *put], ["gkey", "entry", "before", "after"])
 
     dealt = entries.repartition("gkey").sortWithinPartitions("gkey")
-    return dealt.mapInArrow(build, "gkey long, entry long, before int, after int")
+    return mapped(dealt, build, "gkey long, entry long, before int, after int")
 
 
 def _split(entries: DataFrame, window: int) -> DataFrame:
@@ -279,7 +279,7 @@ def _split(entries: DataFrame, window: int) -> DataFrame:
                 names = [*(f.split()[0] for f in _ENTRY.split(", ")), "parent_gkey", "parent"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
 
-    return entries.mapInArrow(cut, f"{_ENTRY}, parent_gkey long, parent long")
+    return mapped(entries, cut, f"{_ENTRY}, parent_gkey long, parent long")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: int = LIMIT) -> DataFrame:
@@ -322,7 +322,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limi
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["gkey", "entry", "low", "high", "left", "copies", "context", "entries"])
 
-    entries = sources.select("text", "places").mapInArrow(contexts, f"{_ENTRY}, entries long")
+    entries = mapped(sources.select("text", "places"), contexts, f"{_ENTRY}, entries long")
     entries = written(entries, "repeat-entries")
     small = _indexed(entries.where(F.col("entries") <= limit).drop("entries"), window, gram)
     marks = small.select(F.col("gkey").alias("anchor"), F.col("entry").alias("seg"), "before", "after")
@@ -365,7 +365,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limi
             new = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], [*names, *added])
 
-    return met.mapInArrow(cut, schema)
+    return mapped(met, cut, schema)
 
 
 def _split_marks(large: DataFrame, window: int, gram: int, limit: int) -> DataFrame:

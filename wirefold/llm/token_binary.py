@@ -22,15 +22,18 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import ExitStack
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import mapped, shared_dir
+from .textvec import sliced
 
 #: Bytes that end an alphabetic word without joining it to what follows.
 _TAIL = ",.!?;:|*#$%&)"
@@ -56,13 +59,15 @@ class _Units(dict):
     space, so a text's ids are the concatenation of the ids of its pieces.
     """
 
-    LIMIT = 400_000
+    #: About so many bytes are held; then the pieces are forgotten.
+    LIMIT = 24 << 20
 
     def __init__(self, tokenizer, dtype, lead: str) -> None:
         super().__init__()
         self.tokenizer, self.dtype, self.lead = tokenizer, dtype, lead
         self.model, self.code = tokenizer.model, {2: "H", 4: "I"}[dtype.itemsize]
         self.plain: _Units = self
+        self.held = 0
         self.odd = False  # odd pieces are allowed: the text holds no _INNER
 
     def ids(self, text: str) -> bytes:
@@ -78,8 +83,9 @@ class _Units(dict):
             if not self.odd:
                 raise _Odd
             return self.ids(self.lead + piece)
-        if len(self) >= self.LIMIT:
+        if self.held >= self.LIMIT:
             self.clear()
+            self.held = 0
         left, line, right = piece.partition("\n")
         if line and left and right and not left[-1].isspace() and not right[0].isspace():
             out = self[left] + self.line + self.plain[right]
@@ -90,6 +96,7 @@ class _Units(dict):
             else:
                 out = self.ids(self.lead + piece)
         self[piece] = out
+        self.held += len(piece) + len(out) + 200  # two objects and a slot
         return out
 
 
@@ -144,22 +151,47 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def _publish(system, part: str, at: str) -> None:
+    """Give a finished file its name; a repeated task has written the same bytes."""
+    try:
+        system.move(part, at)
+    except OSError:
+        if system.get_file_info(at).type != fs.FileType.File:
+            raise
+        system.delete_file(part)
+
+
 def _put(folder: str, name: str, data: bytes) -> None:
     """Write through a temporary name, so that a repeated task leaves whole files."""
     system, at = _open(folder)
     part = f"{at}/.{name}-{uuid.uuid4().hex}"
     with system.open_output_stream(part) as out:
         out.write(data)
-    system.move(part, f"{at}/{name}")
+    _publish(system, part, f"{at}/{name}")
+
+
+class _Ranges:
+    """A file of numbers in a store that cannot be mapped: slices are read alone."""
+
+    def __init__(self, source, dtype: str) -> None:
+        self.source, self.dtype = source, np.dtype(dtype)
+        self.size = source.size() // self.dtype.itemsize
 
+    def __len__(self) -> int:
+        return self.size
 
-def _mapped(folder: str, name: str, dtype: str) -> np.ndarray:
-    """A file as an array: memory-mapped on a local or mounted folder, else read."""
+    def __getitem__(self, cut: slice) -> np.ndarray:
+        a, b, _ = cut.indices(self.size)
+        width = self.dtype.itemsize
+        return np.frombuffer(self.source.read_at(max(0, b - a) * width, a * width), self.dtype)
+
+
+def _mapped(folder: str, name: str, dtype: str) -> np.ndarray | _Ranges:
+    """A file as an array: memory-mapped on a local or mounted folder, else read in slices."""
     system, at = _open(f"{folder}/{name}")
     if isinstance(system, fs.LocalFileSystem):
         return np.memmap(at, dtype, "r") if Path(at).stat().st_size else np.empty(0, dtype)
-    with system.open_input_file(at) as source:
-        return np.frombuffer(source.read(), dtype)
+    return _Ranges(system.open_input_file(at), dtype)
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, partitions: int | None = None) -> tuple[str, list[tuple[int, int, int]], int]:
@@ -168,7 +200,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     Returns the folder, the sorted list of (partition, documents, ids) that
     hold anything, and the id width in bytes.  Rows come in ascending
     ``doc_id`` order, nulls first; repeated ``doc_id`` values are ordered by
-    text.  Other columns are ignored.  An empty table writes no files.
+    text, and may lie in several partitions.  Other columns are ignored.  An
+    empty table writes no files.  Ids, offsets and document ids are written
+    as they come; no task holds its partition's.
     """
     from tokenizers import Tokenizer
 
@@ -183,37 +217,44 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
 
         encoder, dtype = encoder_of(tokenizer_path), np.dtype(f"<u{width}")
         end = np.array([end_id], dtype).tobytes()
-        part = TaskContext.get().partitionId()
-        ids: list[bytes] = []
-        counts, keys = [0], []
-        total = 0
-        name = f"ids-{part:05d}.bin"
+        part, total, rows = TaskContext.get().partitionId(), 0, 0
         where, base = _open(folder)
-        temporary = f"{base}/.{name}-{uuid.uuid4().hex}"
-        with where.open_output_stream(temporary) as out:
-            for batch in batches:
-                keys += batch.column(0).to_pylist()
-                for text in batch.column(1).to_pylist():
+        names = [f"{x}-{part:05d}.bin" for x in ("ids", "offsets", "docs")]
+        parts = [f"{base}/.{name}-{uuid.uuid4().hex}" for name in names]
+        with ExitStack() as stack:
+            ids, offsets, keys = (stack.enter_context(where.open_output_stream(x)) for x in parts)
+            for batch in sliced(batches):
+                found: list[bytes] = []
+                counts = np.empty(batch.num_rows, "<u8")
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    counts[i] = total
                     got = encoder.encode(text) if text else b""
                     if encoder.dtype != dtype:
                         got = np.frombuffer(got, encoder.dtype).astype(dtype).tobytes()
-                    ids += (got, end)
+                    found += (got, end)
                     total += len(got) // width + 1
-                    counts.append(total)
-                out.write(b"".join(ids))
-                ids = []
-        if keys:
-            where.move(temporary, f"{base}/{name}")
-            _put(folder, f"offsets-{part:05d}.bin", np.array(counts, "<u8").tobytes())
-            _put(folder, f"docs-{part:05d}.bin", np.array([-(1 << 63) if k is None else k for k in keys], "<i8").tobytes())
-        else:
-            where.delete_file(temporary)
-        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(keys)]), pa.array([total])], ["part", "docs", "ids"])
+                ids.write(b"".join(found))
+                offsets.write(counts.tobytes())
+                keys.write(pc.fill_null(batch.column(0), -(1 << 63)).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                rows += batch.num_rows
+            offsets.write(np.array([total], "<u8").tobytes())
+        for name, x in zip(names, parts):
+            if rows:
+                _publish(where, x, f"{base}/{name}")
+            else:
+                where.delete_file(x)
+        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([rows]), pa.array([total])], ["part", "docs", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     number = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(number, "doc_id").sortWithinPartitions("doc_id", "text")
-    made = rows.mapInArrow(encode, "part long, docs long, ids long").collect()  # one row for each partition
+    # Ties of doc_id (nulls, too) are dealt by the first characters of the text,
+    # which agrees with their order by whole text.
+    rows = rows.withColumn("_start", F.substring("text", 1, 64)).repartitionByRange(number, "doc_id", "_start")
+    rows = rows.select("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    made = mapped(rows, encode, "part long, docs long, ids long").collect()  # one row for each partition
+    for info in system.get_file_info(fs.FileSelector(at)):
+        if info.base_name.startswith(".") and not info.base_name.endswith(".crc"):
+            system.delete_file(info.path)  # what lost tasks have left
     return folder, sorted((r.part, r.docs, r.ids) for r in made if r.docs), width
 
 
@@ -228,12 +269,12 @@ def read_tokens(spark, folder: str, parts: list[tuple[int, int, int]], width: in
         for batch in batches:
             for part, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = _mapped(folder, f"ids-{part:05d}.bin", f"<u{width}")
-                offsets = _mapped(folder, f"offsets-{part:05d}.bin", "<u8").astype(np.int64)
-                keys = np.array(_mapped(folder, f"docs-{part:05d}.bin", "<i8"))
-                for a in range(0, len(keys), 4096):
-                    cut = offsets[a : a + 4097]
+                offsets = _mapped(folder, f"offsets-{part:05d}.bin", "<u8")
+                keys = _mapped(folder, f"docs-{part:05d}.bin", "<i8")
+                for a in range(0, len(keys), 1024):
+                    cut = offsets[a : a + 1025].astype(np.int64)
                     sums = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(cut, cut[1:])]
-                    some = keys[a : a + 4096]
+                    some = np.array(keys[a : a + 1024])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(some, mask=some == -(1 << 63)), pa.array(at + cut[:-1]), pa.array(np.diff(cut)), pa.array(sums, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
@@ -243,7 +284,7 @@ def read_tokens(spark, folder: str, parts: list[tuple[int, int, int]], width: in
     if not rows:
         return spark.createDataFrame([], schema)
     table = spark.createDataFrame(rows, "part long, base long").repartition(len(rows), "part")
-    return table.mapInArrow(read, schema)
+    return mapped(table, read, schema)
 
 
 def token_binary(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, partitions: int | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, written
+from .common import extended, mapped, written
 from .textvec import LOWER, mix, powers, sliced, view, words
 
 #: Labelled rows used for fitting: the bound of the sample.
@@ -342,7 +342,7 @@ def _items(sample: DataFrame) -> DataFrame:
                 columns = [np.full(len(cut), kind), code[cut].view(np.int64), mine[cut] // 2, mine[cut] % 2, number]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["kind", "key", "fold", "toxic", "n"])
 
-    return sample.mapInArrow(scan, "kind long, key long, fold long, toxic long, n long").groupBy("kind", "key", "fold", "toxic").agg(F.sum("n").alias("n"))
+    return mapped(sample, scan, "kind long, key long, fold long, toxic long, n long").groupBy("kind", "key", "fold", "toxic").agg(F.sum("n").alias("n"))
 
 
 def _lexicons(sample: DataFrame, folds: int) -> list[Lexicon]:
@@ -379,7 +379,7 @@ def _cross_fitted(sample: DataFrame, lexicons: list[Lexicon]) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(p.n + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("order", "fold", "toxic")), flat], ["order", "fold", "toxic", "x"])
 
-    return sample.mapInArrow(scan, "order long, fold long, toxic long, x array<double>")
+    return mapped(sample, scan, "order long, fold long, toxic long, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, folds: int = FOLDS) -> Model | None:
@@ -439,4 +439,4 @@ def predict(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD)
             new = [pa.array(got), pa.array((got >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "score", "predicted"])
 
-    return docs.select(*names).mapInArrow(score, schema)
+    return mapped(docs.select(*names), score, schema)
