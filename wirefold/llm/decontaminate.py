@@ -1,143 +1,194 @@
 """Benchmark decontamination by greedy string tiling.
 
 Texts and benchmark items are sequences of lower-cased words.  Rolling
-(Karp-Rabin) hashes of ``k`` words are the seeds; a document that shares seeds
-with an item is tiled against it: the longest match of unmarked words is
-marked, again and again, so moved passages count as well as whole ones.  The
-share of an item's words under tiles is its coverage; a document is
-contaminated if an item's coverage reaches the threshold.
-
-The benchmark is the stated query set: it is read in blocks of at most
-``block_words`` words, and each block meets all documents without a shuffle.
+(Karp-Rabin) hashes of ``k`` words are the seeds.  A Spark join of the
+documents' seeds with the benchmark's gives, for each text and item that share
+any, the places of the shared seeds; a bit filter of the benchmark's seeds
+keeps all other places of the documents out of the join.  Each such pair is
+then tiled: the longest match of unmarked words is marked, again and again, so
+moved passages count as well as whole ones.  The share of an item's words under
+tiles is its coverage; a document is contaminated if an item's coverage reaches
+the threshold.
+
+Nothing is collected but the filter, whose size is bounded; texts that share no
+seed are never shuffled while the benchmark's matches are few, and a text's
+copies are tiled once.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended
-from .textvec import grams, sliced, view, words
+from .common import BROADCAST_ROWS, bounded_broadcast, mapped, written
+from .textvec import grams, powers, sliced, view, words
 
 K = 5
 THRESHOLD = 0.5
-#: Words of one benchmark block: 8 bytes each, and as much again for seeds.
-BLOCK_WORDS = 1_000_000
-
-
-@dataclass
-class Block:
-    """Items of one block: word hashes, bounds, and their sorted seeds."""
-
-    ids: list[int | None]
-    code: np.ndarray
-    first: np.ndarray
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length: hash, item, position
-
-
-def make_block(ids: list[int | None], texts: list[str | None], k: int = K) -> Block:
-    """An item of fewer than ``k`` words has one seed of all its words."""
-    w = words(*view(pa.array(texts, pa.large_string())))
-    code, first = w["hash"], w["first"]
-    found: dict[int, list] = {}
-    for i, (a, b) in enumerate(zip(first, first[1:])):
-        length = min(k, b - a)
-        if length:
-            g = grams(code[a:b], length)
-            found.setdefault(int(length), []).append((g, np.full(len(g), i), np.arange(len(g))))
-    seeds = {}
-    for length, parts in found.items():
-        g, item, at = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(g, kind="stable")
-        seeds[length] = g[order], item[order], at[order]
-    return Block(ids, code, first, seeds)
-
-
-def tile(matches: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (item start, text start, length) from seed matches.
-
-    ``matches`` has a row (item position, text position) per equal k-gram.
+#: The filter has 2**FILTER_BITS bits at most (16 MB).  A larger benchmark lets
+#: more places pass it; the join that follows is exact in any case.
+FILTER_BITS = 27
+#: Parts of each seed in a shuffled join, so that a hot one meets several tasks.
+SALT = 16
+
+
+def _items(benchmark: DataFrame, k: int) -> DataFrame:
+    """(item, item_id, words, k, grams) of the items with a word; an item of
+    fewer than ``k`` words has one seed of all its words."""
+    rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            w = words(*view(batch.column("text")))
+            code, first = w["hash"], w["first"]
+            number = np.diff(first)
+            has = np.flatnonzero(number)
+            length = np.minimum(number[has], k)
+            lists = [grams(code[a : a + n], m).view(np.int64) for a, n, m in zip(first[has], number[has], length)]
+            take = pa.array(has)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("item").take(take), batch.column("item_id").take(take), pa.array(number[has]), pa.array(length), pa.array(lists, pa.list_(pa.int64()))],
+                ["item", "item_id", "words", "k", "grams"],
+            )
+
+    return mapped(rows.withColumn("item", F.xxhash64("item_id", "text")), scan, "item long, item_id long, words long, k long, grams array<long>")
+
+
+def _filter(seeds: DataFrame, number: int) -> tuple[np.ndarray, int]:
+    """Bits of all seeds, by their leading bits, as 64-bit words."""
+    bits = min(FILTER_BITS, max(16, int(16 * number).bit_length()))
+    place = F.shiftrightunsigned("gram", 64 - bits)
+    one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {64 - bits}) & 63 AS INT))")
+    table = seeds.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(one).alias("word")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[table["at"].to_numpy()] = np.ascontiguousarray(table["word"].to_numpy()).view(np.uint64)
+    return out, bits
+
+
+def tile(place: np.ndarray, gram: np.ndarray, item: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (item start, text start, length), all in words.
+
+    ``place`` (ascending) and ``gram`` are the text's seeds that occur in the
+    item, ``item`` all seeds of the item in order.  Of equally long matches the
+    first in the item goes first, then the first in the text.  Matches are
+    found by their rolling hashes, longest first, by bisection of the length;
+    memory is linear in both sides whatever repeats in them.
     """
-    if not len(matches):
+    if not len(place):
         return []
-    item, text = matches[:, 0], matches[:, 1]
-    order = np.lexsort((item, text - item))
-    item, text = item[order], text[order]
-    new = np.ones(len(item), bool)
-    new[1:] = (np.diff(text - item) != 0) | (np.diff(item) != 1)
-    start = np.flatnonzero(new)
-    length = np.diff(np.append(start, len(item))) + k - 1
-    heap = [(-int(n), int(i), int(t)) for n, i, t in zip(length, item[start], text[start])]
-    heapq.heapify(heap)
-    used_item, used_text, tiles = set(), set(), []
-    while heap:
-        n, i, t = heapq.heappop(heap)
-        n = -n
-        free = [i + j not in used_item and t + j not in used_text for j in range(n)]
-        if all(free):
-            tiles.append((i, t, n))
-            used_item.update(range(i, i + n))
-            used_text.update(range(t, t + n))
-            continue
-        a = None  # what is left of the match goes back, in unmarked pieces
-        for j, ok in enumerate([*free, False]):
-            if ok and a is None:
-                a = j
-            elif not ok and a is not None:
-                if j - a >= k:
-                    heapq.heappush(heap, (a - j, i + a, t + a))
-                a = None
+    # Seeds further apart than k words don't overlap: their distance is cut.
+    at = np.concatenate(([0], np.cumsum(np.minimum(np.diff(place), k + 1))))
+    code = np.zeros(at[-1] + 1, np.uint64)
+    code[at] = gram
+    where = np.zeros(len(code), np.int64)
+    where[at] = place
+    real = np.zeros(len(code), bool)
+    real[at] = True
+    up, down = powers(max(len(code), len(item)) + 1)
+    sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(c * up[: len(c)], dtype=np.uint64))) for c in (item, code)]
+    free = [np.ones(len(item) + k - 1, bool), np.ones(len(code) + k - 1, bool)]
+    known = [np.ones(len(item), bool), real]
+
+    def starts(side: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Unmarked starts of n seeds in a row (n + k - 1 words), and their hashes."""
+        total = len(known[side]) - n + 1
+        if total <= 0:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        ok = np.concatenate(([0], np.cumsum(known[side])))
+        open_ = np.concatenate(([0], np.cumsum(free[side])))
+        good = np.flatnonzero((ok[n : n + total] - ok[:total] == n) & (open_[n + k - 1 : n + k - 1 + total] - open_[:total] == n + k - 1))
+        return good, (sums[side][good + n] - sums[side][good]) * down[good]
+
+    def shared(n: int) -> bool:
+        return bool(np.isin(starts(0, n)[1], starts(1, n)[1]).any())
+
+    tiles, most = [], min(len(item), len(code))
+    while most and shared(1):
+        low, high = 1, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if shared(middle) else (low, middle - 1)
+        length = low + k - 1
+        (mine, a), (theirs, b) = starts(0, low), starts(1, low)
+        order = np.argsort(b, kind="stable")  # by hash, then by place
+        b, theirs = b[order], theirs[order]
+        for i, left, right in zip(mine.tolist(), np.searchsorted(b, a, "left").tolist(), np.searchsorted(b, a, "right").tolist()):
+            if left == right or not free[0][i : i + length].all():
+                continue
+            for t in theirs[left:right].tolist():
+                if free[1][t : t + length].all():
+                    free[0][i : i + length] = free[1][t : t + length] = False
+                    tiles.append((i, int(where[t]), length))
+                    break
+        most = low - 1
     return tiles
 
 
-def covered(block: Block, code: np.ndarray, first: np.ndarray) -> dict[int, list[tuple[int, float, int]]]:
-    """Row to (item, coverage, tiles) for all items that share a seed with it."""
-    out: dict[int, list[tuple[int, float, int]]] = {}
-    for length, (seed, item, at) in block.seeds.items():
-        got = grams(code, length)
-        if not len(got):
-            continue
-        row = np.searchsorted(first, np.arange(len(got)), side="right") - 1
-        place = np.minimum(np.searchsorted(seed, got), len(seed) - 1)
-        hit = np.flatnonzero((seed[place] == got) & (np.arange(len(got)) + length <= first[row + 1]))
-        if not len(hit):
-            continue
-        low = place[hit]
-        high = np.searchsorted(seed, got[hit], side="right")
-        number = high - low
-        pos = np.repeat(hit, number)
-        each = np.repeat(low - (np.cumsum(number) - number), number) + np.arange(number.sum())
-        rows, items, starts = row[pos], item[each], at[each]
-        order = np.lexsort((items, rows))
-        rows, items, starts, pos = rows[order], items[order], starts[order], pos[order]
-        cut = np.flatnonzero(np.concatenate(([True], (np.diff(rows) != 0) | (np.diff(items) != 0))))
-        for a, b in zip(cut, [*cut[1:], len(rows)]):
-            tiles = tile(np.column_stack((starts[a:b], pos[a:b] - first[rows[a]])), length)
-            total = block.first[items[a] + 1] - block.first[items[a]]
-            out.setdefault(int(rows[a]), []).append((int(items[a]), sum(t[2] for t in tiles) / int(total), len(tiles)))
-    return out
-
-
-def blocks(benchmark: DataFrame, k: int, block_words: int) -> Iterator[Block]:
-    """The benchmark's items with a word, cut into bounded blocks by item_id."""
-    sized = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    sized = sized.withColumn("size", F.size(F.split("text", r"\s+")).cast("long"))
-    # Prefix sums over the benchmark only, whose size is the query set's.
-    sized = sized.withColumn("_block", F.floor(F.sum("size").over(Window.orderBy("item_id", "text")) / block_words))
-    numbers = sorted(r._block for r in sized.select("_block").distinct().collect())
-    for number in numbers:
-        rows = sized.where(F.col("_block") == number).select("item_id", "text").collect()
-        rows.sort(key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
-        yield make_block([r.item_id for r in rows], [r.text for r in rows], k)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _shared_seeds(keyed: DataFrame, items: DataFrame) -> DataFrame:
+    """(k0, k1, item, hits): the places of all seeds a text shares with an item."""
+    seeds = items.select("item", "k", F.explode("grams").alias("gram")).distinct()
+    number = seeds.count()
+    bitmap, bits = _filter(seeds, number)
+    lengths = sorted(r.k for r in items.select("k").distinct().collect())  # at most k numbers
+    shared = keyed.sparkSession.sparkContext.broadcast(bitmap)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
+        for batch in sliced(batches):
+            w = words(*view(batch.column("text")))
+            first = w["first"]
+            for length in lengths:
+                got = grams(w["hash"], length)
+                place = got >> np.uint64(64 - bits)
+                hit = np.flatnonzero((bitmap[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+                row = w["doc"][hit]
+                inside = hit + length <= first[row + 1]
+                hit, row = hit[inside], row[inside]
+                if len(hit):
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("k0").take(take), batch.column("k1").take(take), pa.array((hit - first[row]).astype(np.int64)), pa.array(got[hit].view(np.int64)), pa.array(np.full(len(hit), length))],
+                        ["k0", "k1", "pos", "gram", "k"],
+                    )
+
+    # A text's copies find the same places: one of each is joined.
+    places = mapped(keyed.where("text IS NOT NULL").select("k0", "k1", "text"), scan, "k0 long, k1 long, pos long, gram long, k long").distinct()
+    if number <= BROADCAST_ROWS:
+        met = places.join(F.broadcast(seeds), ["gram", "k"])
+    else:
+        salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        met = places.withColumn("salt", F.pmod(F.xxhash64("k0", "pos"), F.lit(SALT)).cast("int")).join(salted, ["gram", "k", "salt"])
+    # The list of a text and an item is no longer than the text.
+    found = met.groupBy("k0", "k1", "item").agg(F.collect_list(F.struct("pos", "gram")).alias("hits"))
+    return found.join(bounded_broadcast(items, rows=number), "item")
+
+
+def coverages(keyed: DataFrame, benchmark: DataFrame, k: int) -> DataFrame:
+    """(k0, k1, item_id, coverage, tiles) of all pairs of a text and an item that share a seed."""
+    items = written(_items(benchmark, k), "decon-items")
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            share, number = [], []
+            for row in range(batch.num_rows):
+                hits = batch.column("hits")[row].values
+                place, gram = (np.ascontiguousarray(pc.struct_field(hits, x).to_numpy(zero_copy_only=False)) for x in ("pos", "gram"))
+                order = np.argsort(place)
+                mine = np.ascontiguousarray(batch.column("grams")[row].values.to_numpy()).view(np.uint64)
+                tiles = tile(place[order], gram[order].view(np.uint64), mine, batch.column("k")[row].as_py())
+                share.append(sum(t[2] for t in tiles) / batch.column("words")[row].as_py())
+                number.append(len(tiles))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k0", "k1", "item_id")), pa.array(share, pa.float64()), pa.array(number, pa.int32())], ["k0", "k1", "item_id", "coverage", "tiles"])
+
+    return mapped(_shared_seeds(keyed, items), cover, "k0 long, k1 long, item_id long, coverage double, tiles int")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
     """Adds coverage, item_id, n_tiles, items and contaminated to every document.
 
     ``coverage`` is the largest share of an item's words under tiles (0 if no
@@ -146,37 +197,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold:
     Words are ``[0-9a-z]`` and non-ASCII runs of the A-Z-lowered text.  Null
     and empty texts are clean; items without a word match nothing; an item with
     a text but no item_id counts like any other and is reported as null (behind
-    the others in ``items`` and in ties); an item of fewer than k words must occur whole.  Whole texts are
-    read; repeated rows get the same; input columns of the added names are
-    replaced; empty tables are fine on either side.
+    the others in ``items`` and in ties); an item of fewer than k words must
+    occur whole; repeated items count once.  Whole texts are read; repeated
+    rows get the same; input columns of the added names, and of ``_k0`` and
+    ``_k1``, are replaced; empty tables are fine on either side.
     """
     added = ["coverage", "item_id", "n_tiles", "items", "contaminated"]
-    names = [c for c in docs.columns if c not in added]
-    schema = extended(docs.select(*names).schema, "coverage double, item_id long, n_tiles int, items array<bigint>, contaminated boolean")
-    out = docs.select(*names, F.lit(0.0).alias("coverage"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("n_tiles"), F.array().cast("array<long>").alias("items"), F.lit(False).alias("contaminated"))
-    context = docs.sparkSession.sparkContext
-
-    def against(shared):
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches):
-                block = shared.value
-                w = words(*view(batch.column("text")))
-                found = covered(block, w["hash"], w["first"])
-                before = [batch.column(c).to_pylist() for c in added]
-                for row, got in found.items():
-                    best = before[0][row], before[1][row] is not None, -(before[1][row] or 0), before[2][row]
-                    for item, share, tiles in got:
-                        number = block.ids[item]
-                        best = max(best, (share, number is not None, -(number or 0), tiles))
-                        if share >= threshold:
-                            before[3][row] = sorted({*before[3][row], number}, key=lambda x: (x is None, x or 0))
-                    before[0][row], before[1][row], before[2][row] = best[0], -best[2] if best[1] else None, best[3]
-                    before[4][row] = bool(before[3][row])
-                kinds = [pa.float64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(x, t) for x, t in zip(before, kinds))], [*names, *added])
-
-        return scan
-
-    for block in blocks(benchmark, k, block_words):
-        out = out.mapInArrow(against(context.broadcast(block)), schema)
-    return out
+    names = [c for c in docs.columns if c not in (*added, "_k0", "_k1")]
+    docs = docs.select(*names)
+    k0, k1 = F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")
+    pairs = coverages(docs.select(k0.alias("k0"), k1.alias("k1"), "text"), benchmark, k)
+    enough = F.col("coverage") >= threshold
+    best = F.struct("coverage", F.col("item_id").isNotNull(), -F.coalesce("item_id", F.lit(0)), "tiles", "item_id")
+    found = pairs.groupBy(F.col("k0").alias("_k0"), F.col("k1").alias("_k1")).agg(
+        F.max(best).alias("best"), F.array_sort(F.collect_set(F.when(enough, F.col("item_id")))).alias("items"),
+        F.max(enough & F.col("item_id").isNull()).alias("unnamed"),
+    )
+    every = F.when(F.col("unnamed"), F.concat("items", F.array(F.lit(None).cast("long")))).otherwise(F.col("items"))
+    found = written(found.select("_k0", "_k1", "best.coverage", "best.item_id", F.col("best.tiles").alias("n_tiles"), every.alias("items")), "decon-found")
+    # One row of ``found`` for each text: copies of a hot text are split by the
+    # adaptive skew join, and texts that cannot match stay out of it.
+    some = docs.where("text IS NOT NULL").withColumn("_k0", k0).withColumn("_k1", k1).join(bounded_broadcast(found), ["_k0", "_k1"], "left")
+    none = docs.where("text IS NULL").select(*names, *(F.lit(None).cast(t).alias(c) for c, t in (("coverage", "double"), ("item_id", "long"), ("n_tiles", "int"), ("items", "array<long>"))))
+    out = some.select(*names, "coverage", "item_id", "n_tiles", "items").unionByName(none)
+    items = F.coalesce("items", F.array().cast("array<long>"))
+    return out.select(
+        *names, F.coalesce("coverage", F.lit(0.0)).alias("coverage"), "item_id", F.coalesce("n_tiles", F.lit(0)).alias("n_tiles"),
+        items.alias("items"), (F.size(items) > 0).alias("contaminated"),
+    )
