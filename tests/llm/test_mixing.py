@@ -1,6 +1,7 @@
+import random
 from collections import Counter, defaultdict
 
-from wirefold.llm.mixing import drawn, mix_sources
+from wirefold.llm.mixing import _halved, drawn, mix_sources
 
 SCHEMA = "doc_id long, text string, source string, size string, shard string"
 
@@ -58,3 +59,24 @@ def test_empty_and_ties(spark):
     frame = made(spark, [("a b c", "s")] * 50).withColumn("doc_id", made(spark, []).doc_id * 0) if False else spark.createDataFrame([(1, "a b c", "s", "", "")] * 50, SCHEMA)
     out = mix_sources(frame).collect()
     assert {(r.copies, r.target) for r in out} == {(1, 150.0)}
+
+
+def test_few_documents_come_near_the_target(spark):
+    rng = random.Random(9)
+    rows = [("w " * rng.randint(1, 900), f"s{i % 5}") for i in range(200)]
+    out = mix_sources(made(spark, rows)).collect()
+    sizes, taken, target = Counter(), Counter(), {}
+    for r in out:
+        sizes[r.source] += r["size"]
+        taken[r.source] += r["size"] * len(r.shards)
+        target[r.source] = r.target
+        assert r.copies == len(r.shards) <= 3 and all(0 <= s < 16 for s in r.shards)
+    assert all(abs(taken[s] - target[s]) <= max(0.02 * target[s], 5) for s in target)
+
+
+def test_tree_halves_its_nodes(spark):
+    units = spark.createDataFrame([(f"s{i % 3}", i, i % 16, 1) for i in range(1001)], "source string, unit int, block int, pass int").selectExpr("*", "0 AS node")
+    for level in range(3):
+        units = _halved(units, level, 7)
+        sizes = Counter(r.node for r in units.collect())
+        assert sum(sizes.values()) == 1001 and max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 2 << level

@@ -15,7 +15,9 @@ def op4_mixing(spark, sf_dir):
     from .mixing import mix_sources
 
     mixed = mix_sources(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    # What the shards of the splitting tree draw of a document.
+    taken = F.col("size") * F.size("shards")
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
 
 
 def op5_token_binary(spark, sf_dir):
@@ -121,8 +123,29 @@ FROM r GROUP BY r.x
 """
 
 
-#: Blocks, targets and the boundary block's documents by the same md5 numbers.
-MIXING_SQL = r"""
+_TREE_LEVEL = """
+h{n} AS (
+  SELECT * EXCLUDE (node), node * 2 + CASE WHEN row_number() OVER (PARTITION BY node ORDER BY
+      ('0x' || substr(md5('tree7.{n}:' || coalesce(source, chr(0)) || ':' || unit || ':' || pass), 1, 15))::BIGINT, source NULLS FIRST, unit, pass)
+    > (count(*) OVER (PARTITION BY node) + node % 2) // 2 THEN 1 ELSE 0 END AS node
+  FROM {source}),"""
+
+_NEARER_ROUND = """
+f{n} AS (
+  SELECT e.source, min({{'miss': abs(e.gap - d.size * e.sign), 'k': d.k, 'size': d.size, 'sign': e.sign}}) AS x
+  FROM (SELECT *, CASE WHEN gap > 0 THEN 1 WHEN gap < 0 THEN -1 END AS sign FROM {source}) e
+  JOIN c d ON d.source IS NOT DISTINCT FROM e.source AND (d.base > d.whole) = (e.sign < 0)
+  WHERE abs(e.gap - d.size * e.sign) < abs(e.gap) AND NOT list_contains(e.flips, {{'k': d.k, 'size': d.size, 'sign': e.sign}})
+  GROUP BY e.source),
+g{n} AS (
+  SELECT e.source, CASE WHEN f.x IS NULL THEN e.gap ELSE e.gap - f.x.size * f.x.sign END AS gap,
+         CASE WHEN f.x IS NULL THEN e.flips ELSE list_append(e.flips, {{'k': f.x.k, 'size': f.x.size, 'sign': f.x.sign}}) END AS flips
+  FROM {source} e LEFT JOIN f{n} f ON f.source IS NOT DISTINCT FROM e.source),"""
+
+#: Blocks, targets, the splitting tree, the edge block's documents and the single
+#: documents that come nearer, by the same md5 numbers.
+MIXING_SQL = (
+    r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          ('0x' || substr(md5('doc7:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k
@@ -144,17 +167,43 @@ t AS (
 u AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 p AS (
-  SELECT b.source, b.block, b.block_size, u.source_size, u.target, u.whole,
-         u.target - u.whole * u.source_size - (sum(b.block_size) OVER (PARTITION BY b.source
-           ORDER BY ('0x' || substr(md5('perm7:' || coalesce(b.source, chr(0)) || ':' || b.block), 1, 15))::BIGINT, b.block) - b.block_size) AS quota
-  FROM b JOIN u ON b.source IS NOT DISTINCT FROM u.source),
+  SELECT b.source, b.block, b.block_size, u.source_size, u.target, u.whole, row_number() OVER o AS unit,
+         u.target - u.whole * u.source_size - (sum(b.block_size) OVER o - b.block_size) AS quota
+  FROM b JOIN u ON b.source IS NOT DISTINCT FROM u.source
+  WINDOW o AS (PARTITION BY b.source ORDER BY ('0x' || substr(md5('perm7:' || coalesce(b.source, chr(0)) || ':' || b.block), 1, 15))::BIGINT, b.block)),
+q AS (
+  SELECT *, quota > 0 AND quota < block_size AS edge, (whole + CASE WHEN quota >= block_size THEN 1 ELSE 0 END)::BIGINT AS passes FROM p),
+h AS (
+  SELECT source, unit, block, unnest(range(1, passes + CASE WHEN edge THEN 2 ELSE 1 END)) AS pass, 0 AS node FROM q),"""
+    + "".join(_TREE_LEVEL.format(n=n, source=f"h{n - 1}" if n else "h") for n in range(4))
+    + r"""
+a AS (
+  SELECT x.source, x.block, list(y.node ORDER BY x.pass) AS shards
+  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pass, unit) AS i FROM h3) x
+  JOIN (SELECT *, row_number() OVER (PARTITION BY source ORDER BY node, pass, unit) AS i FROM h3) y
+    ON x.source IS NOT DISTINCT FROM y.source AND x.i = y.i
+  GROUP BY ALL),
 m AS (
-  SELECT d.*, p.* EXCLUDE (source, block), p.block,
+  SELECT d.*, q.* EXCLUDE (source, block), q.block,
          sum(d.size) OVER (PARTITION BY d.source, d.k % 256 ORDER BY d.k, d.size ROWS UNBOUNDED PRECEDING) - d.size / 2.0 AS near
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.k % 256 = p.block),
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source AND d.k % 256 = q.block),
+z AS (
+  SELECT *, max(CASE WHEN edge AND near <= quota THEN k END) OVER (PARTITION BY source, block) AS cut FROM m),
 c AS (
-  SELECT *, max(CASE WHEN quota > 0 AND quota < block_size AND near <= quota THEN k END) OVER (PARTITION BY source, block) AS cut FROM m)
-SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN quota >= block_size OR k <= cut THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM c
+  SELECT *, passes + CASE WHEN edge AND k <= cut THEN 1 ELSE 0 END AS base FROM z),
+g AS (
+  SELECT source, any_value(quota) - sum(CASE WHEN k <= cut THEN size ELSE 0 END) AS gap, []::STRUCT(k BIGINT, size BIGINT, sign INTEGER)[] AS flips
+  FROM c WHERE edge GROUP BY source),"""
+    + "".join(_NEARER_ROUND.format(n=n, source=f"g{n - 1}" if n else "g") for n in range(2))
+    + r"""
+e AS (
+  SELECT q.source, any_value(a.shards[-1]) AS shard FROM q JOIN a ON a.source IS NOT DISTINCT FROM q.source AND a.block = q.block WHERE q.edge GROUP BY q.source),
+r AS (
+  SELECT c.*, a.shards, e.shard, coalesce(list_filter(g1.flips, lambda x: x.k = c.k AND x.size = c.size)[1].sign, 0) AS sign
+  FROM c LEFT JOIN a ON a.source IS NOT DISTINCT FROM c.source AND a.block = c.block
+  LEFT JOIN e ON e.source IS NOT DISTINCT FROM c.source LEFT JOIN g1 ON g1.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, size, source_size, target, (size * (base + sign))::BIGINT AS taken,
+       array_to_string(list_concat(coalesce(shards, [])[1:base + least(sign, 0)], CASE WHEN sign > 0 THEN [shard] ELSE [] END), ',') AS shards
+FROM r
 """
+)
