@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wirefold.llm.common import written
+from wirefold.llm.common import made, release, written
 from wirefold.llm.decontaminate import decontaminate
 from wirefold.llm.language_id import predict, train
 from wirefold.llm.mixing import drawn, mix_sources
@@ -61,7 +61,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the whole table ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        release(spark, since=before, keep=1)  # all but this stage's output
     return STAGES[-1][1](spark, docs, sf_dir)
