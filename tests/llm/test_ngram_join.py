@@ -66,10 +66,10 @@ def corpus(seed, near=30):
 
 
 def test_against_brute_force(spark):
-    for seed, limit, block in ((1, 64, 512), (2, 4, 8)):
+    for seed, limit, block, alike in ((1, 64, 512, 0.6), (2, 4, 8, 0.6), (2, 4, 8, 2.0)):
         rows = corpus(seed)
         frame = spark.createDataFrame([(i, t, "clash", "s") for i, t in rows], SCHEMA).repartition(3)
-        out = near_duplicates(frame, limit=limit, block=block, recall=0.9999).collect()
+        out = near_duplicates(frame, limit=limit, block=block, recall=0.9999, alike=alike).collect()
         assert sorted((r.doc_id, r.class_id, r.n_links) for r in out) == sorted(brute(rows))
         heads = [r for r in out if r.kept]
         assert sorted(r.doc_id for r in heads) == sorted({c for _, c, _ in brute(rows)})
@@ -81,7 +81,7 @@ def test_edges(spark):
     out = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(r.n_links for r in out) == [0, 3, 3, 3, 3]
     assert sum(r.kept for r in out if r.n_links) == 1
-    assert runs_needed(0.9995, 1, 50.0) == 1 and runs_needed(0.9995) == 8
+    assert runs_needed(0.9995, 1, 50.0) == 1 and runs_needed(0.9995) == 5
 
 
 def test_components(spark):
@@ -111,7 +111,7 @@ def test_recall_at_the_threshold(spark):
             near += 1
             rows += [" ".join(base), " ".join(other)]
     frame = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(rows)], SCHEMA)
-    for options in ({}, {"limit": 1}):
+    for options in ({}, {"limit": 1, "alike": 2.0}):
         out = near_duplicates(frame, **options).collect()
         assert sum(r.n_links for r in out) >= 2 * 0.98 * near and sum(r.n_links for r in out) <= 2 * near
 

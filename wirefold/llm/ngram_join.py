@@ -6,8 +6,9 @@ its shingles whose hash (with the run and the path so far) lies below
 ``branching / (threshold * size)``, so a set follows several paths and two sets
 that share the most of their shingles share ``branching`` extensions or more
 on average.  Sets with the same path are a bucket.  Buckets of more than
-``limit`` sets are split by the next level; small buckets, and those of the last
-level, are compared by brute force.  Runs are repeated until a pair at the
+``limit`` sets are split by the next level; small buckets, those of the last
+level, and large ones whose sets are alike (splitting would only repeat them)
+are compared by brute force.  Runs are repeated until a pair at the
 threshold is found with the target recall, even if all levels split it.
 
 In a bucket, pairs are first judged by bottom-k sketches of their sets, whose
@@ -35,8 +36,12 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 LEVELS = 4
 #: Shared extensions of a path that a pair at the threshold has on average.
-BRANCHING = 1.5
+BRANCHING = 2.0
 LIMIT = 64
+#: Share of a large bucket's sets with the most common probes (minimal hashes of
+#: PROBES classes of shingles) from which it is not split.
+ALIKE = 0.6
+PROBES = 4
 BLOCK = 512
 #: Shingle hashes in a sketch, and the share of pairs at the threshold that the
 #: sketches may lose.
@@ -111,7 +116,7 @@ def _list_array(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def first_paths(texts: DataFrame, k: int, runs: int, threshold: float, branching: float) -> DataFrame:
-    """(key, text) to (key, size, sketch, paths): one step of every run's paths."""
+    """(key, text) to (key, size, sketch, probes, paths): one step of every run's paths."""
     seeds = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +139,15 @@ def first_paths(texts: DataFrame, k: int, runs: int, threshold: float, branching
             sketches = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(low))).astype(np.int32)), pa.array((code[at] >> np.uint64(32)).astype(np.int64) - (1 << 31), pa.int32()))
             lists = _list_array(path, np.searchsorted(owner, np.arange(len(size) + 1)))
             take = pa.array(has)
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(take), pa.array(size[has].astype(np.int32)), sketches.take(take), lists.take(take)], ["key", "size", "sketch", "paths"])
+            probes = np.full((len(size), PROBES), -1)
+            kind = (code % np.uint64(PROBES)).astype(np.int64)
+            for j in range(PROBES):
+                mine = np.flatnonzero(kind == j)[::-1]  # the smallest of each row is written last
+                probes[row[mine], j] = (code[mine] >> np.uint64(32)).astype(np.int64)
+            tests = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * PROBES), pa.array(probes.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(take), pa.array(size[has].astype(np.int32)), *(x.take(take) for x in (sketches, tests, lists))], ["key", "size", "sketch", "probes", "paths"])
 
-    return mapped(texts.select("key", "text"), sign, "key string, size int, sketch array<int>, paths array<long>")
+    return mapped(texts.select("key", "text"), sign, "key string, size int, sketch array<int>, probes array<long>, paths array<long>")
 
 
 def deeper_paths(texts: DataFrame, k: int, levels: int, threshold: float, branching: float) -> DataFrame:
@@ -187,13 +198,27 @@ def _buckets(rows: DataFrame, limit: int, tag: str) -> tuple[DataFrame, DataFram
     return small.select(F.explode("keys").alias("key"), F.col("path").alias("leaf"), F.size("keys").cast("long").alias("size")), large
 
 
-def leaves(signed: DataFrame, texts, k: int, levels: int, limit: int, threshold: float, branching: float) -> DataFrame:
+def _alike(rows: DataFrame, large: DataFrame, share: float) -> DataFrame:
+    """(path, size) of the large buckets in which most sets have the same probes."""
+    probed = rows.join(bounded_broadcast(large), "path").select("path", "size", F.posexplode("probes").alias("kind", "probe"))
+    times = probed.groupBy("path", "size", "kind", "probe").agg(F.count("*").alias("n"))
+    most = times.groupBy("path", "size", "kind").agg(F.max("n").alias("n"))
+    return most.groupBy("path", "size").agg(F.avg(F.col("n") / F.col("size")).alias("share")).where(F.col("share") >= share).drop("share")
+
+
+def leaves(signed: DataFrame, texts, k: int, levels: int, limit: int, threshold: float, branching: float, alike: float) -> DataFrame:
     """(key, leaf, size) of all buckets with two sets or more; ``texts(keys)``
     gives (key, text) for the keys of a table."""
-    rows = signed.select("key", F.explode("paths").alias("path"))
+    probed = signed.select("key", "probes", F.explode("paths").alias("path"))
+    rows = probed.select("key", "path")
     out, large = _buckets(rows, limit, "join-large")
-    if levels == 1 or large.isEmpty():
-        return out if levels > 1 else out.unionByName(_whole(rows, large))
+    if large.isEmpty():
+        return out
+    done = large if levels == 1 else written(_alike(probed, large, alike), "join-alike")
+    out = out.unionByName(_whole(rows, done))
+    large = large.join(done.select("path"), "path", "left_anti")
+    if large.isEmpty():
+        return out
     # Only sets of large buckets go on, with those of their paths.
     deep = rows.join(bounded_broadcast(large.select("path")), "path", "left_semi").groupBy("key").agg(F.collect_list("path").alias("paths"))
     deep = written(deep, "join-deep")
@@ -205,10 +230,10 @@ def leaves(signed: DataFrame, texts, k: int, levels: int, limit: int, threshold:
         rows = rows.select("key", "path")
         small, large = _buckets(rows, limit, "join-large")
         out = out.unionByName(small)
+        if large.isEmpty():
+            break
         if level == levels:
             out = out.unionByName(_whole(rows, large))
-        elif large.isEmpty():
-            break
     return out
 
 
@@ -314,7 +339,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS, limit: int = LIMIT, block: int = BLOCK, branching: float = BRANCHING, loss: float = SKETCH_LOSS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS, limit: int = LIMIT, block: int = BLOCK, branching: float = BRANCHING, loss: float = SKETCH_LOSS, alike: float = ALIKE) -> DataFrame:
     """Adds class_id, n_links and kept to every document.
 
     ``class_id`` is the smallest doc_id of the documents joined by links,
@@ -346,8 +371,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
         return chosen.join(bounded_broadcast(wanted), met, "left_semi").select("key", "text").dropDuplicates(["key"])
 
     signed = first_paths(chosen, k, runs, threshold, branching).groupBy("key")
-    signed = written(signed.agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "join-signed")
-    found = written(leaves(signed, texts, k, levels, limit, threshold, branching), "join-leaves")
+    signed = written(signed.agg(F.first("size").alias("size"), *(F.first(c).alias(c) for c in ("sketch", "probes", "paths"))), "join-signed")
+    found = written(leaves(signed, texts, k, levels, limit, threshold, branching, alike), "join-leaves")
     of_key = found.groupBy("key").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))
     members = found.join(of_key, "key").join(signed.select("key", F.col("size").alias("shingles"), "sketch"), "key")
     parts = F.ceil(F.col("size") / block).cast("int")
