@@ -34,9 +34,10 @@ from .textvec import complete_groups, mix, pairs_at, shingles, sliced, view, wor
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
-LEVELS = 4
-#: Shared extensions of a path that a pair at the threshold has on average.
-BRANCHING = 2.0
+LEVELS = 3
+#: Shared extensions of a path that a pair at the threshold has on average.  At 1
+#: half-alike pairs die out fastest but more runs are needed; at 2 they multiply.
+BRANCHING = 1.5
 LIMIT = 64
 #: Share of a large bucket's sets with the most common probes (minimal hashes of
 #: PROBES classes of shingles) from which it is not split.
