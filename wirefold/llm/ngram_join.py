@@ -152,7 +152,7 @@ def first_paths(texts: DataFrame, k: int, runs: int, threshold: float, branching
 
 
 def deeper_paths(texts: DataFrame, k: int, levels: int, threshold: float, branching: float) -> DataFrame:
-    """(key, text, paths) to (key, level, parent, path): all extensions of the given paths."""
+    """(key, text, paths) to (key, level, parent, paths): all extensions of the given paths, a row for each path."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -175,16 +175,18 @@ def deeper_paths(texts: DataFrame, k: int, levels: int, threshold: float, branch
                     token = code[at]
                     hit = np.flatnonzero(_chance(token, path[which]) < bound[row[which]])
                     which = which[hit]
-                    found.append((row[which], path[which], _extended(path[which], token[hit])))
+                    found.append((which, _extended(path[which], token[hit])))
                 if not found:
                     break
-                row, parent, path = (np.concatenate(x) for x in zip(*found))
+                which, longer = (np.concatenate(x) for x in zip(*found))
+                of, first = np.unique(which, return_index=True)  # ascending already
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").take(pa.array(row)), pa.array(np.full(len(row), level, np.int32)), pa.array(parent.view(np.int64)), pa.array(path.view(np.int64))],
-                    ["key", "level", "parent", "path"],
+                    [batch.column("key").take(pa.array(row[of])), pa.array(np.full(len(of), level, np.int32)), pa.array(path[of].view(np.int64)), _list_array(longer, np.append(first, len(which)))],
+                    ["key", "level", "parent", "paths"],
                 )
+                row, path = row[which], longer
 
-    return mapped(texts.select("key", "text", "paths"), extend, "key string, level int, parent long, path long")
+    return mapped(texts.select("key", "text", "paths"), extend, "key string, level int, parent long, paths array<long>")
 
 
 def _buckets(rows: DataFrame, limit: int, tag: str) -> tuple[DataFrame, DataFrame]:
@@ -228,7 +230,7 @@ def leaves(signed: DataFrame, texts, k: int, levels: int, limit: int, threshold:
         rows = every.where(F.col("level") == level)
         if level > 2:
             rows = rows.join(bounded_broadcast(large.select(F.col("path").alias("parent"))), "parent", "left_semi")
-        rows = rows.select("key", "path")
+        rows = rows.select("key", F.explode("paths").alias("path"))
         small, large = _buckets(rows, limit, "join-large")
         out = out.unionByName(small)
         if large.isEmpty():
