@@ -2,37 +2,38 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .ip import IPV4
 
-# Last labels of public names, firmware default prefixes.
-PUBLIC_TLDS = ["com", "net", "org", "io", "dev", "edu", "gov", "info", "co", "me", "app", "cloud"]
-SDK_DEFAULT = r"(?i)^(esdk|esp|tasmota|shelly|tuya|wled)[-_]?[0-9a-f]{6,12}$"
-UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}(-[0-9a-f]{12})?$"
+# Last labels of public names, prefixes that firmware gives to its
+# generated names.
+PUBLIC_TLDS = [
+    "com", "net", "org", "edu", "gov", "mil", "io", "co", "uk", "de", "fr", "jp", "cn", "ru", "br", "au", "in", "ca", "us", "eu", "info", "biz",
+    "me", "tv", "cc", "ws", "app", "dev", "cloud", "xyz",
+]
+FIRMWARE_PREFIXES = ["esdk", "esp", "tasmota", "shelly", "tuya", "beken", "ewelink", "sonoff", "hap", "ble", "wlan", "wifi", "smartlife", "tplink", "kasa", "deco", "meross"]
+
+#: Names that no person has given, by pattern (of the lower-case name).
+GENERATED = [
+    r"^_|\._tcp|\._udp|_dns-sd",  # service labels
+    IPV4, r"^[0-9a-f]*:[0-9a-f:]*:[0-9a-f:.]*$",  # addresses
+    rf"^.*\..*\.({'|'.join(PUBLIC_TLDS)})$",  # public names
+    r"^[0-9a-f]+(-[0-9a-f]+)+$", r"^.+(-[0-9a-f]+){3}$",  # hexadecimal segments, identifiers among them
+    r"^[0-9a-f]{8,}$",
+    r"^[a-z]{1,10}[-_][0-9a-f]{8,12}$", rf"^({'|'.join(FIRMWARE_PREFIXES)}).[0-9a-f]{{6,}}$",  # firmware defaults
+]
 
 # Hostname keywords and the vendors they belong to.
 HOSTNAME_VENDORS = [("iphone", "apple"), ("ipad", "apple"), ("macbook", "apple"), ("galaxy", "samsung"), ("pixel", "google"), ("xbox", "microsoft"), ("echo", "amazon"), ("bravia", "sony")]
 
 
 def valid_hostname(name: Column) -> Column:
-    """Whether a name looks assigned by a person (false for null)."""
-    name = F.trim(name)
-    low = F.lower(name)
-    labels = F.split(low, r"\.")
-    service = name.startswith("_") | low.contains("._tcp") | low.contains("._udp") | low.contains("_dns-sd")
-    address = name.rlike(IPV4) | name.rlike("^[0-9A-Fa-f]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*$")
-    public = (F.size(labels) >= 3) & F.element_at(labels, -1).isin(PUBLIC_TLDS)
-    segments = F.split(low, "-")
-    dashed = name.contains("-")
-    hex_only = dashed & F.forall(segments, lambda s: s.rlike("^[0-9a-f]+$"))
-    tail = (F.size(segments) >= 4) & name.rlike("(?i)-[0-9a-f]+-[0-9a-f]+-[0-9a-f]+$")
-    blob = name.rlike("(?i)^[0-9a-f]{8,}$")
-    bad = reduce(lambda a, b: a | b, [name == "", service, address, public, name.rlike(UUID), hex_only, tail, blob, name.rlike(SDK_DEFAULT)])
-    return F.coalesce(~bad, F.lit(False))
+    """Whether a name looks assigned by a person (false for null and blank ones)."""
+    low = F.lower(F.trim(name))
+    generated = low.rlike("|".join(f"(?:{p})" for p in GENERATED))
+    return F.coalesce((low != "") & ~generated, F.lit(False))
 
 
 def clean_hostname(name: Column) -> Column:

@@ -75,7 +75,7 @@ def _fusion_views() -> dict[str, str]:
     """Fusion in plain SQL: weights, candidates, winners, verdicts."""
     from ..operators import fusion as V
 
-    weights = values([(s, w) for w, sources in V.WEIGHTS.items() for s in sources], "w(source, weight)")
+    weights = values(list(V.WEIGHTS.items()), "w(source, weight)")
     junk = ", ".join(map(literal, V.JUNK))
     bonus = "CASE families WHEN 1 THEN 1.0 WHEN 2 THEN 1.1 WHEN 3 THEN 1.2 ELSE 1.25 END::DOUBLE"
     multi = " OR ".join(f"lower(vendor) LIKE '%{v}%'" for v in V.MULTI_PRODUCT)

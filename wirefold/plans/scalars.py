@@ -54,7 +54,24 @@ def _(t):
     return t.packets.select("opt55", tls.option_digest(o).alias("by_number"), tls.option_digest(o, numeric=False).alias("by_text")).distinct()
 
 
-@query("f21_hostname_validity", """SELECT DISTINCT hostname, coalesce(NOT (regexp_matches(hostname, '^[0-9.]+$') OR starts_with(hostname, '_') OR contains(lower(hostname), '._tcp') OR regexp_matches(lower(hostname), '^[0-9a-f]{8,}$') OR regexp_matches(hostname, '[.].+[.]com$')), false) AS valid FROM packets""")
+# The rules written out by hand, not from the operator's lists.
+HOSTNAME_SQL = r"""
+SELECT DISTINCT hostname, coalesce(trim(hostname) <> '' AND NOT (
+    starts_with(trim(hostname), '_') OR contains(lower(hostname), '._tcp') OR contains(lower(hostname), '._udp') OR contains(lower(hostname), '_dns-sd')
+    OR regexp_matches(trim(hostname), '^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$')
+    OR regexp_matches(lower(trim(hostname)), '^[0-9a-f]*:[0-9a-f:]*:[0-9a-f:.]*$')
+    OR (len(string_split(trim(hostname), '.')) >= 3 AND lower(string_split(trim(hostname), '.')[-1]) IN ('com', 'net', 'org', 'edu', 'gov', 'mil', 'io', 'co',
+        'uk', 'de', 'fr', 'jp', 'cn', 'ru', 'br', 'au', 'in', 'ca', 'us', 'eu', 'info', 'biz', 'me', 'tv', 'cc', 'ws', 'app', 'dev', 'cloud', 'xyz'))
+    OR (contains(hostname, '-') AND len(list_filter(string_split(lower(trim(hostname)), '-'), lambda x: NOT regexp_full_match(x, '[0-9a-f]+'))) = 0)
+    OR (len(string_split(trim(hostname), '-')) >= 4 AND len(list_filter(string_split(lower(trim(hostname)), '-')[-3:], lambda x: NOT regexp_full_match(x, '[0-9a-f]+'))) = 0)
+    OR regexp_full_match(lower(trim(hostname)), '[0-9a-f]{8,}')
+    OR regexp_full_match(lower(trim(hostname)), '[a-z]{1,10}[-_][0-9a-f]{8,12}')
+    OR regexp_full_match(lower(trim(hostname)), '(esdk|esp|tasmota|shelly|tuya|beken|ewelink|sonoff|hap|ble|wlan|wifi|smartlife|tplink|kasa|deco|meross).[0-9a-f]{6,}')
+  ), false) AS valid FROM packets
+"""
+
+
+@query("f21_hostname_validity", HOSTNAME_SQL)
 def _(t):
     return t.packets.select("hostname", names.valid_hostname(F.col("hostname")).alias("valid")).distinct()
 
