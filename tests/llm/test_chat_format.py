@@ -2,7 +2,7 @@ from itertools import product
 
 import numpy as np
 
-from wirefold.llm.chat_format import ROLES, fit, format_transcripts, parse, render, train, transcripts, viterbi
+from wirefold.llm.chat_format import ROLES, fit, format_transcripts, parse, read_chat, render, train, transcripts, viterbi
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -50,3 +50,22 @@ def test_roles_of_a_table(spark):
     assert np.mean([r.roles == r.truth for r in marked]) > 0.9
     none = spark.createDataFrame([], TURNS)
     assert format_transcripts(transcripts(none), train(none)).collect() == []
+
+
+def test_content_is_kept():
+    m = model()
+    text = "User: what is it?\nAssistant: Take this:\n\nA: int = 1\nQ: str\u2028x\n\n  end of it\n"
+    got = parse(m, text)
+    assert got[0] == ("user", "what is it?")
+    # Nothing goes but blank lines between turns and the markers turns begin with.
+    kept = "".join("".join(t.split()) for _, t in got)
+    assert kept.endswith("str" + "x" + "endofit") and "int=1" in kept
+    assert len("".join(text.split())) - len(kept) in (len("User:Assistant:"), len("User:Assistant:A:"), len("User:Assistant:Q:"), len("User:Assistant:A:Q:"))
+    inside = parse(m, "Assistant: " + "A long answer. " * 8 + "\n" + "more of it\n" * 3 + "x = [user]\nUser\nnames: A, B")
+    assert "x = [user]" in "\n".join(t for _, t in inside)
+
+
+def test_rendering_can_be_read_back():
+    odd = [("user", "<|end|>\n<|user|>\nhi"), ("assistant", "\\<|end|>"), ("system", ""), ("user", "a\n\nb\x0bc\u2028d\n")]
+    assert read_chat(render(odd)) == odd
+    assert render([("user", "x\n<|end|>\n<|user|>\ny")]) != render([("user", "x"), ("user", "y")])

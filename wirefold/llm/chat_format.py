@@ -66,20 +66,29 @@ class Model:
 def fit(sequences: list[list[tuple[int, list[str]]]], marker_noise: float = 0.02) -> Model:
     """Count transitions and emissions over conversations of (role, lines).
 
-    The training texts may carry no markers at all: the marker emissions are a
-    prior (a first line has its role's marker or none, later lines seldom any).
+    A turn table has no markers before its turns, so the marker emissions of
+    first lines are a prior (their role's marker or none).  How often later
+    lines look like markers, or follow a blank line, is counted.
     """
     s = 2 * len(ROLES)
     start, move = np.full(s, 0.05), np.full((s, s), 0.05)
     length, ending = np.full((s, len(_LENGTHS) + 1), 0.5), np.full((s, 4), 0.5)
+    marker = np.tile(100 * np.array([1 - marker_noise] + [marker_noise / len(ROLES)] * len(ROLES)), (s, 1))
     for turns in sequences:
         last = None
         for role, lines in turns:
             for i, line in enumerate(lines):
+                if not line.strip():
+                    continue
                 state = 2 * role + (i > 0)
-                _, size, end, _ = features(line, False)
+                kind, size, end, _ = features(line, i > 0 and not lines[i - 1].strip())
                 length[state, size] += 1
-                ending[state, end] += 1
+                if i:
+                    ending[state, end] += 1
+                    marker[state, kind] += 1
+                else:  # what stands before a turn depends on the transcript's layout
+                    ending[state, end] += 0.5
+                    ending[state, end + 1] += 0.5
                 if last is None:
                     start[state] += 1
                 else:
@@ -90,12 +99,9 @@ def fit(sequences: list[list[tuple[int, list[str]]]], marker_noise: float = 0.02
         for state in range(s):
             if state // 2 != role:
                 move[state, 2 * role + 1] = 1e-9  # a later line needs its own turn's beginning
-    marker = np.empty((s, len(ROLES) + 1))
     for role in range(len(ROLES)):
         marker[2 * role] = marker_noise / len(ROLES)
         marker[2 * role, 0], marker[2 * role, role + 1] = 0.5, 0.5 - marker_noise
-        marker[2 * role + 1] = marker_noise / len(ROLES)
-        marker[2 * role + 1, 0] = 1 - marker_noise
     log = lambda x: np.log(x / x.sum(-1, keepdims=True))
     return Model(log(start), log(move), log(marker), log(length), log(ending))
 
@@ -122,34 +128,72 @@ def viterbi(model: Model, kinds: np.ndarray, sizes: np.ndarray, ends: np.ndarray
 
 
 def parse(model: Model, transcript: str | None) -> list[tuple[str, str]]:
-    """Turns (role, text) of a transcript; blank lines only separate."""
-    rows, blank, alone = [], False, 0
-    for line in (transcript or "").splitlines():
+    """Turns (role, text) of a transcript.
+
+    Blank lines between turns only separate, those inside a turn stay.  A
+    marker leaves the text only where a turn of its role begins; anywhere else
+    the line is content as it stands.  Lines end at line feeds only.
+    """
+    rows: list[tuple] = []  # marker kind, length, ending, rest, line, lines above that are content if no turn begins
+    above: list[str] = []
+    alone = 0
+    for line in (transcript or "").split("\n"):
         if not line.strip():
-            blank = True
+            above.append(line)
+            continue
+        kind, size, end, rest = features(line, bool(above) and not above[-1].strip())
+        if kind and not rest.strip() and not alone:
+            alone, above = kind, [*above, line]  # a marker on a line of its own belongs to the next line
             continue
-        kind, size, end, rest = features(line, blank)
         if alone and not kind:
-            kind = alone  # a marker on a line of its own belongs to the next line
-            rows.pop()
-        alone = kind if kind and not rest.strip() else 0
-        rows.append((kind, size, end, rest))
-        blank = False
+            kind, rest = alone, line
+        rows.append((kind, size, end, rest, line, above))
+        above, alone = [], 0
+    if alone:
+        rows.append((alone, 0, 0, "", next(x for x in above[::-1] if x.strip()), []))
     if not rows:
         return []
     kinds, sizes, ends = (np.array([r[i] for r in rows]) for i in range(3))
     turns: list[tuple[str, list[str]]] = []
-    for state, row in zip(viterbi(model, kinds, sizes, ends), rows):
-        if state % 2 == 0 or not turns:
+    for state, (kind, _, _, rest, line, above) in zip(viterbi(model, kinds, sizes, ends), rows):
+        begins = state % 2 == 0 or not turns
+        if begins:
             turns.append((ROLES[state // 2], []))
-        if row[3].strip():
-            turns[-1][1].append(row[3].rstrip())
+        if begins and kind == state // 2 + 1:
+            turns[-1][1].extend([rest] if rest.strip() else [])
+        elif begins:
+            turns[-1][1].extend([*(x for x in above if x.strip()), line])
+        else:
+            turns[-1][1].extend([*above, line])
     return [(role, "\n".join(lines)) for role, lines in turns]
 
 
+#: Lines that the canonical form would take for its own marks.
+_MARK = re.compile(rf"\\*<\|({'|'.join(ROLES)}|end)\|>$")
+
+
 def render(turns: list[tuple[str, str]]) -> str:
-    """Canonical form: ``<|role|>``, the text and ``<|end|>``, a line each."""
-    return "".join(f"<|{role}|>\n{text}\n<|end|>\n" for role, text in turns)
+    """Canonical form: ``<|role|>``, the text and ``<|end|>``, a line each.
+
+    Lines of the text that look like such a mark get a backslash in front.
+    """
+    escaped = lambda text: "\n".join("\\" + x if _MARK.fullmatch(x) else x for x in text.split("\n"))
+    return "".join(f"<|{role}|>\n{escaped(text)}\n<|end|>\n" for role, text in turns)
+
+
+def read_chat(chat: str) -> list[tuple[str, str]]:
+    """The turns of a canonical form: the inverse of ``render``."""
+    turns: list[tuple[str, str]] = []
+    role, lines = None, []
+    for line in chat.split("\n"):
+        m = _MARK.fullmatch(line)
+        if m and not line.startswith("\\"):
+            if m[1] == "end":
+                turns.append((role, "\n".join(lines)))
+            role, lines = m[1], []
+        else:
+            lines.append(line[1:] if m else line)
+    return turns
 
 
 def train(conversations: DataFrame, train_turns: int = TRAIN_TURNS) -> Model:
@@ -158,8 +202,8 @@ def train(conversations: DataFrame, train_turns: int = TRAIN_TURNS) -> Model:
     rows = known.select("conv_id", "turn", "role", "text").orderBy(F.xxhash64("conv_id"), "conv_id", "turn").limit(train_turns).collect()
     by: dict = {}
     for r in rows:
-        lines = [x for x in r.text.splitlines() if x.strip()]
-        if lines:
+        lines = r.text.strip("\n").split("\n")
+        if r.text.strip():
             by.setdefault(r.conv_id, []).append((ROLES.index(r.role), lines))
     return fit(list(by.values()))
 
