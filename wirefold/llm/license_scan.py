@@ -109,7 +109,9 @@ def scan_licenses(docs: DataFrame, k: int = K, near: int = NEAR, votes: float =
     size = [len(t.split()) for t in texts]
     # The templates are fixed values, a few hundred rows.
     templates = F.broadcast(spark.createDataFrame(template_rows(texts, k), "gram long, template int, at int"))
-    keyed = docs.withColumn("_k0", F.xxhash64("text")).withColumn("_k1", F.xxhash64(F.lit("second"), "text"))
+    # Null texts meet nothing: keys of their own keep them apart in a shuffle.
+    k0 = F.when(F.col("text").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text"))
+    keyed = docs.withColumn("_k0", k0).withColumn("_k1", F.xxhash64(F.lit("second"), "text"))
     rows = _hashed(keyed.where("text IS NOT NULL"), k).select("_k0", "_k1", F.posexplode("grams").alias("pos", "gram"))
     hits = rows.join(templates, "gram").select("_k0", "_k1", "template", (F.col("pos") - F.col("at")).alias("diagonal"), "pos").distinct()
     by = hits.groupBy("_k0", "_k1", "template", "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
