@@ -47,12 +47,14 @@ def _pivots(vectors: DataFrame, per_root: float, most: int) -> dict[int, np.ndar
     share = F.element_at(F.create_map(*[F.lit(x) for c in sizes for x in (c, min(1.0, 2 * want[c] / sizes[c] + 20 / sizes[c]))]), F.col("label"))
     chance = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 20)) / float(1 << 20)
     rows = vectors.where(chance <= share).select("label", "key", "unit").collect()  # at most about 2 * most per label
-    out: dict[int, list] = {}
+    out, number = {}, dict.fromkeys(sizes, 0)
     for r in sorted(rows, key=lambda r: (r.label, r.key)):
-        mine, x = out.setdefault(r.label, []), np.frombuffer(r.unit, np.float64)
-        if len(mine) < want[r.label] and (not mine or (np.stack(mine) @ x).max() < APART):
-            mine.append(x)
-    return {c: np.stack(v) for c, v in out.items()}
+        x, n = np.frombuffer(r.unit, np.float64), number[r.label]
+        mine = out.setdefault(r.label, np.empty((want[r.label], len(x))))
+        if n < want[r.label] and (not n or (mine[:n] @ x).max() < APART):
+            mine[n] = x
+            number[r.label] += 1
+    return {c: v[: number[c]] for c, v in out.items()}
 
 
 def near_vectors(table: DataFrame, threshold: float = THRESHOLD, prefix: int = PREFIX, shared: int = SHARED, per_root: float = PIVOTS_PER_ROOT, max_pivots: int = MAX_PIVOTS, block: int = BLOCK) -> DataFrame:
