@@ -53,3 +53,34 @@ def test_words_match_on_every_letter():
         for code in [*range(65, 91), *range(97, 123), *range(0xAA, 0x250)]:
             for text in (lead + chr(code), lead + "ab" + chr(code) + "cd,"):
                 assert np.frombuffer(encoder.encode(text), encoder.dtype).astype("<u4").tolist() == ids(text).tolist()
+
+
+def test_forgotten_pieces_are_encoded_again():
+    small = Encoder(PATH)
+    for units in (small.first, small.rest):
+        units.LIMIT = 2000
+    text = " ".join(f"word{i % 37} again {'x' * (i % 9)}!\n{i}" for i in range(600))
+    for _ in range(2):
+        assert np.frombuffer(small.encode(text), small.dtype).astype("<u4").tolist() == ids(text).tolist()
+    assert small.rest.held <= 2600 and small.rest.old
+
+
+def test_tied_and_null_ids_span_partitions(spark):
+    rows = [(None, f"text {i % 7} {i}", "x") for i in range(60)] + [(4, f"b{i}", "x") for i in range(60)]
+    got = sorted(token_binary(spark.createDataFrame(rows, SCHEMA).repartition(5), PATH, 2, partitions=4).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 60 + [4] * 60
+    at = 0
+    for r, text in zip(got, [*sorted(t for d, t, _ in rows if d is None), *sorted(t for d, t, _ in rows if d == 4)]):
+        full = np.append(ids(text), np.uint32(2)).astype("<u4")
+        assert (r.start, r.ids_crc32) == (at, zlib.crc32(full.tobytes()))
+        at += len(full)
+
+
+def test_ranges_read_slices(tmp_path):
+    from pyarrow import fs
+
+    from wirefold.llm.token_binary import _Ranges
+
+    np.arange(50, dtype="<u2").tofile(tmp_path / "x")
+    got = _Ranges(fs.LocalFileSystem().open_input_file(str(tmp_path / "x")), "<u2")
+    assert len(got) == 50 and got[3:7].tolist() == [3, 4, 5, 6] and got[48:99].tolist() == [48, 49] and got[5:5].tolist() == [] and got[:].sum() == 1225

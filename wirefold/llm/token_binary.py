@@ -59,15 +59,16 @@ class _Units(dict):
     space, so a text's ids are the concatenation of the ids of its pieces.
     """
 
-    #: About so many bytes are held; then the pieces are forgotten.
-    LIMIT = 24 << 20
+    #: About so many bytes make a generation.  The generation before is kept, and
+    #: pieces of it that come again pass to the new one; others are forgotten.
+    LIMIT = 28 << 20
 
     def __init__(self, tokenizer, dtype, lead: str) -> None:
         super().__init__()
         self.tokenizer, self.dtype, self.lead = tokenizer, dtype, lead
         self.model, self.code = tokenizer.model, {2: "H", 4: "I"}[dtype.itemsize]
         self.plain: _Units = self
-        self.held = 0
+        self.held, self.old = 0, {}
         self.odd = False  # odd pieces are allowed: the text holds no _INNER
 
     def ids(self, text: str) -> bytes:
@@ -83,22 +84,26 @@ class _Units(dict):
             if not self.odd:
                 raise _Odd
             return self.ids(self.lead + piece)
+        out = self.old.pop(piece, None)
+        if out is None:
+            out = self.encoded(piece)
         if self.held >= self.LIMIT:
+            self.old = self.copy()
             self.clear()
             self.held = 0
-        left, line, right = piece.partition("\n")
-        if line and left and right and not left[-1].isspace() and not right[0].isspace():
-            out = self[left] + self.line + self.plain[right]
-        else:
-            word = piece.rstrip(_TAIL)
-            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-                out = self.word_ids(word) if word == piece else self[word] + self.plain[piece[len(word) :]]
-            else:
-                out = self.ids(self.lead + piece)
         self[piece] = out
         self.held += len(piece) + len(out) + 200  # two objects and a slot
         return out
 
+    def encoded(self, piece: str) -> bytes:
+        left, line, right = piece.partition("\n")
+        if line and left and right and not left[-1].isspace() and not right[0].isspace():
+            return self[left] + self.line + self.plain[right]
+        word = piece.rstrip(_TAIL)
+        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            return self.word_ids(word) if word == piece else self[word] + self.plain[piece[len(word) :]]
+        return self.ids(self.lead + piece)
+
 
 class Encoder:
     """Encodes whole texts with a ``tokenizers`` file, remembering pieces."""
