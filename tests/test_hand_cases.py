@@ -175,3 +175,36 @@ def test_as_of_and_links_take_every_packet(spark):
         pairs |= set(zip(mine[1:], mine))
     assert {tuple(r) for r in topology.links(t, "true").collect()} == pairs
     assert {"j18_as_of_previous_all", "g03_edges_all", "g04_neighbours_all"} <= set(catalog.queries())
+
+
+def test_containment_by_anchor_is_whole(spark):
+    """Short, long and equal rules against plain containment of every pair."""
+    texts = ["", "a", "ab", "ABc", "xabcab", "dhcpcd-5.5", "zz", None]
+    rules = [("a", 1), ("B", 2), ("bc", 3), ("abc", 4), ("ABCA", 5), ("cpcd-5", 6), ("q", 7)]
+    df = spark.createDataFrame([(t,) for t in texts], "o string")
+    out = lookups.longest_substring_join(df, "o", spark.createDataFrame(rules, "text string, n int"))
+    met = {t: [r for r in rules if t is not None and r[0].lower() in t.lower()] for t in texts}
+    want = {t: min(m, key=lambda r: (-len(r[0]), r[0]))[1] if m else None for t, m in met.items()}
+    assert {r.o: r.n for r in out.collect()} == want
+
+
+def test_large_pattern_tables_are_not_broadcast(spark):
+    patterns = spark.createDataFrame([(str(i),) for i in range(5)], "text string")
+    assert "ResolvedHint" in lookups.bounded(patterns, 5)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in lookups.bounded(patterns, 4)._jdf.queryExecution().analyzed().toString()
+
+
+def test_subset_by_rarest_option(spark):
+    """Against plain inclusion of every pair; the largest pattern, then the first."""
+    texts = ["1,2,3,4,5,6,7", "7,6,5", "2", "1,1,2", None]
+    rules = [(1, "1,2", 90, "a"), (2, "5,6,7", 80, "b"), (3, "2", 70, "c"), (4, "9,1", 60, "d"), (5, "1,2", 50, "e")]
+    p = spark.createDataFrame(rules, "priority int, options string, confidence int, os string")
+    out = lookups.subset_join(spark.createDataFrame([(t,) for t in texts], "o string"), "o", p, least=1)
+    want = {}
+    for t in texts:
+        mine = t.split(",") if t else []
+        equal = [r for r in rules if r[1] == t]
+        part = [r for r in rules if t and set(r[1].split(",")) <= set(mine) and len(r[1].split(",")) < len(mine)]
+        best = min(equal, key=lambda r: r[0]) if equal else min(part, key=lambda r: (-len(r[1].split(",")), r[0])) if part else None
+        want[t] = best and best[3]
+    assert {r.o: r.os for r in out.collect()} == want

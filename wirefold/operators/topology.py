@@ -10,25 +10,29 @@ from ..functions import ip
 INFRASTRUCTURE = ["access_point", "cable_modem", "firewall", "gateway", "load_balancer", "mesh_router", "network_device", "router", "switch", "wireless_bridge"]
 
 
+def tiered(devices: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Adds ``rank``, the gateway tier a device is in: pinned, router types, low
+    addresses (else null), in one pass."""
+    pinned = bindings.select(F.col("mac").alias("hw_addr"), F.lit(True).alias("_pinned")).distinct()
+    rank = F.when(F.col("_pinned"), 1).when(F.col("category").isin("router", "gateway", "firewall"), 2).when(F.col("ip_addr").rlike(r"\.[12]$"), 3)
+    return devices.join(pinned, "hw_addr", "left").withColumn("rank", rank).drop("_pinned")
+
+
 def gateways(devices: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Gateways by the best tier that has any: pinned, router types, low addresses.
+    """Gateways by the best tier that has any.
 
     ``devices``: hw_addr, ip_addr, category.
     """
-    pinned = devices.join(F.broadcast(bindings.select(F.col("mac").alias("hw_addr"))), "hw_addr", "left_semi").select("hw_addr", F.lit(1).alias("tier"))
-    typed = devices.where(F.col("category").isin("router", "gateway", "firewall")).select("hw_addr", F.lit(2).alias("tier"))
-    low = devices.where(F.col("ip_addr").rlike(r"\.[12]$")).select("hw_addr", F.lit(3).alias("tier"))
-    every = pinned.unionByName(typed).unionByName(low)
-    best = every.select(F.min("tier")).scalar()
-    return every.where(F.col("tier") == best).select("hw_addr", "tier").distinct()
+    every = tiered(devices, bindings)
+    return every.where(F.col("rank") == every.select(F.min("rank")).scalar()).select("hw_addr", F.col("rank").alias("tier")).distinct()
 
 
-def nodes(devices: DataFrame, gates: DataFrame) -> DataFrame:
+def nodes(devices: DataFrame, bindings: DataFrame) -> DataFrame:
     """Devices with an address and their tier: gateway, infrastructure, client."""
-    g = gates.select("hw_addr", F.lit(True).alias("_gate"))
-    tier = F.when(F.col("_gate"), "gateway").when(F.col("category").isin(INFRASTRUCTURE), "infrastructure").otherwise("client")
-    out = devices.where("ip_addr IS NOT NULL").join(g, "hw_addr", "left")
-    return out.select("hw_addr", "ip_addr", tier.alias("tier"), ip.subnet(F.col("ip_addr")).alias("subnet"))
+    every = tiered(devices, bindings)
+    gate = F.col("rank") == every.select(F.min("rank")).scalar()
+    tier = F.when(gate, "gateway").when(F.col("category").isin(INFRASTRUCTURE), "infrastructure").otherwise("client")
+    return every.where("ip_addr IS NOT NULL").select("hw_addr", "ip_addr", tier.alias("tier"), ip.subnet(F.col("ip_addr")).alias("subnet"))
 
 
 def edges(found: DataFrame, links: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -39,12 +43,12 @@ def edges(found: DataFrame, links: DataFrame, overrides: DataFrame) -> DataFrame
     """
     gate = found.where("tier = 'gateway'")
     local = gate.groupBy("subnet").agg(F.min("hw_addr").alias("_local"))
-    first = gate.select(F.min("hw_addr")).scalar()
+    first = local.select(F.min("_local")).scalar()
     up = found.where("tier <> 'gateway'").join(local, "subnet", "left")
     up = up.select(F.coalesce("_local", first).alias("source"), F.col("hw_addr").alias("target"), F.when(F.col("tier") == "client", "client").otherwise("trunk").alias("kind"), F.lit(3).alias("rank"))
     near = links.select(F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"), F.lit("lldp").alias("kind"), F.lit(2).alias("rank")).where("source <> target").distinct()
     manual = overrides.select(F.col("parent").alias("source"), F.col("hw_addr").alias("target"), F.lit("manual").alias("kind"), F.lit(1).alias("rank"))
-    plain = up.unionByName(near).join(F.broadcast(manual.select("target")), "target", "left_anti")
+    plain = up.unionByName(near).join(manual.select("target"), "target", "left_anti")
     every = plain.unionByName(manual).where("source IS NOT NULL")
     w = Window.partitionBy(F.least("source", "target"), F.greatest("source", "target")).orderBy("rank", "source")
     return every.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("source", "target", "kind")

@@ -350,10 +350,7 @@ def _(t):
 @query("v04_category_demotion", "SELECT hw_addr, value AS category, score FROM ev_category")
 def _(t):
     rows = fusion.weighted(fusion.capped(t.evidence), fusion.weight_table(t.spark))
-    vendor = fusion.winners(fusion.candidates(rows, ["vendor"])).select("hw_addr", F.col("value").alias("_v"))
-    weight = F.when((F.col("source") == "oui") & fusion.multi_product(F.col("_v")), F.col("weight") * fusion.DEMOTION).otherwise(F.col("weight"))
-    got = fusion.winners(fusion.candidates(rows.join(vendor, "hw_addr", "left").withColumn("weight", weight), ["category"]))
-    return got.select("hw_addr", F.col("value").alias("category"), "score")
+    return fusion.fused(rows).where("category IS NOT NULL").select("hw_addr", F.col("category.value").alias("category"), F.col("category.score").alias("score"))
 
 
 _FALL = " ".join(f"WHEN lower(vendor) LIKE '%{v}%' THEN '{k}'" for v, k in fusion.VENDOR_DEFAULTS.items())

@@ -29,8 +29,8 @@ def devices(t):
     return t.hosts.select("hw_addr", "ip_addr").join(t.verdicts.select("hw_addr", "category"), "hw_addr", "left")
 
 
-def gates(t):
-    return G.gateways(devices(t), t.spark.createDataFrame(_BIND, "ip string, mac string"))
+def bindings(t):
+    return t.spark.createDataFrame(_BIND, "ip string, mac string")
 
 
 def links(t, which="k < 20"):
@@ -40,12 +40,12 @@ def links(t, which="k < 20"):
 
 @query("g01_gateways", "SELECT hw_addr, tier FROM g_gates", VIEWS)
 def _(t):
-    return gates(t)
+    return G.gateways(devices(t), bindings(t))
 
 
 @query("g02_nodes", "SELECT hw_addr, ip_addr, tier, subnet FROM g_nodes", VIEWS)
 def _(t):
-    return G.nodes(devices(t), gates(t))
+    return G.nodes(devices(t), bindings(t))
 
 
 _EDGES = f"""WITH up AS (SELECT coalesce(l.g, (SELECT min(hw_addr) FROM g_nodes WHERE tier = 'gateway')) AS source, n.hw_addr AS target, CASE WHEN tier = 'client' THEN 'client' ELSE 'trunk' END AS kind, 3 AS rank
@@ -59,13 +59,13 @@ _EDGES = f"""WITH up AS (SELECT coalesce(l.g, (SELECT min(hw_addr) FROM g_nodes
 @query("g03_edges", _EDGES, VIEWS)
 def _(t):
     over = t.spark.createDataFrame(_OVER, "hw_addr string, parent string")
-    return G.edges(G.nodes(devices(t), gates(t)), links(t), over)
+    return G.edges(G.nodes(devices(t), bindings(t)), links(t), over)
 
 
 @query("g03_edges_all", _EDGES, EVERY)
 def _(t):
     over = t.spark.createDataFrame(_OVER, "hw_addr string, parent string")
-    return G.edges(G.nodes(devices(t), gates(t)), links(t, "true"), over)
+    return G.edges(G.nodes(devices(t), bindings(t)), links(t, "true"), over)
 
 
 @query("g04_neighbours", "SELECT a, b, count(*) OVER (PARTITION BY a) AS degree FROM g_links", VIEWS)
@@ -80,6 +80,6 @@ def _(t):
 
 @query("j23_vm_host_pairs", """SELECT v.hw_addr AS vm, arg_min(h.hw_addr, h.hw_addr) AS host FROM g_nodes v JOIN g_nodes h ON v.subnet = h.subnet WHERE v.hw_addr LIKE 'd2%' AND h.hw_addr NOT LIKE 'd2%' GROUP BY v.hw_addr""", VIEWS)
 def _(t):
-    n = G.nodes(devices(t), gates(t))
+    n = G.nodes(devices(t), bindings(t))
     host = n.where(~F.col("hw_addr").startswith("d2")).groupBy("subnet").agg(F.min("hw_addr").alias("host"))
     return n.where(F.col("hw_addr").startswith("d2")).join(host, "subnet").select(F.col("hw_addr").alias("vm"), "host")

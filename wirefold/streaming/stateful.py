@@ -53,21 +53,24 @@ class Throttle(StatefulProcessor):
             if last is None or us - last >= self.interval:
                 fired.append(us)
                 last = us
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(-(-(last + self.interval) // 1000))
         self.last.update((last,))
         if fired:
             yield pd.DataFrame({"hw_addr": [key[0]] * len(fired), "us": fired})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.last.clear()
+        self.last.clear()  # rows after the watermark fire with or without it
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def throttled(packets: DataFrame, interval: int) -> DataFrame:
-    """(hw_addr, us) of the packets that fire."""
-    return packets.groupBy("hw_addr").transformWithStateInPandas(Throttle(interval), "hw_addr string, us long", "append", "None")
+def throttled(packets: DataFrame, interval: int, lateness: str = "10 minutes") -> DataFrame:
+    """(hw_addr, us) of the packets that fire; later ones than ``lateness`` are dropped."""
+    return timed(packets, lateness).groupBy("hw_addr").transformWithStateInPandas(Throttle(interval), "hw_addr string, us long", "append", "EventTime", eventTimeColumnName="")
 
 
 class Presence(StatefulProcessor):
@@ -100,7 +103,7 @@ class Presence(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         newest, _ = self.seen.get()
-        self.seen.update((newest, False))
+        self.seen.clear()  # the next row of an address without state comes online
         yield pd.DataFrame({"hw_addr": [key[0]], "us": [newest + self.seconds * 1_000_000], "state": ["offline"]})
 
     def close(self) -> None:
