@@ -80,6 +80,7 @@ def dhcpv4(b: bytes) -> dict[str, str] | None:
     out = {
         "client_mac": b[28:34].hex(":"), "ip": address, "message_type": str(o[53][0]) if o.get(53) else None, "opt55": ",".join(map(str, o[55])) if 55 in o else None,
         "opt60": _text(o[60]) if 60 in o else None, "hostname": _text(o[12]) if 12 in o else None, "server": ip(o[54]) if 54 in o else None,
+        "offered_ip": ip(b[16:20]) if any(b[16:20]) else None, "server_ip": ip(b[20:24]) if any(b[20:24]) else None,
         "client_id": client[1:].hex(":") if len(client) == 7 and client[0] == 1 else client.hex() or None,
     }
     return {k: v for k, v in out.items() if v}
@@ -277,9 +278,31 @@ def snmp(b: bytes) -> dict[str, str] | None:
     return {"version": {0: "1", 1: "2c", 3: "3"}.get(b[at + 2], "?"), "community": _text(b[at + 5 : at + 5 + size])}
 
 
+def tcp_options(b: bytes) -> dict[str, str] | None:
+    """Options of a SYN: their letters in order, segment size and window scale."""
+    letters, out, at = [], {}, 0
+    while at < len(b):
+        kind = b[at]
+        letters.append({0: "E", 1: "N", 2: "M", 3: "W", 4: "S", 8: "T"}.get(kind, "?"))
+        if kind == 0:
+            break
+        if kind == 1:
+            at += 1
+            continue
+        size = b[at + 1] if at + 1 < len(b) else 0
+        if size < 2 or at + size > len(b):
+            return None
+        if kind == 2 and size == 4:
+            out["mss"] = str(struct.unpack_from(">H", b, at + 2)[0])
+        elif kind == 3 and size == 3:
+            out["window_scale"] = str(b[at + 2])
+        at += size
+    return out | {"tcp_options": ",".join(letters)}
+
+
 SPECIAL: dict[str, Callable[[bytes], dict[str, str] | None]] = {
     "dhcpv4": dhcpv4, "dhcpv6": dhcpv6, "dns": dns, "mdns": dns, "llmnr": dns, "tls": tls, "lldp": lldp, "cdp": cdp, "dtp": dtp, "mqtt": mqtt, "quic": quic,
-    "netbios": netbios, "snmp": snmp,
+    "netbios": netbios, "snmp": snmp, "tcp_options": tcp_options,
 }
 
 
