@@ -86,20 +86,6 @@ def emitted(packets: DataFrame) -> DataFrame:
     return out
 
 
-def infrastructure(p: DataFrame) -> DataFrame:
-    """Category by capability, vendor by keyword, certainty by tier."""
-    kind = F.element_at(F.array(*map(F.lit, ["router", "switch", "access_point", "phone"])), (F.col("k") % 4 + 1).cast("int"))
-    vendor = F.when(F.lower("banner").contains("openssh"), "Cisco").when(F.lower("banner").contains("nginx"), "Ubiquiti")
-    sure = F.when(F.col("k") < 33, 0.9).when(F.col("k") < 66, 0.7).otherwise(0.5)
-    return p.select("packet_id", kind.alias("category"), vendor.alias("vendor"), sure.alias("certainty"))
-
-
-def industrial(p: DataFrame) -> DataFrame:
-    """Controllers answer, operator stations ask."""
-    p = p.where(F.col("port").isin(502, 1883))
-    return p.select("packet_id", F.when(F.col("port") == 502, "modbus").otherwise("s7comm").alias("source"), F.when(F.col("op") == 2, "plc").otherwise("hmi").alias("category"))
-
-
 def cross_validated(evidence: DataFrame, source: str = "mdns", reference: str = "oui") -> DataFrame:
     """Announcements that contradict the registry's vendor count almost nothing."""
     votes = evidence.where(F.col("source") == reference).groupBy("hw_addr", "vendor").agg(F.round(F.sum("certainty"), 6).alias("s"))

@@ -1,7 +1,7 @@
 """Defensive exposure rules: which weaknesses the observed traffic shows.
 
-A passive rule is a predicate over observations and a condition on how many
-devices or values met it.  All predicates are evaluated in one pass.
+A passive rule is a predicate over the fields of observations and a condition on
+how many devices or values met it.  All predicates are evaluated in one pass.
 """
 
 from __future__ import annotations
@@ -9,19 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rule, severity, predicate over observations, and the least devices and values.
-PASSIVE = [
-    ("NR-001", "high", "source = 'llmnr'", 1, 0), ("NR-002", "high", "source = 'netbios'", 1, 0), ("NR-003", "info", "source = 'mdns'", 1, 0),
-    ("NR-004", "high", "source = 'dns' AND k % 5 = 1", 1, 0), ("L2-001", "medium", "source = 'arp'", 25, 0), ("L2-003", "medium", "source = 'arp' AND op = 2 AND ip_addr = target_ip", 1, 0),
-    ("L2-005", "medium", "source IS NOT NULL", 100, 0), ("L2-006", "low", "source IN ('cdp', 'lldp')", 1, 0), ("L2-007", "high", "source = 'dtp' AND op = 1", 1, 0),
-    ("L2-009", "high", "source = 'stp'", 1, 2), ("DH-001", "info", "source = 'dhcpv4'", 1, 0), ("DH-002", "medium", "source = 'dhcpv4' AND k > 80", 1, 0),
-    ("DH-003", "high", "source = 'dhcp_server'", 2, 0), ("DH-004", "medium", "source = 'dhcpv6'", 1, 0), ("RT-001", "medium", "source = 'icmpv6_ra'", 1, 0),
-    ("RT-002", "medium", "source = 'ospf'", 1, 0), ("RT-003", "info", "hw_addr LIKE '%0a'", 1, 0), ("TC-001", "medium", "source = 'tls' AND k < 40", 1, 0),
-    ("TC-002", "medium", "source = 'http'", 1, 0), ("NI-001", "medium", "source = 'upnp'", 1, 0), ("NI-002", "low", "source = 'dns' AND query_name LIKE '%.org'", 1, 0),
-    ("NI-003", "medium", "hw_addr LIKE '%0a' OR hw_addr LIKE '%14'", 2, 0), ("CRED-001", "high", "port IN (21, 23, 110, 143, 161)", 1, 0), ("CRED-002", "medium", "source = 'snmp'", 1, 0),
-    ("L2-004", "medium", "source = 'ndp'", 1, 0),
+# Rule, severity, predicate over an observation's own fields, the
+# value that is counted, and the least distinct values that make the rule hold.
+RULES = [
+    ("NR-001", "high", "source = 'llmnr'", "hw_addr", 1),
+    ("NR-002", "high", "source = 'netbios'", "hw_addr", 1),
+    ("NR-003", "info", "source = 'mdns'", "hw_addr", 1),
+    ("NR-004", "high", "source IN ('dns', 'netbios') AND lower(query_name) LIKE '%wpad%'", "hw_addr", 1),
+    ("L2-001", "medium", "source = 'arp'", "hw_addr", 25),
+    ("L2-003", "medium", "source = 'arp' AND op = 2 AND ip_addr = target_ip", "hw_addr", 1),
+    ("L2-004", "low", "source = 'icmpv6_na' AND override AND coalesce(category, '') NOT IN ('router', 'gateway', 'firewall')", "hw_addr", 1),
+    ("L2-005", "medium", "true", "hw_addr", 100),
+    ("L2-006", "info", "source IN ('cdp', 'lldp')", "hw_addr", 1),
+    ("L2-007", "high", "source = 'dtp' AND negotiating", "hw_addr", 1),
+    ("L2-009", "high", "source = 'stp'", "root_mac", 2),
+    ("DH-001", "info", "source = 'dhcpv4' AND message_type IN (1, 3)", "hw_addr", 1),
+    ("DH-002", "high", "source = 'dhcp_anomaly'", "hw_addr", 1),
+    ("DH-003", "high", "source = 'dhcpv4' AND message_type IN (2, 5)", "server_id", 2),
+    ("DH-004", "info", "source = 'dhcpv6'", "hw_addr", 1),
+    ("RT-001", "info", "source = 'icmpv6_ra'", "hw_addr", 1),
+    ("RT-002", "high", "source = 'probe' AND service IN ('hsrp', 'vrrp', 'bgp', 'ospf', 'eigrp', 'rip')", "hw_addr", 1),
+    ("RT-003", "low", "category IN ('router', 'gateway', 'firewall') AND ip_addr IS NOT NULL", "hw_addr", 1),
+    ("TC-001", "medium", "source = 'tls' AND tls_version < 771", "hw_addr", 1),
+    ("NI-001", "low", "source = 'ssdp'", "hw_addr", 1),
+    ("NI-002", "low", "source = 'dns' AND rtrim('.', lower(query_name)) RLIKE '[.](local|internal|corp|lan|home|intranet)$'", "hw_addr", 1),
+    ("NI-003", "info", "category IN ('router', 'gateway', 'firewall')", "hw_addr", 2),
+    ("CRED-001", "high", "port IN (21, 23, 110, 143, 161)", "hw_addr", 1),
+    ("CRED-002", "info", "replace(lower(category), ' ', '_') IN ('ip_camera', 'camera', 'doorbell', 'smart_home', 'thermostat', 'smart_plug', 'smart_lock', 'printer', 'microcontroller', 'plc', 'hmi', 'robot_vacuum')", "hw_addr", 1),
 ]
-SOURCES = ["llmnr", "netbios", "mdns", "dns", "arp", "cdp", "lldp", "dtp", "stp", "dhcpv4", "dhcp_server", "dhcpv6", "icmpv6_ra", "tls", "http", "upnp", "snmp", "ndp", None]
+#: Rules whose severity rises when more than one device met them.
+CONTESTED = {"RT-001": "high"}
 
 # Service rules, the service names they look for, severities.
 SERVICES = [
@@ -49,8 +66,11 @@ ICS = ["SE-009", "SE-010", "SE-011", "SE-012", "SE-013", "SE-014", "SE-015", "SE
 ACTIONABLE = ["medium", "high", "critical"]
 
 
-def passive(observations: DataFrame, rules: list = PASSIVE) -> DataFrame:
-    """(rule, severity, devices, distinct) of all rules that hold."""
+def passive(observations: DataFrame, rules: list) -> DataFrame:
+    """(rule, severity, devices, distinct) of all rules that hold.
+
+    A rule is (name, severity, predicate, least devices, least values).
+    """
     met = F.array_compact(F.array(*[F.when(F.expr(p), F.lit(r)) for r, _, p, _, _ in rules]))
     rows = observations.select("hw_addr", "value", F.explode(met).alias("rule")).distinct()
     n = rows.groupBy("rule").agg(F.countDistinct("hw_addr").alias("devices"), F.countDistinct("value").alias("distinct"))
@@ -59,6 +79,20 @@ def passive(observations: DataFrame, rules: list = PASSIVE) -> DataFrame:
     return out.where((F.col("devices") >= F.col("_d")) & (F.col("distinct") >= F.col("_v"))).drop("_d", "_v")
 
 
+def observed(observations: DataFrame, rules: list = RULES) -> DataFrame:
+    """(rule, severity, devices) of the passive rules that the observations' fields meet.
+
+    Null fields meet no predicate.  One pass marks all rules of a row; its rows are
+    reduced to distinct (rule, device, value) before anything is counted.
+    """
+    marks = F.array_compact(F.array(*[F.when(F.expr(p), F.struct(F.lit(r).alias("rule"), F.expr(v).cast("string").alias("value"))) for r, _, p, v, _ in rules]))
+    rows = observations.select("hw_addr", F.explode(marks).alias("m")).select("hw_addr", "m.*").distinct()
+    n = rows.groupBy("rule").agg(F.countDistinct("hw_addr").alias("devices"), F.countDistinct("value").alias("_n"))
+    spec = rows.sparkSession.createDataFrame([(r, s, CONTESTED.get(r, s), least) for r, s, _, _, least in rules], "rule string, one string, more string, least int")
+    met = n.join(F.broadcast(spec), "rule").where("_n >= least")  # the fixed list of rules
+    return met.select("rule", F.when(F.col("devices") > 1, F.col("more")).otherwise(F.col("one")).alias("severity"), "devices")
+
+
 def services(probes: DataFrame) -> DataFrame:
     """(rule, severity, devices) from probe results (hw_addr, service)."""
     spec = probes.sparkSession.createDataFrame([(r, n, s) for r, names, s in SERVICES for n in names], "rule string, service string, severity string")

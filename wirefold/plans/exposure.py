@@ -9,11 +9,26 @@ from ..sources.adapters import pick
 from . import oracle
 from .base import query
 
+# Stand-in predicates over the packet key, the data of the queries x00 to x08.
+# Rule, severity, predicate, and the least devices and values.
+PASSIVE = [
+    ("NR-001", "high", "source = 'llmnr'", 1, 0), ("NR-002", "high", "source = 'netbios'", 1, 0), ("NR-003", "info", "source = 'mdns'", 1, 0),
+    ("NR-004", "high", "source = 'dns' AND k % 5 = 1", 1, 0), ("L2-001", "medium", "source = 'arp'", 25, 0), ("L2-003", "medium", "source = 'arp' AND op = 2 AND ip_addr = target_ip", 1, 0),
+    ("L2-005", "medium", "source IS NOT NULL", 100, 0), ("L2-006", "low", "source IN ('cdp', 'lldp')", 1, 0), ("L2-007", "high", "source = 'dtp' AND op = 1", 1, 0),
+    ("L2-009", "high", "source = 'stp'", 1, 2), ("DH-001", "info", "source = 'dhcpv4'", 1, 0), ("DH-002", "medium", "source = 'dhcpv4' AND k > 80", 1, 0),
+    ("DH-003", "high", "source = 'dhcp_server'", 2, 0), ("DH-004", "medium", "source = 'dhcpv6'", 1, 0), ("RT-001", "medium", "source = 'icmpv6_ra'", 1, 0),
+    ("RT-002", "medium", "source = 'ospf'", 1, 0), ("RT-003", "info", "hw_addr LIKE '%0a'", 1, 0), ("TC-001", "medium", "source = 'tls' AND k < 40", 1, 0),
+    ("TC-002", "medium", "source = 'http'", 1, 0), ("NI-001", "medium", "source = 'upnp'", 1, 0), ("NI-002", "low", "source = 'dns' AND query_name LIKE '%.org'", 1, 0),
+    ("NI-003", "medium", "hw_addr LIKE '%0a' OR hw_addr LIKE '%14'", 2, 0), ("CRED-001", "high", "port IN (21, 23, 110, 143, 161)", 1, 0), ("CRED-002", "medium", "source = 'snmp'", 1, 0),
+    ("L2-004", "medium", "source = 'ndp'", 1, 0),
+]
+SOURCES = ["llmnr", "netbios", "mdns", "dns", "arp", "cdp", "lldp", "dtp", "stp", "dhcpv4", "dhcp_server", "dhcpv6", "icmpv6_ra", "tls", "http", "upnp", "snmp", "ndp", None]
+
 _PROBED = ["telnet", "ftp", "smb", "snmp", "modbus", "ssh", "ldap", "vnc", "ollama", "kerberos", "imap", "http"]
 VIEWS = {
-    "observations": f"SELECT *, {oracle.pick('k', X.SOURCES)} AS source, 'v' || (k % 4) AS val FROM packets",
+    "observations": f"SELECT *, {oracle.pick('k', SOURCES)} AS source, 'v' || (k % 4) AS val FROM packets",
     "x_passive": " UNION ALL ".join(
-        f"SELECT '{r}' AS rule, '{s}' AS severity, count(DISTINCT hw_addr) AS devices, count(DISTINCT val) AS \"distinct\" FROM observations WHERE {p} HAVING count(DISTINCT hw_addr) >= {d} AND count(DISTINCT val) >= {v}" for r, s, p, d, v in X.PASSIVE
+        f"SELECT '{r}' AS rule, '{s}' AS severity, count(DISTINCT hw_addr) AS devices, count(DISTINCT val) AS \"distinct\" FROM observations WHERE {p} HAVING count(DISTINCT hw_addr) >= {d} AND count(DISTINCT val) >= {v}" for r, s, p, d, v in PASSIVE
     ),
     "x_probes": f"SELECT DISTINCT hw_addr, {oracle.pick('k', _PROBED)} AS service FROM packets WHERE k < 60",
     "x_services": f"SELECT rule, severity, count(DISTINCT hw_addr) AS devices FROM x_probes JOIN {oracle.values([(r, n, s) for r, names, s in X.SERVICES for n in names], 's(rule, name, severity)')} ON name = service GROUP BY ALL",
@@ -23,7 +38,7 @@ VIEWS = {
 
 def observations(t):
     k = F.col("k")
-    return t.packets.withColumn("source", pick(k, X.SOURCES)).withColumn("value", F.concat(F.lit("v"), (k % 4).cast("string")))
+    return t.packets.withColumn("source", pick(k, SOURCES)).withColumn("value", F.concat(F.lit("v"), (k % 4).cast("string")))
 
 
 def probes(t):
@@ -31,7 +46,7 @@ def probes(t):
 
 
 def everything(t):
-    return X.passive(observations(t)).select("rule", "severity").unionByName(X.services(probes(t)).select("rule", "severity"))
+    return X.passive(observations(t), PASSIVE).select("rule", "severity").unionByName(X.services(probes(t)).select("rule", "severity"))
 
 
 @query("x00_context", "SELECT hw_addr, source, packet_id FROM (SELECT *, row_number() OVER (PARTITION BY hw_addr, source ORDER BY us DESC, packet_id DESC) AS n FROM observations WHERE source IS NOT NULL) WHERE n <= 2", VIEWS)
@@ -43,7 +58,7 @@ def _(t):
 
 @query("x01_to_x08_passive_rules", 'SELECT rule, severity, devices, "distinct" FROM x_passive', VIEWS)
 def _(t):
-    return X.passive(observations(t))
+    return X.passive(observations(t), PASSIVE)
 
 
 @query("x02_duplicate_ip", "SELECT ip_addr, count(DISTINCT hw_addr) AS macs FROM observations WHERE source = 'arp' GROUP BY ip_addr HAVING macs > 1", VIEWS)
@@ -93,3 +108,45 @@ def _chain_sql() -> str:
 @query("x10_chains", _chain_sql(), VIEWS)
 def _(t):
     return X.chains(everything(t))
+
+
+_KINDS = ["llmnr", "netbios", "mdns", "dns", "arp", "cdp", "dtp", "stp", "dhcpv4", "dhcp_anomaly", "dhcpv6", "icmpv6_ra", "icmpv6_na", "tls", "ssdp", "probe", None]
+_ASKED = ["wpad.corp", "printer.Local.", "www.example.org", "WPAD", None]
+FIELD_VIEW = {
+    "seen": f"""SELECT hw_addr, user_id, ip_addr, target_ip, op, port, {oracle.pick("packet_id", _KINDS)} AS source, {oracle.pick("user_id", _ASKED)} AS query_name, CASE WHEN user_id % 2 = 0 THEN 769 ELSE 771 END AS version,
+  user_id % 6 + 1 AS message, {oracle.pick("user_id", ["plc", "Smart Plug", "router", "phone", None])} AS category, {oracle.pick("user_id", ["bgp", "ssh"])} AS service FROM packets""",
+    "routers": "SELECT * FROM seen WHERE category = 'router'",
+}
+_DEVICES = "count(DISTINCT hw_addr) AS devices FROM seen WHERE"
+
+
+def field_observations(t):
+    """Packets with the fields that the rules read, dealt out by their keys."""
+    u = F.col("user_id")
+    return t.packets.select(
+        "hw_addr", "ip_addr", "target_ip", "op", "port", pick(F.col("packet_id"), _KINDS).alias("source"), pick(u, _ASKED).alias("query_name"),
+        pick(u, [769, 771]).alias("tls_version"), (u % 6 + 1).cast("int").alias("message_type"), F.concat(F.lit("10.0.0."), (u % 3).cast("string")).alias("server_id"),
+        (u % 8).isin(3, 4).alias("negotiating"), F.concat(F.lit("root-"), (u % 2).cast("string")).alias("root_mac"), (u % 4 == 0).alias("override"),
+        pick(u, ["plc", "Smart Plug", "router", "phone", None]).alias("category"), pick(u, ["bgp", "ssh"]).alias("service"),
+    )
+
+
+@query("x01_to_x08_field_rules", f"""SELECT * FROM (
+  SELECT 'NR-001' AS rule, 'high' AS severity, {_DEVICES} source = 'llmnr' UNION ALL SELECT 'NR-002', 'high', {_DEVICES} source = 'netbios' UNION ALL SELECT 'NR-003', 'info', {_DEVICES} source = 'mdns'
+  UNION ALL SELECT 'NR-004', 'high', {_DEVICES} source IN ('dns', 'netbios') AND user_id % 5 IN (0, 3)
+  UNION ALL SELECT 'L2-001', 'medium', {_DEVICES} source = 'arp' HAVING devices >= 25
+  UNION ALL SELECT 'L2-003', 'medium', {_DEVICES} source = 'arp' AND op = 2 AND ip_addr = target_ip
+  UNION ALL SELECT 'L2-004', 'low', {_DEVICES} source = 'icmpv6_na' AND user_id % 4 = 0 AND user_id % 5 <> 2
+  UNION ALL SELECT 'L2-005', 'medium', {_DEVICES} true HAVING devices >= 100
+  UNION ALL SELECT 'L2-006', 'info', {_DEVICES} source = 'cdp' UNION ALL SELECT 'L2-007', 'high', {_DEVICES} source = 'dtp' AND user_id % 8 IN (3, 4)
+  UNION ALL SELECT 'L2-009', 'high', {_DEVICES} source = 'stp' HAVING count(DISTINCT user_id % 2) >= 2
+  UNION ALL SELECT 'DH-001', 'info', {_DEVICES} source = 'dhcpv4' AND message IN (1, 3) UNION ALL SELECT 'DH-002', 'high', {_DEVICES} source = 'dhcp_anomaly'
+  UNION ALL SELECT 'DH-003', 'high', {_DEVICES} source = 'dhcpv4' AND message IN (2, 5) HAVING count(DISTINCT user_id % 3) >= 2
+  UNION ALL SELECT 'DH-004', 'info', {_DEVICES} source = 'dhcpv6'
+  UNION ALL SELECT 'RT-001', CASE WHEN count(DISTINCT hw_addr) > 1 THEN 'high' ELSE 'info' END, {_DEVICES} source = 'icmpv6_ra'
+  UNION ALL SELECT 'RT-002', 'high', {_DEVICES} source = 'probe' AND service = 'bgp' UNION ALL SELECT 'RT-003', 'low', count(DISTINCT hw_addr) FROM routers
+  UNION ALL SELECT 'TC-001', 'medium', {_DEVICES} source = 'tls' AND version = 769 UNION ALL SELECT 'NI-001', 'low', {_DEVICES} source = 'ssdp'
+  UNION ALL SELECT 'NI-002', 'low', {_DEVICES} source = 'dns' AND user_id % 5 IN (0, 1) UNION ALL SELECT 'NI-003', 'info', count(DISTINCT hw_addr) AS devices FROM routers HAVING devices >= 2
+  UNION ALL SELECT 'CRED-001', 'high', {_DEVICES} port IN (21, 23, 110, 143, 161) UNION ALL SELECT 'CRED-002', 'info', {_DEVICES} user_id % 5 IN (0, 1)) WHERE devices > 0""", FIELD_VIEW)
+def _(t):
+    return X.observed(field_observations(t))

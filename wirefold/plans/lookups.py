@@ -186,15 +186,29 @@ def _(t):
 _PORT_HINT = [(22, "ssh"), (23, "telnet"), (21, "ftp"), (53, "dns"), (80, "http"), (443, "https"), (161, "snmp"), (502, "modbus"), (1883, "mqtt"), (3306, "mysql")]
 
 
+def _infrastructure(p):
+    """Stand-in data by the packet key; the operator is ``records.infrastructure``."""
+    kind = F.element_at(F.array(*map(F.lit, ["router", "switch", "access_point", "phone"])), (F.col("k") % 4 + 1).cast("int"))
+    vendor = F.when(F.lower("banner").contains("openssh"), "Cisco").when(F.lower("banner").contains("nginx"), "Ubiquiti")
+    sure = F.when(F.col("k") < 33, 0.9).when(F.col("k") < 66, 0.7).otherwise(0.5)
+    return p.select("packet_id", kind.alias("category"), vendor.alias("vendor"), sure.alias("certainty"))
+
+
+def _industrial(p):
+    """Stand-in data by the port; the operator is ``records.industrial``."""
+    p = p.where(F.col("port").isin(502, 1883))
+    return p.select("packet_id", F.when(F.col("port") == 502, "modbus").otherwise("s7comm").alias("source"), F.when(F.col("op") == 2, "plc").otherwise("hmi").alias("category"))
+
+
 @query("e04_infrastructure", """SELECT packet_id, CASE WHEN k % 4 = 0 THEN 'router' WHEN k % 4 = 1 THEN 'switch' WHEN k % 4 = 2 THEN 'access_point' ELSE 'phone' END AS category,
   CASE WHEN contains(lower(banner), 'openssh') THEN 'Cisco' WHEN contains(lower(banner), 'nginx') THEN 'Ubiquiti' END AS vendor, CASE WHEN k < 33 THEN 0.9 WHEN k < 66 THEN 0.7 ELSE 0.5 END::DOUBLE AS certainty FROM packets WHERE protocol = 'tcp_syn'""")
 def _(t):
-    return emit.infrastructure(t.packets.where("protocol = 'tcp_syn'"))
+    return _infrastructure(t.packets.where("protocol = 'tcp_syn'"))
 
 
 @query("e05_industrial_role", """SELECT packet_id, CASE WHEN port = 502 THEN 'modbus' ELSE 's7comm' END AS source, CASE WHEN op = 2 THEN 'plc' ELSE 'hmi' END AS category FROM packets WHERE port IN (502, 1883)""")
 def _(t):
-    return emit.industrial(t.packets)
+    return _industrial(t.packets)
 
 
 @query("e06_banner_identity", f"""SELECT packet_id, CASE {_CASE.format(*(f"'{n}'" for *_, n in _BANNER))} END AS product, CASE WHEN banner LIKE 'SSH%' THEN 0.8 WHEN banner LIKE '220%' THEN 0.7 ELSE 0.5 END::DOUBLE AS certainty FROM packets WHERE banner NOT LIKE 'RFB%'""")
