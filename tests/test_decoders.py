@@ -54,7 +54,7 @@ def test_layer_two():
 @pytest.mark.parametrize(("kind", "data", "field", "value"), [
     ("modbus", b"\0\1\0\0\0\6\x11\3\0\0", "function_code", "3"), ("umas", b"\0\1\0\0\0\6\1\x5a\0\2", "umas_code", "2"), ("bacnet", b"\x81\x0b\0\x0c", "function", "11"),
     ("dnp3", b"\5\x64\5\xc0\1\0\x0a\0\0\0", "source", "10"), ("s7comm", b"\3\0\0\x19\2\xf0\x80\x32\1\0", "pdu_type", "1"), ("opcua", b"HELF\x20\0\0\0", "message", "HEL"),
-    ("coap", b"\x40\1\0\7", "message_id", "7"), ("mqtt", b"\x10\x10\0\4MQTT\4\2\0\x3c\0\2ab", "client_id", "ab"), ("icmpv6_ra", b"\x86\0\0\0\x40\xc0\7\8" + b"\0" * 8, "hop_limit", "64"),
+    ("coap", b"\x40\1\0\7", "message_id", "7"), ("mqtt", b"\x10\x10\0\4MQTT\4\2\0\x3c\0\2ab", "client_id", "ab"), ("icmpv6_ra", b"\x86\0\0\0\x40\xc0\7\x08" + b"\0" * 8, "hop_limit", "64"),
     ("snmp", b"\x30\x10\2\1\1\4\6public\0", "community", "public"), ("quic", b"\xc0\0\0\0\1\0..a.example.org..", "sni", "a.example.org"), ("radius", b"\1\7\0\x14" + b"\0" * 16, "identifier", "7"),
 ])
 def test_fields(kind, data, field, value):
