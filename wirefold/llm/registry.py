@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import word_queries
+
 END_ID = 2
 
 
@@ -101,11 +103,11 @@ def queries() -> dict:
         op1_pivot_index, op2_language_id, op3_chat_format, op4_mixing, op5_token_binary, op6_license_scan, op7_toxicity,
         op8_ngram_join, op9_decontaminate, op10_repeat_index,
     ]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | word_queries.queries()
 
 
 def oracle_sql() -> dict:
-    return {"op1_pivot_index": VECTORS_SQL, "op4_mixing": MIXING_SQL}
+    return {"op1_pivot_index": VECTORS_SQL, "op4_mixing": MIXING_SQL} | word_queries.oracle_sql()
 
 
 #: All pairs of a label by brute force, components by reachability.
