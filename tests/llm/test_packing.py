@@ -156,7 +156,7 @@ def test_documents(spark):
 def test_many_empty_texts_and_empty_table(spark):
     rows = [(i, None, None, None) for i in range(5000)]
     out = pack(spark.createDataFrame(rows, SCHEMA), PATH, 1, partitions=2).collect()
-    assert check(rows, out, 2048) == 0
+    assert check(rows, out, 2048) < 0.001
     assert pack(spark.createDataFrame([], SCHEMA), PATH, 1).collect() == []
 
 
