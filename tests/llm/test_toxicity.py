@@ -98,6 +98,32 @@ def test_rates_against_plain_python():
         assert np.isclose(got[13], sum(len(w) == 1 for w in words) / n)
 
 
+def test_texts_of_a_batch_do_not_see_each_other():
+    rng = random.Random(9)
+    texts = ["idiot", "you!", "hey!", "!x", "aa", "a", "ab", "0", "c", "", None, "you", "idiot you", "!", "!", "so", "oo", "é", "é"]
+    signs = ["you", "idiot", "!", "oo", "0", "b", "-", "É", "1d10t", " "]
+    texts += ["".join(rng.choice(signs) + rng.choice(["", " "]) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    together = parts(pa.array(texts))
+    known = np.unique(np.concatenate([code for code, _ in together.items]))
+    full = np.full(len(known), 20.0)
+    lexicon = learn_lexicon(np.arange(len(known)) % 6, known, full, full * 0, 20, 20)
+    x = features(together, lexicon)
+    alone = np.concatenate([features(parts(pa.array([t], pa.string())), lexicon) for t in texts])
+    assert (x == alone).all()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_scores_do_not_depend_on_the_partitioning(spark):
+    base = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    known = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    score = None
+    for n in (1, 3, 7):
+        got = {r.doc_id: r.score for r in predict(docs.repartition(n), train(known.repartition(n), labels)).select("doc_id", "score").collect()}
+        assert score is None or got == score
+        score = got
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(0)
     x = rng.normal(size=300)

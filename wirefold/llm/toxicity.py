@@ -138,8 +138,9 @@ def parts(column) -> Parts:
     second = np.isin(w["hash"], _hashes(SECOND_PERSON))
     near = second.copy()
     for j in (1, 2, 3):
-        near[j:] |= second[:-j]
-        near[:-j] |= second[j:]
+        alike = w["doc"][j:] == w["doc"][:-j]  # texts lie end to end, and none may look into the next
+        near[j:] |= second[:-j] & alike
+        near[:-j] |= second[j:] & alike
 
     def share(mask: np.ndarray, over: np.ndarray) -> np.ndarray:
         sums = np.concatenate(([0], np.cumsum(mask)))
@@ -152,11 +153,14 @@ def parts(column) -> Parts:
     upper = _UPPER[data]
     same = np.zeros(len(data), bool)
     same[1:] = data[1:] == data[:-1]
+    full = offsets[:-1][np.diff(offsets) > 0]  # first bytes of texts
+    same[full] = False
     stretched = np.zeros(len(data), bool)
     stretched[2:] = same[2:] & same[1:-1] & _LETTER[low[2:]]
     mixed = np.zeros(len(data), bool)
     if len(data) > 2:
         mixed[1:-1] = _DISGUISE[data[1:-1]] & _LETTER[low[:-2]] & _LETTER[low[2:]]
+        mixed[full] = mixed[offsets[1:][np.diff(offsets) > 0] - 1] = False
     # Upper-case bytes of each word, for shouted words.
     capital = np.concatenate(([0], np.cumsum(upper)))
     shift = w["doc"]
