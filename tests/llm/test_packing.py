@@ -5,6 +5,8 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from wirefold.llm import packing
@@ -99,6 +101,28 @@ def test_sentences(text):
         encoder.by_piece = True
 
 
+def test_batches_equal_single_texts():
+    import pyarrow as pa
+
+    texts = [*ODD, "", None, "a", "a. a. a", " x", "x ", "Is it. Is it! Is", *(ODD * 3)]
+    for limit in (1, 300, 1 << 20):
+        words = packing.Words(encoder, limit)
+        for _ in range(2):
+            assert list(packing.batch_ids(encoder, pa.array(texts), words)) == [sentence_ids(encoder, t) if t else (b"", [0]) for t in texts]
+    assert list(packing.batch_ids(encoder, pa.array([], pa.string()), words)) == []
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="aé Z'st\n\t.,!1<|>ñ 日", max_size=40), max_size=4))
+def test_batches_of_random_texts(texts):
+    import pyarrow as pa
+
+    got = list(packing.batch_ids(encoder, pa.array(texts, pa.string()), packing.Words(encoder, 1000)))
+    for text, (ids, ends) in zip(texts, got):
+        assert np.frombuffer(ids, encoder.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert (ids, ends) == (sentence_ids(encoder, text) if text else (b"", [0]))
+
+
 def check(rows, out, width):
     """Exact cover of every document, gapless sequences, order; returns the share of padding."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)

@@ -24,23 +24,27 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped, written
 from .textvec import sliced
-from .token_binary import _INNER, Encoder, _Odd, encoder_of
+from .token_binary import _INNER, _TAIL, Encoder, _Odd, encoder_of
 
 #: Penalties of cuts, in tokens of padding.
 DOCUMENT, SENTENCE, INSIDE, WINDOW = 0, 4, 64, 1
 #: Tokens gathered before windows are chosen, and tokens after which they are
 #: settled even where cuts don't agree.
 STEP, HORIZON = 1 << 16, 1 << 20
+#: Bytes of text whose pieces are looked up together, and of remembered pieces.
+BATCH_BYTES, MEMORY = 1 << 22, 48 << 20
 _SENTENCE = re.compile(r"[.!?] ")
 
 
@@ -77,6 +81,89 @@ def sentence_ids(encoder: Encoder, text: str) -> tuple[bytes, list[int]]:
     return np.array(found.ids, encoder.dtype).tobytes(), [*cuts.tolist(), len(found.ids)]
 
 
+class Words(dict):
+    """Ids (as bytes) of words of letters behind a space.
+
+    About ``limit`` bytes make a generation; words of the generation before
+    pass to the new one when they come again, others are forgotten.
+    """
+
+    def __init__(self, encoder: Encoder, limit: int) -> None:
+        super().__init__()
+        self.encoder, self.limit, self.held, self.old = encoder, limit, 0, {}
+        self.model, self.code = encoder.tokenizer.model, encoder.rest.code
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.old.pop(word, None)
+        if out is None:
+            if word.isascii():  # these letters stand for themselves, a space for U+0120
+                out = array(self.code, [t.id for t in self.model.tokenize("\u0120" + word)]).tobytes()
+            else:
+                out = self.encoder.rest.word_ids(word)
+        if self.held >= self.limit:
+            self.old = self.copy()
+            self.clear()
+            self.held = 0
+        self[word] = out
+        self.held += len(word) + len(out) + 200  # two objects and a slot
+        return out
+
+    def of(self, piece: str) -> bytes:
+        """Ids of a piece that follows a space and does not end in white space."""
+        word = piece.rstrip(_TAIL)
+        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            return self[word] if len(word) == len(piece) else self[word] + self.encoder.first[piece[len(word) :]]
+        left, line, right = piece.partition("\n")
+        if line and left and right and not left[-1].isspace() and not right[0].isspace():
+            return self.of(left) + self.encoder.first.line + self.encoder.first[right]
+        return self.encoder.rest[piece]
+
+
+_words: dict[str, Words] = {}
+
+
+def batch_ids(encoder: Encoder, column: pa.Array, words: Words) -> Iterator[tuple[bytes, list[int]]]:
+    """``sentence_ids`` of every text of a column (null: empty, without ids).
+
+    Each distinct piece of the batch is looked up once; the ids of all texts
+    are then gathered from those of the pieces.
+    """
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    if not encoder.by_piece or not len(texts):
+        yield from (sentence_ids(encoder, t) if t else (b"", [0]) for t in texts.to_pylist())
+        return
+    split = pc.split_pattern(texts, " ")
+    number = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    bounds = np.concatenate(([0], np.cumsum(number)))
+    coded = pc.list_flatten(split).dictionary_encode()
+    pieces, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    odd = np.array([not p or len(p.strip()) != len(p) for p in pieces])
+    strange = np.add.reduceat(odd[code], bounds[:-1]) > 0
+    stops = [pc.ends_with(coded.dictionary, mark) for mark in ".!?"]
+    sentence = pc.or_(pc.or_(stops[0], stops[1]), stops[2]).to_numpy(zero_copy_only=False)[code]
+    sentence[bounds[1:] - 1] = False
+    first = encoder.first
+    found = [b"" if o else words.of(p) for p, o in zip(pieces, odd.tolist())]
+    heads = code[bounds[:-1]]
+    found += [b"" if odd[h] else first[pieces[h]] for h in heads.tolist()]
+    code[bounds[:-1]] = len(pieces) + np.arange(len(texts))
+    pool = np.frombuffer(b"".join(found), encoder.dtype)
+    size = np.array([len(x) for x in found]) // encoder.dtype.itemsize
+    start = np.cumsum(size) - size
+    each = size[code]
+    upto = np.concatenate(([0], np.cumsum(each)))
+    ids = pool[np.repeat(start[code] - upto[:-1], each) + np.arange(upto[-1])]
+    marks = np.flatnonzero(sentence)
+    cut = np.searchsorted(marks, bounds)
+    for i in range(len(texts)):
+        if strange[i]:
+            text = texts[i].as_py()
+            yield sentence_ids(encoder, text) if text else (b"", [0])
+            continue
+        a, b = upto[bounds[i]], upto[bounds[i + 1]]
+        yield ids[a:b].tobytes(), [*(upto[marks[cut[i] : cut[i + 1]] + 1] - a).tolist(), int(b - a)]
+
+
 class Windows:
     """Least-cost cuts of a stream that is given bit by bit.
 
@@ -248,13 +335,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 2048, p
         from pyspark import TaskContext
 
         encoder, part = encoder_of(tokenizer_path), TaskContext.get().partitionId()
+        words = _words.setdefault(tokenizer_path, Words(encoder, MEMORY))  # the worker's, for the tasks that follow
         dtype = encoder.dtype if end_id <= np.iinfo(encoder.dtype).max else np.dtype("<u4")
         last = np.array([end_id], dtype).tobytes()
 
         def documents() -> Iterator[tuple[object, bytes, list[int]]]:
-            for batch in sliced(batches):
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids, ends = sentence_ids(encoder, text) if text else (b"", [0])
+            for batch in sliced(batches, limit=BATCH_BYTES):
+                for key, (ids, ends) in zip(batch.column(0).to_pylist(), batch_ids(encoder, batch.column(1), words)):
                     if dtype != encoder.dtype:
                         ids = np.frombuffer(ids, encoder.dtype).astype(dtype).tobytes()
                     ends[-1] += 1
