@@ -7,6 +7,7 @@ processors need the RocksDB state store (``state_conf``).
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,6 +23,18 @@ def state_conf(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
 
 
+@contextlib.contextmanager
+def state_store(spark) -> Iterator[None]:
+    """``state_conf`` for a while; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    state_conf(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def timed(packets: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """Adds ``ts`` and the watermark."""
     return packets.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", lateness)
