@@ -146,7 +146,9 @@ class Model:
 
     A part is three arrays: n-gram hashes in order, the first row of each
     bucket of hashes, and rows of log probabilities and back-off weights (a
-    column per language, natural logs).
+    column per language, natural logs).  A task maps the parts it needs and lets
+    go of them at its end: workers live on, and would keep the files of every
+    model they have seen.
     """
 
     langs: list[str]
@@ -419,6 +421,7 @@ def _sample(model: Model, texts: DataFrame, number: int) -> tuple[np.ndarray, ..
             _, one = np.unique(np.column_stack((l, h)), axis=0, return_index=True)  # copies
             entropy, count = model.entropies(*view(batch.column("text").take(pa.array(one))))
             yield pa.RecordBatch.from_arrays([pa.array(l[one]), pa.array(h[one]), _lists(entropy), pa.array(count)], ["l", "h", "entropy", "count"])
+        model.index.clear()
 
     scored = mapped(hashed.where(chance < F.element_at(bound, F.col("lang"))), score, "l long, h long, entropy array<double>, count double")
     table = scored.where("count > 0").groupBy("l", "h").agg(F.first("entropy").alias("entropy"), F.first("count").alias("count")).toArrow()
@@ -510,5 +513,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     out[ok] = (least > base + wide / np.sqrt(np.maximum(count, 1)))[ok]
             new = [pa.array(lang, pa.string()), pa.array(score), pa.array(least, mask=np.isnan(least)), pa.array(out)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "lang_pred", "score", "entropy", "rejected"])
+        if model is not None:
+            model.index.clear()
 
     return mapped(docs.select(*names), label, schema)
