@@ -44,7 +44,7 @@ DOCUMENT, SENTENCE, INSIDE, WINDOW = 0, 4, 64, 1
 #: settled even where cuts don't agree.
 STEP, HORIZON = 1 << 16, 1 << 20
 #: Bytes of text whose pieces are looked up together, and of remembered pieces.
-BATCH_BYTES, MEMORY = 1 << 22, 48 << 20
+BATCH_BYTES, MEMORY = 1 << 23, 64 << 20
 _SENTENCE = re.compile(r"[.!?] ")
 
 
@@ -122,6 +122,34 @@ class Words(dict):
 _words: dict[str, Words] = {}
 
 
+def _piece_ids(encoder: Encoder, words: Words, pieces: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """Ids of distinct pieces behind a space; and which pieces are odd (left empty):
+    they are empty or have white space at an end."""
+    stem = pc.utf8_rtrim(pieces, characters=_TAIL)
+    plain = pc.and_(pc.utf8_is_alpha(stem), pc.string_is_ascii(stem)).to_numpy(zero_copy_only=False)
+    found, odd = np.full(len(pieces), b"", object), np.zeros(len(pieces), bool)
+    # ASCII words with or without marks behind: once for each word and each tail.
+    at = np.flatnonzero(plain)
+    some = stem.take(pa.array(at)).dictionary_encode()
+    ids = np.empty(len(some.dictionary), object)
+    ids[:] = list(map(words.__getitem__, some.dictionary.to_pylist()))
+    found[at] = ids[some.indices.to_numpy(zero_copy_only=False)]
+    tail = (pc.binary_length(pieces).to_numpy(zero_copy_only=False) - pc.binary_length(stem).to_numpy(zero_copy_only=False))[at]
+    for n in np.unique(tail[tail > 0]).tolist():
+        mine = at[tail == n]
+        marks = pc.utf8_slice_codeunits(pieces.take(pa.array(mine)), -n).dictionary_encode()
+        ends = np.empty(len(marks.dictionary), object)
+        ends[:] = [encoder.first[m] for m in marks.dictionary.to_pylist()]
+        found[mine] += ends[marks.indices.to_numpy(zero_copy_only=False)]
+    rest = np.flatnonzero(~plain)
+    for i, p in zip(rest.tolist(), pieces.take(pa.array(rest)).to_pylist()):
+        if not p or len(p.strip()) != len(p):
+            odd[i] = True
+        else:
+            found[i] = words.of(p)
+    return found.tolist(), odd
+
+
 def batch_ids(encoder: Encoder, column: pa.Array, words: Words) -> Iterator[tuple[bytes, list[int]]]:
     """``sentence_ids`` of every text of a column (null: empty, without ids).
 
@@ -136,16 +164,14 @@ def batch_ids(encoder: Encoder, column: pa.Array, words: Words) -> Iterator[tupl
     number = pc.list_value_length(split).to_numpy(zero_copy_only=False)
     bounds = np.concatenate(([0], np.cumsum(number)))
     coded = pc.list_flatten(split).dictionary_encode()
-    pieces, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    odd = np.array([not p or len(p.strip()) != len(p) for p in pieces])
+    pieces, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    found, odd = _piece_ids(encoder, words, pieces)
     strange = np.add.reduceat(odd[code], bounds[:-1]) > 0
-    stops = [pc.ends_with(coded.dictionary, mark) for mark in ".!?"]
+    stops = [pc.ends_with(pieces, mark) for mark in ".!?"]
     sentence = pc.or_(pc.or_(stops[0], stops[1]), stops[2]).to_numpy(zero_copy_only=False)[code]
     sentence[bounds[1:] - 1] = False
-    first = encoder.first
-    found = [b"" if o else words.of(p) for p, o in zip(pieces, odd.tolist())]
     heads = code[bounds[:-1]]
-    found += [b"" if odd[h] else first[pieces[h]] for h in heads.tolist()]
+    found += [b"" if o else encoder.first[p] for p, o in zip(pieces.take(pa.array(heads)).to_pylist(), odd[heads].tolist())]
     code[bounds[:-1]] = len(pieces) + np.arange(len(texts))
     pool = np.frombuffer(b"".join(found), encoder.dtype)
     size = np.array([len(x) for x in found]) // encoder.dtype.itemsize
