@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import mac, names
-from ..operators import detect, throttle
+from ..operators import detect, identity, inventory, throttle
 from ..sources import adapters as A
 from . import oracle
 from .base import DAY, HOUR, query
@@ -239,7 +239,25 @@ def _(t):
 
 @query("d04_identity_backfill", "SELECT hw_addr, dense_rank() OVER (ORDER BY coalesce(hostname, hw_addr)) AS identity FROM verdicts")
 def _(t):
-    return t.verdicts.select("hw_addr", F.dense_rank().over(Window.orderBy(F.coalesce("hostname", "hw_addr"))).cast("long").alias("identity"))
+    v = t.verdicts.select("hw_addr", F.coalesce("hostname", "hw_addr").alias("_key"))
+    return v.join(identity.numbered(v, "_key"), "_key").select("hw_addr", F.col("number").alias("identity"))
+
+
+_SCORE = " + ".join(f"CASE WHEN a.{k} = b.{k} THEN {w} ELSE 0 END" for k, w in identity.SIGNALS.items())
+
+
+@query("d04_identity_passes", f"""WITH s AS (SELECT hw_addr, {", ".join(identity.SIGNALS)} FROM (SELECT p.*, row_number() OVER (PARTITION BY hw_addr ORDER BY us DESC, packet_id DESC) AS n FROM packets p)
+    JOIN (SELECT hw_addr FROM verdicts) USING (hw_addr) WHERE n = 1),
+  r AS (SELECT hw_addr, dense_rank() OVER (ORDER BY coalesce(hostname, hw_addr)) AS identity FROM verdicts WHERE hw_addr NOT LIKE 'd2%'),
+  x AS (SELECT a.hw_addr, b.hw_addr AS other, round({_SCORE}, 6)::DOUBLE AS score FROM s a JOIN s b ON a.hw_addr <> b.hw_addr WHERE a.hw_addr LIKE 'd2%' AND b.hw_addr NOT LIKE 'd2%'),
+  m AS (SELECT hw_addr, arg_max(other, (score, other)) AS other, max(score) AS score FROM x GROUP BY hw_addr HAVING max(score) >= 0.4)
+  SELECT hw_addr, identity, NULL::DOUBLE AS score FROM r
+  UNION ALL SELECT m.hw_addr, r.identity, m.score FROM m JOIN r ON r.hw_addr = m.other
+  UNION ALL SELECT hw_addr, (SELECT coalesce(max(identity), 0) FROM r) + dense_rank() OVER (ORDER BY coalesce(hostname, hw_addr)), NULL::DOUBLE
+    FROM verdicts WHERE hw_addr LIKE 'd2%' AND hw_addr NOT IN (SELECT hw_addr FROM m)""")
+def _(t):
+    signals = inventory.latest(t.packets, ["hw_addr"], [F.col("us").desc(), F.col("packet_id").desc()]).select("hw_addr", *identity.SIGNALS)
+    return identity.identities(t.verdicts, signals, F.col("hw_addr").startswith("d2"))
 
 
 @query("d05_authorization_state", """SELECT hw_addr, arg_max(status, (us, id)) AS state, count(*) FILTER (status <> before OR before IS NULL) AS transitions FROM (SELECT *, lag(status) OVER (PARTITION BY hw_addr ORDER BY us, id) AS before FROM findings) GROUP BY hw_addr""")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ip, mac
-from ..operators import fusion, inventory
+from ..operators import fusion, identity, inventory
 from ..sources import adapters as A
 from . import oracle
 from .base import DAY, HOUR, query
@@ -194,7 +194,7 @@ def _(t):
     return d.withColumn("some", F.nullif("some", F.lit("")))
 
 
-_SIGNALS = {"hostname": 0.35, "opt60": 0.25, "opt55": 0.15, "query_name": 0.15, "service": 0.1}
+_SIGNALS = identity.SIGNALS
 
 
 @query("j09_signal_similarity", f"""WITH s AS (SELECT hw_addr, last_us, hostname, opt60, opt55, query_name, service FROM (SELECT p.*, max(us) OVER (PARTITION BY hw_addr) AS last_us,
@@ -204,13 +204,7 @@ _SIGNALS = {"hostname": 0.35, "opt60": 0.25, "opt55": 0.15, "query_name": 0.15,
   SELECT hw_addr, arg_max(other, (score, other)) AS identity, max(score) AS score FROM x GROUP BY hw_addr HAVING max(score) >= 0.4""")
 def _(t):
     s = inventory.latest(t.packets, ["hw_addr"], [F.col("us").desc(), F.col("packet_id").desc()]).select("hw_addr", *_SIGNALS)
-    long = s.unpivot(["hw_addr"], list(_SIGNALS), "signal", "value").where("value IS NOT NULL")
-    weight = A.mapped(F.col("signal"), _SIGNALS)
-    a = long.where(mac.randomized(F.col("hw_addr")))
-    b = long.where(~mac.randomized(F.col("hw_addr"))).withColumnRenamed("hw_addr", "other")
-    pairs = a.join(b, ["signal", "value"]).groupBy("hw_addr", "other").agg(F.round(F.sum(weight), 6).alias("score"))
-    best = pairs.groupBy("hw_addr").agg(F.max_by("other", F.struct("score", "other")).alias("identity"), F.max("score").alias("score"))
-    return best.where("score >= 0.4")
+    return identity.most_similar(s.where(mac.randomized(F.col("hw_addr"))), s.where(~mac.randomized(F.col("hw_addr"))))
 
 
 _OVERRIDES = [("00:1a:2b:00:00:01", "Acme", ""), ("00:1a:2b:00:00:02", "", "camera"), ("d2:1a:2b:00:00:05", "Own", "plug")]
