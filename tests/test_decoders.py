@@ -1,6 +1,7 @@
 """Payload decoders on hand-made messages."""
 
 import hashlib
+import random
 import struct
 
 import pytest
@@ -72,3 +73,24 @@ def test_over_rows(spark):
     rows = [(1, "modbus", bytearray(b"\0\1\0\0\0\6\x11\3\0\0")), (2, "modbus", None), (3, None, bytearray(b"x")), (4, "ntp", bytearray(48))]
     got = {r.i: r.fields for r in decoded(spark.createDataFrame(rows, "i int, protocol string, payload binary")).collect()}
     assert got[1]["unit_id"] == "17" and got[2] is None and got[3] is None and got[4]["stratum"] == "0"
+
+
+BROKEN = {"lldp": ["0f1027", "0e02ffff", "0e0400"], "dtp": ["01000204c0", "0100020005"], "snmp": ["30060201", "300702010104"], "cdp": ["02b40000000a0005ff"], "dns": ["000000000001000100000000c0"]}
+
+
+def test_broken_payloads_give_null_and_do_not_raise(spark):
+    """Random and cut payloads of every kind; one raised in a job would end it."""
+    rng = random.Random(11)
+    kinds = [*SPECIAL, *LAYOUTS]
+    heads = {"tls": "16030100300100002c0303", "dhcpv4": "01010600", "dns": "0001818000010002", "mqtt": "100c00044d515454", "lldp": "0e04", "dtp": "0100020005", "snmp": "302602010104", "cdp": "02b40000000a"}
+    rows = [(k, bytes.fromhex(x)) for k, some in BROKEN.items() for x in some]
+    for kind in kinds:
+        for _ in range(400):
+            head = bytes.fromhex(heads.get(kind, "")) if rng.random() < 0.6 else b""
+            body = bytes(rng.choice([0, 1, 2, 4, 7, 192, 255, rng.randrange(256)]) for _ in range(rng.randrange(60)))
+            rows.append((kind, (head + body)[: rng.randrange(1, 80)]))
+            decode(*rows[-1])
+    assert decode("lldp", bytes.fromhex("0f1027")) is None or decode("dtp", bytes.fromhex("01000204c0")) is None
+    rows += [(None, b"x"), ("lldp", None), ("lldp", b""), ("nonsense", b"abc")]
+    out = decoded(spark.createDataFrame(rows, "protocol string, payload binary")).collect()
+    assert len(out) == len(rows) and [r.fields for r in out[-4:]] == [None] * 4

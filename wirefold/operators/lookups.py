@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .patterns import matches
+
 #: Patterns up to which a table is broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -56,11 +58,12 @@ def first_regex_join(df: DataFrame, column: str, rules: DataFrame, keys: list[st
     """First rule by priority whose ``pattern`` matches; adds ``version`` from
     its first group if it has one (``rules``: priority, pattern, values).
 
-    Matching is done once per distinct text.
+    Matching is done once per distinct text, and only where a literal that the
+    pattern requires is found (``patterns``).
     """
     values = [c for c in rules.columns if c not in ("priority", "pattern")]
     texts = df.select(column).where(F.col(column).isNotNull()).distinct()
-    met = texts.join(bounded(rules), F.expr(f"`{column}` rlike pattern"))
+    met = matches(texts, column, rules, bounded)
     grouped = F.expr("pattern rlike '(?<!\\\\\\\\)\\\\((?!\\\\?)'")
     version = F.when(grouped, F.expr(f"regexp_extract(`{column}`, pattern, 1)")).otherwise(F.lit(""))
     best = _first(met.withColumn("version", version), [column], F.col("priority"), [*values, "version"])

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ip, mac
-from ..operators import fusion, identity, inventory
+from ..operators import fusion, identity, inventory, lookups, patterns
 from ..sources import adapters as A
 from . import oracle
 from .base import DAY, HOUR, query
@@ -131,8 +131,8 @@ _INDEX = [("os", 1, "Windows", "windows"), ("os", 2, "iPhone|Mac OS", "apple"),
 @query("f14_category_regex", f"""SELECT k, arg_min(label, priority) AS label FROM (SELECT DISTINCT k, user_agent FROM packets) p
   JOIN {oracle.values(_INDEX, "i(category, priority, pattern, label)")} ON category = 'os' AND regexp_matches(user_agent, pattern) GROUP BY k""")
 def _(t):
-    rows = F.broadcast(t.spark.createDataFrame(_INDEX, "category string, priority int, pattern string, label string").where("category = 'os'"))
-    met = t.packets.select("k", "user_agent").distinct().join(rows, F.expr("user_agent rlike pattern"))
+    rules = t.spark.createDataFrame(_INDEX, "category string, priority int, pattern string, label string").where("category = 'os'")
+    met = patterns.matches(t.packets.select("k", "user_agent").distinct(), "user_agent", rules, lookups.bounded)
     return met.groupBy("k").agg(F.min_by("label", "priority").alias("label"))
 
 

@@ -202,7 +202,7 @@ def lldp(b: bytes) -> dict[str, str] | None:
         if kind == 0:
             break
         if kind in names:
-            out[names[kind]] = body[1:].hex(":") if kind == 1 and body[:1] == b"\4" else _text(body[1:]) if kind in (1, 2) else str(struct.unpack_from(">H", body, 2)[0]) if kind == 7 and size >= 4 else _text(body)
+            out[names[kind]] = body[1:].hex(":") if kind == 1 and body[:1] == b"\4" else _text(body[1:]) if kind in (1, 2) else str(struct.unpack_from(">H", body, 2)[0]) if kind == 7 and len(body) >= 4 else _text(body)
         at += 2 + size
     return out or None
 
@@ -228,7 +228,7 @@ def dtp(b: bytes) -> dict[str, str] | None:
         kind, size = struct.unpack_from(">HH", b, at)
         if size < 4:
             break
-        if kind == 2 and size >= 5:
+        if kind == 2 and size >= 5 and at + 4 < len(b):
             mode = {1: "on", 2: "off", 3: "desirable", 4: "auto", 5: "nonegotiate"}.get(b[at + 4] & 7, "unknown")
             return {"mode": mode, "negotiating": str(mode in ("desirable", "auto")).lower()}
         at += size
@@ -310,11 +310,14 @@ def decode(kind: str | None, data: bytes | None) -> dict[str, str] | None:
     """Fields of one payload; null for another format or a broken one."""
     if not data:
         return None
-    if kind in SPECIAL:
-        return SPECIAL[kind](data)
-    if kind in LAYOUTS:
-        fits, fields = LAYOUTS[kind]
-        return {name: _field(data, at, code) for name, at, code in fields} if fits(data) else None
+    try:
+        if kind in SPECIAL:
+            return SPECIAL[kind](data)
+        if kind in LAYOUTS:
+            fits, fields = LAYOUTS[kind]
+            return {name: _field(data, at, code) for name, at, code in fields} if fits(data) else None
+    except (IndexError, ValueError, struct.error):  # cut off where a field should be: anyone may send such frames
+        return None
     return None
 
 
