@@ -70,6 +70,21 @@ def first_regex_join(df: DataFrame, column: str, rules: DataFrame, keys: list[st
     return df.join(best, column, "left").select(*df.columns, *values, "version")
 
 
+def fingerprint_join(df: DataFrame, column: str, rules: DataFrame) -> DataFrame:
+    """First fingerprint by priority that matches: adds description and ``stated``,
+    a map of its parameters (``rules``: priority, pattern, description, params).
+
+    A parameter at position 0 has its own value, one at another position the
+    text of that group; what is empty is left out.
+    """
+    texts = df.select(column).where(F.col(column).isNotNull()).distinct()
+    met = matches(texts, column, rules, bounded)
+    best = _first(met, [column], F.col("priority"), ["pattern", "description", "params"])
+    value = f"if(p._pos = 0, p._value, regexp_extract(`{column}`, pattern, p._pos))"
+    stated = F.expr(f"map_from_entries(filter(transform(coalesce(params, array()), p -> struct(p._name AS key, {value} AS value)), e -> e.key IS NOT NULL AND e.value <> ''))")
+    return df.join(best.select(column, "description", stated.alias("stated")), column, "left")
+
+
 def _by_rarest_option(patterns: DataFrame) -> DataFrame:
     """Adds ``_option``: of a pattern's options the one that the fewest patterns have."""
     parts = patterns.select("options").distinct().withColumn("_option", F.explode(F.array_distinct(F.split("options", ","))))

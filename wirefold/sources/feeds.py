@@ -96,3 +96,9 @@ def guarded_sql(spark: SparkSession, statement: str, limit: int = 10_000) -> Dat
     if not re.match(r"(?i)^(select|with)\b", text) or ";" in text or re.search(banned, text):
         raise ValueError("only one read-only SELECT is allowed")
     return spark.sql(text).limit(limit)
+
+
+def recog_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Fingerprint XML files as rules: priority (file, then order in it), pattern, description, params."""
+    order = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"))
+    return xml_patterns(spark, path).where("pattern IS NOT NULL").withColumn("priority", order)
