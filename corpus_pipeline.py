@@ -18,31 +18,43 @@ from wirefold.llm.ngram_join import near_duplicates
 from wirefold.llm.token_binary import token_binary
 
 END_ID = 2
+#: Rows of an Arrow batch between Spark and Python.  Texts are long: Spark's
+#: 10,000 rows would hold tens of MB, several times over, in each task.
+BATCH_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the character models accept."""
+    _small_batches(spark)
     return predict(docs, train(docs)).where("NOT rejected").select(*docs.columns)
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
+    _small_batches(spark)
     return near_duplicates(docs).where("kept").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    _small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate(docs, benchmark).where("NOT contaminated").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn to the sources' target weights, a row for each copy."""
+    _small_batches(spark)
     return drawn(mix_sources(docs)).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in ascending doc_id order, read back document by document."""
+    _small_batches(spark)
     return token_binary(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
 
