@@ -8,7 +8,7 @@ import importlib.util
 from .base import ORACLE, QUERIES
 
 FLAGSHIP = "v05_verdict"
-_PARTS = ["inventory", "statistics", "lookups", "detection", "exposure", "topology", "feeds", "scalars", "lifecycle", "records", "exports", "streams", "banners"]
+_PARTS = ["inventory", "statistics", "lookups", "detection", "exposure", "topology", "feeds", "scalars", "lifecycle", "records", "exports", "streams", "banners", "frames"]
 
 for _name in _PARTS:
     if importlib.util.find_spec(f"{__package__}.{_name}"):

@@ -88,15 +88,19 @@ PAYLOADS: dict[str, list] = {
 }
 
 
-def made(t, kinds: list[str]):
-    """Packets dealt over ``kinds`` by their key, with ``fields`` decoded from built bytes."""
+def built(t, kinds: list[str]):
+    """Packets dealt over ``kinds`` by their key, with the bytes of a payload."""
     payload = F.lit(None).cast("string")
     protocol = pick(F.col("packet_id"), kinds)
     for kind in kinds:
         parts = ", ".join(p if re.search(r"[^0-9a-f]", p) else f"'{p}'" for p in PAYLOADS[kind])
         payload = F.when(protocol == kind, F.expr(f"concat({parts})")).otherwise(payload)
-    p = t.packets.select("packet_id", "hw_addr", "ip_addr", F.expr("k % 2 = 0").alias("is_server"), protocol.alias("protocol"), F.unhex(payload).alias("payload"))
-    return decoded(p).drop("payload")
+    return t.packets.select("packet_id", "us", "k", "user_id", "hw_addr", "ip_addr", F.expr("k % 2 = 0").alias("is_server"), protocol.alias("protocol"), F.unhex(payload).alias("payload"))
+
+
+def made(t, kinds: list[str]):
+    """``built`` packets with ``fields`` decoded from their bytes."""
+    return decoded(built(t, kinds).drop("us", "k", "user_id")).drop("payload")
 
 
 def rows(t, kinds: list[str]):

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FRAME = "file string, n long, us long, interface long, frame binary"
@@ -69,6 +71,34 @@ def write_pcap(frames: list[tuple[int, bytes]]) -> bytes:
     return b"".join(out)
 
 
+def write_captures(frames: DataFrame, folder: str) -> DataFrame:
+    """One capture file for each partition of (us, frame): file, frames.
+
+    Rows are written as they come; a repeated task replaces its file by the same one.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        system, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(at, recursive=True)
+        name, total = f"part-{TaskContext.get().partitionId():05d}.pcap", 0
+        part = f"{at}/.{name}-{uuid.uuid4().hex}"
+        with system.open_output_stream(part) as out:
+            out.write(write_pcap([]))
+            for batch in batches:
+                rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+                out.write(write_pcap(rows)[24:])
+                total += len(rows)
+        if total:
+            system.move(part, f"{at}/{name}")
+        else:
+            system.delete_file(part)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total])], ["file", "frames"])
+
+    return frames.select("us", "frame").mapInArrow(put, "file string, frames long")
+
+
 def sensor_frames(messages: DataFrame) -> DataFrame:
     """Length-prefixed frames of a sensor's messages (sensor, seq, body), in order.
 
@@ -129,3 +159,63 @@ def typed(frames: DataFrame) -> DataFrame:
         F.when(arp, _number(h, 20, 2)).cast("int").alias("op"), F.when(v4, _number(h, 22, 1)).cast("int").alias("ttl"),
         F.when(v4 & proto.isin(6, 17), _number(h, 36, 2)).cast("int").alias("port"), F.when(syn, _number(h, 48, 2)).cast("int").alias("window_size"),
     )
+
+
+# Ethertypes, and ports of protocols that have a payload decoder.
+ETHERTYPES = {0x88CC: "lldp", 0x888E: "eap", 0x88B8: "goose", 0x8892: "profinet"}
+UDP_PORTS = {
+    53: "dns", 5353: "mdns", 5355: "llmnr", 67: "dhcpv4", 68: "dhcpv4", 546: "dhcpv6", 547: "dhcpv6", 137: "netbios", 161: "snmp", 162: "snmp", 123: "ntp",
+    443: "quic", 47808: "bacnet", 5683: "coap", 3478: "stun", 1812: "radius", 1813: "radius",
+}
+TCP_PORTS = {443: "tls", 502: "modbus", 1883: "mqtt", 44818: "enip", 20000: "dnp3", 102: "s7comm", 4840: "opcua"}
+ICMPV6 = {133: "icmpv6_rs", 134: "icmpv6_ra", 135: "icmpv6_ns", 136: "icmpv6_na"}
+
+
+def _named(number: Column, names: dict[int, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for key, name in names.items():
+        out = F.when(number == key, name).otherwise(out)
+    return out
+
+
+def payloads(frames: DataFrame) -> DataFrame:
+    """Adds hw_addr, ip_addr, protocol (a record type) and payload, where a decoder fits.
+
+    Ethernet with or without one VLAN tag, IPv4 with options, IPv6 without
+    extension headers, UDP, TCP (the options of a SYN, else its data), link-layer
+    control frames.  Ports decide, the destination's before the source's.
+    Padding behind the packet is cut off.  Other and cut frames give nulls.
+    All native.
+    """
+    h = F.hex("frame")
+    number = lambda at, n: F.conv(h.substr(2 * at + 1, F.lit(2 * n)), 16, 10).cast("int")
+    cut = lambda at, end: h.substr((2 * at + 1).cast("int"), F.greatest(2 * (end - at), F.lit(0)).cast("int"))
+    size = F.length("frame")
+    base = F.when(number(F.lit(12), 2) == 0x8100, 18).otherwise(14)
+    kind = number(base - 2, 2)
+    v4, v6 = kind == 0x0800, kind == 0x86DD
+    inner = F.when(v4, base + number(base, 1).bitwiseAND(F.lit(15)) * 4).when(v6, base + 40)
+    end = F.least(size, F.when(v4, base + number(base + 2, 2)).when(v6, base + 40 + number(base + 4, 2)))
+    carried = F.when(v4, number(base + 9, 1)).when(v6, number(base + 6, 1))
+    udp, tcp, flags = carried == 17, carried == 6, number(inner + 13, 1)
+    syn = tcp & (flags.bitwiseAND(F.lit(0x12)) == 2)
+    opened = inner + F.floor(number(inner + 12, 1) / 16) * 4
+    by = lambda names: F.coalesce(_named(number(inner + 2, 2), names), _named(number(inner, 2), names))
+    spoken = by(TCP_PORTS)
+    spoken = F.when((spoken == "modbus") & (number(opened + 7, 1) == 90), "umas").otherwise(spoken)
+    snap = (kind <= 1500) & (cut(base, base + 6) == "AAAA0300000C")
+    protocol = (
+        F.when(kind.isin(*ETHERTYPES), _named(kind, ETHERTYPES)).when((kind <= 1500) & (cut(base, base + 3) == "424203"), "stp")
+        .when(snap, _named(number(base + 6, 2), {0x2000: "cdp", 0x2004: "dtp"})).when(syn, "tcp_options").when(tcp & (opened < end), spoken).when(udp, by(UDP_PORTS))
+        .when(v4 & (carried == 2), "igmp").when(v6 & (carried == 58), _named(number(inner, 1), ICMPV6))
+    )
+    start = (
+        F.when(kind == 0x888E, base + 4).when(kind.isin(*ETHERTYPES), base).when(protocol == "stp", base + 3).when(snap, base + 8).when(syn, inner + 20)
+        .when(tcp, opened).when(udp, inner + 8).otherwise(inner)
+    )
+    stop = F.when(syn, F.least(opened, end)).when(kind <= 1500, F.least(size, base + kind)).otherwise(F.coalesce(end, size))
+    found = F.when(protocol.isNotNull() & (start <= stop), F.unhex(cut(start, stop)))
+    byte = lambda at: number(at, 1).cast("string")
+    source = F.when(v4, F.concat_ws(".", *[byte(base + i) for i in (12, 13, 14, 15)])).when(v6, F.lower(F.regexp_replace(cut(base + 8, base + 24), "(....)(?!$)", "$1:")))
+    mac = F.lower(F.regexp_replace(h.substr(F.lit(13), F.lit(12)), "(..)(?!$)", "$1:"))
+    return frames.select("*", mac.alias("hw_addr"), source.alias("ip_addr"), F.when(found.isNotNull(), protocol).alias("protocol"), found.alias("payload"))
