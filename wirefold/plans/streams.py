@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import fusion
 from ..sources.bucketed import BucketedTable, merge_arp, merge_hosts
-from ..sources.shared import fresh
-from ..streaming import evidence
+from ..sources.shared import fresh, written
+from ..streaming import evidence, sensors
 from .base import query
+from .records import n
 
 _FIELDS = [*fusion.FIELDS, "certainty", "evidence"]
 
@@ -40,3 +42,21 @@ def _(t):
     for epoch in (0, 1, 1):
         table.upsert(rows.where(F.col("packet_id") % 2 == epoch), epoch)
     return table.read().drop("pairing")
+
+
+@query("s03_sensor_frames", """SELECT hw_addr AS sensor, row_number() OVER (PARTITION BY hw_addr ORDER BY packet_id) - 1 AS n, us, user_id % 2 AS interface,
+  repeat(printf('%02x', k), (k % 5 + 1)::INT) || printf('%08x', packet_id) AS frame FROM packets""")
+def _(t):
+    # Each frame is cut in two messages at a place of its own; the three parts split a sensor's messages by number.
+    w = Window.partitionBy("hw_addr")
+    p = t.packets.select("hw_addr", "us", "k", "user_id", "packet_id", (F.row_number().over(w.orderBy("packet_id")) - 1).cast("long").alias("i"), F.count("*").over(w).alias("all"))
+    body = f"concat(repeat({n('k')}, k % 5 + 1), {n('packet_id', 4)})"
+    text = F.expr(f"concat({n(f'length({body}) / 2', 4)}, {n('us * 1000', 8)}, {n('user_id % 2', 4)}, {body})")
+    at = 2 * (1 + F.col("k") % 15)
+    halves = F.array(F.struct((F.col("i") * 2).alias("seq"), F.unhex(text.substr(F.lit(1), at)).alias("body")), F.struct((F.col("i") * 2 + 1).alias("seq"), F.unhex(text.substr(at + 1, F.length(text))).alias("body")))
+    rows = p.select(F.col("hw_addr").alias("sensor"), F.floor(F.col("i") * 3 / F.col("all")).alias("part"), F.explode(halves).alias("m")).select("sensor", "part", "m.*")
+    rows = written(rows, "messages-made")
+    # The second message of every part comes in the part before: early, and once more in its own.
+    parts = [rows.where(F.col("part") == i).unionByName(rows.where((F.col("part") == i + 1) & (F.col("seq") % 50 == 1)).limit(20)) for i in range(3)]
+    found = sensors.replayed_frames(parts).where("broken IS NULL")
+    return found.select("sensor", "n", "us", "interface", F.lower(F.hex("frame")).alias("frame"))
