@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..operators import fusion
 from ..sources.bucketed import BucketedTable, merge_arp, merge_hosts
 from ..sources.shared import fresh, written
-from ..streaming import evidence, sensors
-from .base import query
+from ..streaming import affinity, evidence, sensors
+from ..streaming.stateful import replayed
+from . import oracle
+from .base import DAY, query
 from .records import n
 
+OWN_DOMAINS = [("icloud.com", "Apple"), ("time.apple.com", "Apple"), ("update.microsoft.com", "Microsoft"), ("clients.google.com", "Google"), ("api.amazon.com", "Amazon")]
 _FIELDS = [*fusion.FIELDS, "certainty", "evidence"]
 
 
@@ -60,3 +63,34 @@ def _(t):
     parts = [rows.where(F.col("part") == i).unionByName(rows.where((F.col("part") == i + 1) & (F.col("seq") % 50 == 1)).limit(20)) for i in range(3)]
     found = sensors.replayed_frames(parts).where("broken IS NULL")
     return found.select("sensor", "n", "us", "interface", F.lower(F.hex("frame")).alias("frame"))
+
+
+_LIMITS = affinity.Limits(least=6, learn=2 * DAY, young=4 * DAY, hold=DAY, early=0.60, stable=0.50, top=0.40, forget=5000 * DAY)
+_VENDORS = sorted({v for _, v in OWN_DOMAINS})
+#: Running counts of each vendor, baseline at the first row that may lock it, streaks of displaced rows.
+_DRIFT = f"""WITH d AS (SELECT hw_addr, us, packet_id, vendor FROM packets JOIN {oracle.values(OWN_DOMAINS, "o(name, vendor)")} ON name = query_name WHERE protocol = 'dns'),
+  c AS (SELECT d.hw_addr, d.us, d.packet_id, v.v, count(*) FILTER (d.vendor = v.v) OVER w AS n, min(CASE WHEN d.vendor = v.v THEN struct_pack(us := d.us, id := d.packet_id) END) OVER w AS seen,
+      count(*) OVER w AS total, d.us - min(d.us) OVER w AS age FROM d CROSS JOIN (SELECT unnest([{", ".join(map(oracle.literal, _VENDORS))}]) AS v) v
+      WINDOW w AS (PARTITION BY d.hw_addr, v.v ORDER BY d.us, d.packet_id ROWS UNBOUNDED PRECEDING)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY hw_addr, us, packet_id ORDER BY n DESC, seen.us, seen.id) AS place FROM c WHERE n > 0),
+  t AS (SELECT hw_addr, us, packet_id, total, age, v AS top, n AS top_n FROM r WHERE place = 1),
+  b AS (SELECT hw_addr, arg_min(top, (us, packet_id)) AS baseline, min((us, packet_id)) AS locked FROM t WHERE total >= {_LIMITS.least} AND age >= {_LIMITS.learn} GROUP BY hw_addr),
+  j AS (SELECT t.*, b.baseline, r.n AS base_n, t.top <> b.baseline AND round(1 - r.n / t.total::DOUBLE, 12) >= CASE WHEN t.age < {_LIMITS.young} THEN 0.6 ELSE 0.5 END AND t.top_n / t.total::DOUBLE >= 0.4 AS out
+      FROM t JOIN b ON b.hw_addr = t.hw_addr AND (t.us, t.packet_id) > b.locked JOIN r ON r.hw_addr = t.hw_addr AND r.us = t.us AND r.packet_id = t.packet_id AND r.v = b.baseline),
+  g AS (SELECT *, count(*) FILTER (NOT out) OVER (PARTITION BY hw_addr ORDER BY us, packet_id) AS streak, lead(us) OVER (PARTITION BY hw_addr ORDER BY us, packet_id) AS next FROM j),
+  s AS (SELECT hw_addr, streak, min(us) FILTER (age < {_LIMITS.young}) AS young, min(us) FILTER (age >= {_LIMITS.young}) + {_LIMITS.hold} AS due, max(next) AS last, bool_or(next IS NULL) AS open FROM g WHERE out GROUP BY ALL),
+  f AS (SELECT hw_addr, streak, coalesce(young, due) AS at, young IS NOT NULL AS quick FROM s WHERE young IS NOT NULL OR open OR last >= due)
+  SELECT f.hw_addr, f.at AS us, any_value(g.baseline) AS from_vendor, round(arg_max(g.base_n, (g.us, g.packet_id)) * 100.0::DOUBLE / max(g.total), 1) AS from_pct,
+    arg_max(g.top, (g.us, g.packet_id)) AS to_vendor, round(arg_max(g.top_n, (g.us, g.packet_id)) * 100.0::DOUBLE / max(g.total), 1) AS to_pct
+  FROM f JOIN g ON g.hw_addr = f.hw_addr AND g.streak = f.streak AND g.out AND (g.us < f.at OR quick AND g.us = f.at) GROUP BY f.hw_addr, f.at"""
+
+
+@query("t03_dns_affinity_stream", _DRIFT)
+def _(t):
+    own = F.broadcast(t.spark.createDataFrame(OWN_DOMAINS, "query_name string, vendor string"))
+    rows = written(t.packets.where("protocol = 'dns'").join(own, "query_name").select("hw_addr", "us", F.col("packet_id").alias("id"), "vendor"), "dns")
+    # Two parts in time, mixed by up to the lateness, then a row far ahead that ends the time of all others.
+    low, high = rows.agg(F.min("us"), F.max("us")).first()
+    late = F.col("us") < (low + high) // 2 + (F.col("id") % 5) * DAY
+    end = t.spark.createDataFrame([("end", high + 400 * DAY, 0, "end")], "hw_addr string, us long, id long, vendor string")
+    return replayed([rows.where(late), rows.where(~late), end], lambda s: affinity.drift(s, _LIMITS, "8 days")).where("hw_addr <> 'end'")

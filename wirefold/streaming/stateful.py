@@ -8,13 +8,15 @@ processors need the RocksDB state store (``state_conf``).
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.shared import fresh
+
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -35,6 +37,20 @@ def state_store(spark) -> Iterator[None]:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
+def replayed(parts: list[DataFrame], work: Callable[[DataFrame], DataFrame], files: int = 1) -> DataFrame:
+    """What a stream over ``parts`` has appended at its end; each part is a micro-batch of ``files`` files."""
+    spark = parts[0].sparkSession
+    folder, out = fresh(spark, "parts"), fresh(spark, "appended")
+    for part in parts:
+        # Rows are dealt by a number, so that no file is left out for want of rows.
+        part.withColumn("_file", F.monotonically_increasing_id() % files).repartition(files, "_file").drop("_file").write.mode("append").parquet(folder)
+    with state_store(spark):
+        done = work(spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(folder))
+        query = done.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(done.schema).parquet(out)
+
+
 def timed(packets: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """Adds ``ts`` and the watermark."""
     return packets.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", lateness)
