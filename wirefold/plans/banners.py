@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import lookups
 from ..operators.banners import FIELDS, MATCHERS, identified
 from ..sources import feeds
+from ..sources.json_array import read_array
 from ..sources.shared import fresh
 from .base import query
 from .records import hexed, n, zeros
@@ -120,3 +121,14 @@ def _(t):
     rows = t.raw("lineitem").select("l_orderkey", "l_linenumber", banner.alias("banner"))
     out = lookups.fingerprint_join(rows, "banner", feeds.recog_rules(t.spark, folder))
     return out.select("l_orderkey", "l_linenumber", F.col("description").isNotNull().alias("known"), "description", F.col("stated")["vendor"].alias("vendor"), F.col("stated")["version"].alias("version"))
+
+
+@query("s14_json_array", "SELECT o_orderkey AS id, o_orderpriority || '\"[' || (o_custkey % 7) || ',]\\' AS name, [o_custkey, o_orderkey % 5] AS tags FROM orders")
+def _(t):
+    # Files of an array each; the names hold quotes, brackets, commas and backslashes.
+    name = F.concat("o_orderpriority", F.lit('"['), (F.col("o_custkey") % 7).cast("string"), F.lit(",]\\"))
+    row = F.struct(F.col("o_orderkey").alias("id"), name.alias("name"), F.array("o_custkey", F.col("o_orderkey") % 5).alias("tags"))
+    files = t.raw("orders").groupBy(F.floor(F.col("o_orderkey") / 4000).alias("file")).agg(F.to_json(F.collect_list(row)).alias("value"))
+    folder = fresh(t.spark, "arrays")
+    files.repartition("file").write.partitionBy("file").text(folder)
+    return read_array(t.spark, folder, "id long, name string, tags array<long>", split=1 << 15)
