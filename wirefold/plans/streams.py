@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import fusion
 from ..sources.bucketed import BucketedTable, merge_arp, merge_hosts
 from ..sources.shared import fresh, written
-from ..streaming import affinity, evidence, sensors
+from ..streaming import affinity, connections, evidence, sensors
 from ..streaming.stateful import replayed
 from . import oracle
-from .base import DAY, query
+from .base import DAY, HOUR, query
 from .records import n
 
 OWN_DOMAINS = [("icloud.com", "Apple"), ("time.apple.com", "Apple"), ("update.microsoft.com", "Microsoft"), ("clients.google.com", "Google"), ("api.amazon.com", "Amazon")]
@@ -94,3 +94,34 @@ def _(t):
     late = F.col("us") < (low + high) // 2 + (F.col("id") % 5) * DAY
     end = t.spark.createDataFrame([("end", high + 400 * DAY, 0, "end")], "hw_addr string, us long, id long, vendor string")
     return replayed([rows.where(late), rows.where(~late), end], lambda s: affinity.drift(s, _LIMITS, "8 days")).where("hw_addr <> 'end'")
+
+
+def _in_two_parts(rows, time: str, number, end: DataFrame) -> list[DataFrame]:
+    """Two parts in time, mixed by up to four days, then a row far ahead that ends the time of all others."""
+    low, high = rows.agg(F.min(time), F.max(time)).first()
+    late = F.col(time) < (low + high) // 2 + (number % 5) * DAY
+    return [rows.where(late).drop("_n"), rows.where(~late).drop("_n"), end.withColumn(time, F.lit(high + 400 * DAY)).select(*rows.drop("_n").columns)]
+
+
+@query("t04_connection_stream", f"""SELECT hw_addr AS server, ip_addr AS client, port AS server_port, min(us) AS first_us, max(us) AS last_us, CASE WHEN bool_or(banner LIKE 'SSH%') THEN 'banner_captured' ELSE 'syn_seen' END AS state,
+    (sum(CASE WHEN banner LIKE 'SSH%' THEN 0 ELSE k END))::BIGINT AS bytes, 'expired' AS ended, max(us) + {2 * DAY} AS us FROM (
+  SELECT *, sum(CASE WHEN before IS NULL OR us - before > {2 * DAY} THEN 1 ELSE 0 END) OVER (PARTITION BY hw_addr, ip_addr, port ORDER BY us, packet_id) AS s FROM (
+    SELECT *, lag(us) OVER (PARTITION BY hw_addr, ip_addr, port ORDER BY us, packet_id) AS before FROM packets WHERE protocol = 'tcp_syn')) GROUP BY hw_addr, ip_addr, port, s""")
+def _(t):
+    # Each packet opens its connection, unless it is open, and then speaks.
+    ssh = F.col("banner").startswith("SSH")
+    events = F.array(F.struct(F.lit(0).alias("event"), F.lit(0).cast("long").alias("bytes")), F.struct(F.when(ssh, 2).otherwise(1).alias("event"), F.when(ssh, 0).otherwise(F.col("k")).cast("long").alias("bytes")))
+    rows = t.packets.where("protocol = 'tcp_syn'").select(F.col("hw_addr").alias("server"), "us", F.explode(events).alias("e"), F.col("ip_addr").alias("client"), F.lit(1).alias("client_port"), F.col("port").alias("server_port"), F.col("packet_id").alias("_n"))
+    rows = written(rows.select("server", "us", "e.event", "client", "client_port", "server_port", "e.bytes", "_n"), "events")
+    end = rows.limit(1).withColumn("server", F.lit("end"))
+    out = replayed(_in_two_parts(rows, "us", F.col("_n"), end), lambda s: connections.connections(s, 2 * DAY, 10_000, "8 days"))
+    return out.where("server <> 'end'").drop("client_port")
+
+
+@query("t08_sensor_sessions", f"""WITH b AS (SELECT hw_addr AS sensor, us, lag(us) OVER w AS before, lead(us) OVER w AS next FROM packets WINDOW w AS (PARTITION BY hw_addr ORDER BY us, packet_id))
+  SELECT sensor, us, 'sensor_connect' AS event FROM b WHERE before IS NULL OR us > before + {8 * HOUR} UNION ALL SELECT sensor, us + {8 * HOUR}, 'sensor_disconnect' FROM b WHERE next IS NULL OR next > us + {8 * HOUR}""")
+def _(t):
+    rows = written(t.packets.select(F.col("hw_addr").alias("sensor"), "us", F.col("packet_id").alias("_n")), "beats")
+    end = rows.limit(1).withColumn("sensor", F.lit("end"))
+    out = replayed(_in_two_parts(rows, "us", F.col("_n"), end), lambda s: connections.sensor_events(s, 8 * HOUR, "8 days"))
+    return out.where("sensor <> 'end'")

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators import fusion
 from ..sources.bucketed import BucketedTable
 from ..sources.shared import fresh
-from .stateful import state_store
+from .stateful import plain_rows, state_store
 
 _ROW = "id long, source string, certainty double, vendor string, category string, platform string, hostname string, model string, us long"
 _NAMES = [c.split()[0] for c in _ROW.split(", ")]
@@ -54,8 +54,7 @@ class EvidenceState(StatefulProcessor):
         held = [tuple(r) for r in self.evidence.get()] if self.evidence.exists() else []
         number, newest = self.seen.get() if self.seen.exists() else (0, None)
         for part in rows:
-            part = part[_NAMES].astype(object)
-            new = list(part.where(part.notna(), None).itertuples(index=False, name=None))
+            new = plain_rows(part[_NAMES], _ROW)
             number += len(new)
             times = [r[8] for r in new if r[8] is not None]
             newest = max(times + ([newest] if newest is not None else []), default=None)

@@ -37,6 +37,14 @@ def state_store(spark) -> Iterator[None]:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
+def plain_rows(part: pd.DataFrame, kinds: str) -> list[tuple]:
+    """Rows of plain values in the order of a DDL string: null is None, and
+    whole numbers are int, also where nulls have made their column one of floats."""
+    whole = {c.split()[0] for c in kinds.split(", ") if c.split()[1] in ("int", "long")}
+    columns = [[None if pd.isna(x) else int(x) if name in whole else x for x in part[name].tolist()] for name in (c.split()[0] for c in kinds.split(", "))]
+    return list(zip(*columns))
+
+
 def replayed(parts: list[DataFrame], work: Callable[[DataFrame], DataFrame], files: int = 1) -> DataFrame:
     """What a stream over ``parts`` has appended at its end; each part is a micro-batch of ``files`` files."""
     spark = parts[0].sparkSession
