@@ -64,6 +64,8 @@ CHAINS = [
 WINDOWS = ["NR-002", "SE-003", "SE-018", "SE-019", "SE-032"]
 ICS = ["SE-009", "SE-010", "SE-011", "SE-012", "SE-013", "SE-014", "SE-015", "SE-016", "SE-017", "SE-024"]
 ACTIONABLE = ["medium", "high", "critical"]
+# Fixed value: newest observations of a device and source that are looked at.
+SCANNED = 5_000
 
 
 def passive(observations: DataFrame, rules: list) -> DataFrame:

@@ -30,7 +30,7 @@ VIEWS = {
     "x_passive": " UNION ALL ".join(
         f"SELECT '{r}' AS rule, '{s}' AS severity, count(DISTINCT hw_addr) AS devices, count(DISTINCT val) AS \"distinct\" FROM observations WHERE {p} HAVING count(DISTINCT hw_addr) >= {d} AND count(DISTINCT val) >= {v}" for r, s, p, d, v in PASSIVE
     ),
-    "x_probes": f"SELECT DISTINCT hw_addr, {oracle.pick('k', _PROBED)} AS service FROM packets WHERE k < 60",
+    "x_probes": f"SELECT DISTINCT hw_addr, {oracle.pick('k', _PROBED)} AS service FROM packets",
     "x_services": f"SELECT rule, severity, count(DISTINCT hw_addr) AS devices FROM x_probes JOIN {oracle.values([(r, n, s) for r, names, s in X.SERVICES for n in names], 's(rule, name, severity)')} ON name = service GROUP BY ALL",
     "x_all": "SELECT rule, severity FROM x_passive UNION ALL SELECT rule, severity FROM x_services",
 }
@@ -42,18 +42,18 @@ def observations(t):
 
 
 def probes(t):
-    return t.packets.where("k < 60").select("hw_addr", pick(F.col("k"), _PROBED).alias("service")).distinct()
+    return t.packets.select("hw_addr", pick(F.col("k"), _PROBED).alias("service")).distinct()
 
 
 def everything(t):
     return X.passive(observations(t), PASSIVE).select("rule", "severity").unionByName(X.services(probes(t)).select("rule", "severity"))
 
 
-@query("x00_context", "SELECT hw_addr, source, packet_id FROM (SELECT *, row_number() OVER (PARTITION BY hw_addr, source ORDER BY us DESC, packet_id DESC) AS n FROM observations WHERE source IS NOT NULL) WHERE n <= 2", VIEWS)
+@query("x00_context", "SELECT hw_addr, source, packet_id FROM (SELECT *, row_number() OVER (PARTITION BY hw_addr, source ORDER BY us DESC, packet_id DESC) AS n FROM observations WHERE source IS NOT NULL) WHERE n <= 5000", VIEWS)
 def _(t):
     from ..operators.inventory import latest
 
-    return latest(observations(t).where("source IS NOT NULL"), ["hw_addr", "source"], [F.col("us").desc(), F.col("packet_id").desc()], 2).select("hw_addr", "source", "packet_id")
+    return latest(observations(t).where("source IS NOT NULL"), ["hw_addr", "source"], [F.col("us").desc(), F.col("packet_id").desc()], X.SCANNED).select("hw_addr", "source", "packet_id")
 
 
 @query("x01_to_x08_passive_rules", 'SELECT rule, severity, devices, "distinct" FROM x_passive', VIEWS)
@@ -78,9 +78,9 @@ def _(t):
     return observations(t).where("source = 'icmpv6_ra'").agg(F.when(n > 1, "high").otherwise("medium").alias("severity"), n.alias("senders"))
 
 
-@query("x07_unknown_targets", "SELECT DISTINCT target_ip FROM packets WHERE protocol = 'arp' AND target_ip NOT IN (SELECT ip_addr FROM packets WHERE k % 7 = 0)")
+@query("x07_unknown_targets", "SELECT DISTINCT target_ip FROM packets WHERE protocol = 'arp' AND target_ip NOT IN (SELECT ip_addr FROM hosts)")
 def _(t):
-    known = t.packets.where("k % 7 = 0").select(F.col("ip_addr").alias("target_ip"))
+    known = t.hosts.select(F.col("ip_addr").alias("target_ip"))
     return t.packets.where("protocol = 'arp'").select("target_ip").distinct().join(known, "target_ip", "left_anti")
 
 

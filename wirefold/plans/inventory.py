@@ -233,14 +233,14 @@ def _(t):
     return inventory.page(listing(t), inventory.ordered(None, "certainty"), 1, 25).select("hw_addr", "certainty")
 
 
-@query("o02_ip_sort", f"SELECT hw_addr, ip_addr, {_IPKEY} AS key FROM hosts ORDER BY key, hw_addr LIMIT 40")
+@query("o02_ip_sort", f"SELECT hw_addr, ip_addr, {_IPKEY} AS key FROM hosts ORDER BY key, hw_addr")
 def _(t):
-    return t.hosts.select("hw_addr", "ip_addr", ip.to_number(F.col("ip_addr")).alias("key")).orderBy("key", "hw_addr").limit(40)
+    return t.hosts.select("hw_addr", "ip_addr", ip.to_number(F.col("ip_addr")).alias("key")).orderBy("key", "hw_addr")
 
 
-@query("o03_criticality_rank", f"SELECT mac, {_RANK} AS rank FROM devices ORDER BY rank DESC, mac LIMIT 100")
+@query("o03_criticality_rank", f"SELECT mac, {_RANK} AS rank FROM devices ORDER BY rank DESC, mac")
 def _(t):
-    return t.devices.select("mac", inventory.criticality_rank(F.col("criticality")).alias("rank")).orderBy(F.col("rank").desc(), "mac").limit(100)
+    return t.devices.select("mac", inventory.criticality_rank(F.col("criticality")).alias("rank")).orderBy(F.col("rank").desc(), "mac")
 
 
 @query("o04_offset_page", "SELECT hw_addr, last_us FROM device_list ORDER BY last_us DESC NULLS LAST, hw_addr LIMIT 20 OFFSET 40", VIEWS)

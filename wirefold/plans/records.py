@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from ..operators import field_evidence
 from ..operators import records as R
 from ..sources.adapters import pick
 from ..sources.decoders import decoded
@@ -235,3 +236,48 @@ def _(t):
   FROM packets WHERE packet_id % 2 = 1 OR k % 6 IN (1, 4)""")
 def _(t):
     return R.gateways_learned(made(t, ["dhcpv4", "icmpv6_ra"]))
+
+
+_EVIDENT = ["dhcpv4", "dhcpv6", "icmpv6_ra", "igmp", "eap", "tls", "stun", "quic", "radius", "dns", "netbios", "http_useragent", "tcp_syn", "arp", "upnp", "ssdp"]
+#: Record type: (condition, source, method, certainty, category, vendor, platform, hostname) in SQL.
+_STATES = {
+    "dhcpv4": [("opt60 IS NOT NULL", "dhcpv4_vendor", "pattern", 0.8), ("true", "dhcpv4_fingerprint", "pattern", 0.7)],
+    "dhcpv6": [("true", "dhcpv6_vendor", "pattern", 0.8), ("true", "dhcpv6_oro", "pattern", 0.65), ("true", "dhcpv6", "exact", 0.7), ("true", "dhcpv6", "exact", 0.65)],
+    "icmpv6_ra": [("true", "icmpv6_ra", "heuristic", 0.5, "'router'")], "igmp": [("true", "igmp", "heuristic", 0.4)], "eap": [("true", "eap", "exact", 0.6)],
+    "tls": [("true", "tls_ja3", "pattern", 0.75), ("true", "tls_ja4", "pattern", 0.75), ("true", "tls_sni", "exact", 0.7)], "stun": [("true", "stun", "heuristic", 0.5)],
+    "quic": [("true", "quic_sni", "exact", 0.65)], "radius": [("true", "radius", "exact", 0.7)], "dns": [("true", "dns_query", "pattern", 0.4)],
+    "netbios": [("true", "netbios", "exact", 0.7, "NULL", "NULL", "NULL", "'HOST-' || k")],
+    "http_useragent": [("true", "http_useragent", "pattern", 0.8, "NULL", "list_extract(['Microsoft', 'Apple', 'Samsung', NULL, 'Apple', NULL], (k % 6 + 1)::INT)", "list_extract(['Windows', 'macOS', 'Android', NULL, 'macOS', 'Linux'], (k % 6 + 1)::INT)"), ("k % 2 = 0", "http_host", "pattern", 0.4)],
+    "tcp_syn": [("k % 3 > 0", "tcp_syn_sig", "pattern", 0.4)], "arp": [("true", "arp", "heuristic", 0.3)], "upnp": [("true", "upnp", "pattern", 0.6)], "ssdp": [("k % 4 > 0", "ssdp_server", "pattern", 0.65)],
+}
+
+
+def _states_sql() -> str:
+    parts = []
+    for i, kind in enumerate(_EVIDENT):
+        for when, source, method, sure, *more in _STATES[kind]:
+            category, vendor, platform, hostname = (more + ["NULL"] * 4)[:4]
+            parts.append(f"SELECT packet_id, hw_addr, '{source}' AS source, '{method}' AS method, {sure}::DOUBLE AS certainty, {category}::VARCHAR AS category, {vendor}::VARCHAR AS vendor, {platform}::VARCHAR AS platform, {hostname}::VARCHAR AS hostname FROM packets WHERE packet_id % {len(_EVIDENT)} = {i} AND {when}")
+    return " UNION ALL ".join(parts)
+
+
+@query("e01_e02_e03_field_evidence", _states_sql())
+def _(t):
+    # Records with bytes are decoded; the others state their fields.
+    stated = {
+        "http_useragent": {"user_agent": "user_agent", "host": "if(k % 2 = 0, query_name, '')"}, "tcp_syn": {"window_size": "if(k % 3 > 0, cast(k AS string), null)"},
+        "arp": {"op": "cast(op AS string)"}, "upnp": {"path": "'/'"}, "ssdp": {"server": "if(k % 4 > 0, banner, null)"},
+    }
+    kinds = [k for k in _EVIDENT if k not in stated]
+    number = F.col("packet_id") % len(_EVIDENT)
+    payload = protocol = None
+    for i, kind in enumerate(kinds):
+        parts = ", ".join(p if re.search(r"[^0-9a-f]", p) else f"'{p}'" for p in PAYLOADS[kind])
+        payload, protocol = (F.when(number == i, F.expr(f"concat({parts})")), F.when(number == i, kind)) if payload is None else (payload.when(number == i, F.expr(f"concat({parts})")), protocol.when(number == i, kind))
+    bytes_ = decoded(t.packets.where(number < len(kinds)).select("packet_id", "hw_addr", protocol.alias("protocol"), F.unhex(payload).alias("payload"))).drop("payload")
+    fields = protocol = None
+    for i, (kind, some) in enumerate(stated.items(), len(kinds)):
+        made_ = F.create_map(*[x for name, value in some.items() for x in (F.lit(name), F.expr(value).cast("string"))])
+        fields, protocol = (F.when(number == i, made_), F.when(number == i, kind)) if fields is None else (fields.when(number == i, made_), protocol.when(number == i, kind))
+    plain = t.packets.where(number >= len(kinds)).select("packet_id", "hw_addr", protocol.alias("protocol"), fields.alias("fields"))
+    return field_evidence.evidence(bytes_.unionByName(plain))
