@@ -2,7 +2,7 @@
 
 Documents stay in order.  A partition's documents form one stream of token ids
 (each document's ids, then its end id); windows cut it at document ends, at
-sentence ends, or, where nothing else serves, inside a sentence.  The cost of a
+sentence ends, or, for more, at places inside long sentences.  The cost of a
 window (i, j] is its padding, ``width - (j - i)``, or none if its length is a
 power of two, plus the truncation penalty of the cut at j and a small cost per
 window.  With f(j) the least cost up to cut j,
@@ -39,7 +39,9 @@ from .textvec import sliced
 from .token_binary import _INNER, _TAIL, Encoder, _Odd, encoder_of
 
 #: Penalties of cuts, in tokens of padding.
-DOCUMENT, SENTENCE, INSIDE, WINDOW = 0, 4, 64, 1
+DOCUMENT, SENTENCE, INSIDE, WINDOW = 0, 4, 12, 1
+#: Sentences of more tokens than LONG may also be cut every SPACING tokens.
+LONG, SPACING = 96, 61
 #: Tokens gathered before windows are chosen, and tokens after which they are
 #: settled even where cuts don't agree.
 STEP, HORIZON = 1 << 16, 1 << 20
@@ -273,13 +275,13 @@ class Windows:
         return out
 
 
-def cuts_of(start: int, ends: list[int], width: int) -> tuple[list[int], list[int]]:
+def cuts_of(start: int, ends: list[int]) -> tuple[list[int], list[int]]:
     """Cut positions and penalties of one document whose sentences end at ``ends``."""
     cuts, penalties, last = [], [], start
     for end in ends:
         end += start
-        if end - last > width:
-            inside = range(last + width, end, width)
+        if end - last > LONG:
+            inside = range(last + SPACING, end, SPACING)
             cuts += inside
             penalties += [INSIDE] * len(inside)
         if end > last:
@@ -330,7 +332,7 @@ def packed(documents: Iterator[tuple[object, bytes, list[int]]], dtype: np.dtype
             windows.add(cuts, penalties)
             cuts, penalties, gathered = [], [], total
             yield from pieces(windows.settled())
-        more = cuts_of(total, ends, width)
+        more = cuts_of(total, ends)
         cuts += more[0]
         penalties += more[1]
         held.append((key, total, len(wide), wide))
@@ -354,6 +356,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 2048, p
     alike; texts of any length are taken whole; other columns are ignored; an
     empty table gives no rows.
     """
+    if width < LONG + SPACING:
+        raise ValueError(f"width must be at least {LONG + SPACING}")
     spark = docs.sparkSession
     number = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
