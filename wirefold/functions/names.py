@@ -26,7 +26,10 @@ GENERATED = [
 ]
 
 # Hostname keywords and the vendors they belong to.
-HOSTNAME_VENDORS = [("iphone", "apple"), ("ipad", "apple"), ("macbook", "apple"), ("galaxy", "samsung"), ("pixel", "google"), ("xbox", "microsoft"), ("echo", "amazon"), ("bravia", "sony")]
+HOSTNAME_VENDORS = {
+    "lutron": ["Lutron"], "hue": ["Philips", "Signify"], "sonos": ["Sonos"], "roku": ["Roku"], "nest": ["Google"], "echo": ["Amazon"], "alexa": ["Amazon"], "homepod": ["Apple"],
+    "chromecast": ["Google"], "firestick": ["Amazon"], "ring": ["Amazon", "Ring"], "roborock": ["Roborock"], "roomba": ["iRobot"], "ecobee": ["ecobee"], "dyson": ["Dyson"],
+}
 
 
 def valid_hostname(name: Column) -> Column:
@@ -46,11 +49,14 @@ def clean_hostname(name: Column) -> Column:
 
 
 def coherent(hostname: Column, vendor: Column) -> Column:
-    """False if a keyword of the hostname belongs to another vendor."""
+    """False if a keyword of the hostname belongs to other vendors; null and empty ones are coherent."""
     out = F.lit(True)
-    for word, owner in HOSTNAME_VENDORS:
-        out = out & ~(F.lower(hostname).contains(word) & ~F.lower(vendor).contains(owner))
-    return F.coalesce(out, F.lit(True))
+    for word, owners in HOSTNAME_VENDORS.items():
+        owned = F.lit(False)
+        for owner in owners:
+            owned = owned | same_vendor(vendor, F.lit(owner))
+        out = out & (~F.lower(hostname).contains(word) | owned)
+    return F.coalesce(out | (hostname == "") | (vendor == ""), F.lit(True))
 
 
 def same_vendor(a: Column, b: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ip, mac, names, tls
 from ..operators import detect
+from ..sources.adapters import pick
 from . import oracle
 from .base import query
 
@@ -81,11 +82,18 @@ def _(t):
     return t.packets.select("hostname", names.clean_hostname(F.col("hostname")).alias("clean")).distinct()
 
 
-@query("f23_hostname_coherence", "SELECT DISTINCT p.hostname, e.vendor, coalesce(NOT ((contains(lower(p.hostname), 'iphone') AND NOT contains(lower(e.vendor), 'apple')) OR (contains(lower(p.hostname), 'galaxy') AND NOT contains(lower(e.vendor), 'samsung'))), true) AS coherent FROM (SELECT DISTINCT hostname FROM packets) p, (SELECT DISTINCT vendor FROM evidence) e")
+#: Each keyword once, the vendors that own it, and one that owns none; written out for the SQL.
+_KEYWORDS = [("lutron", "Lutron"), ("hue", "Philips"), ("hue", "Signify"), ("sonos", "Sonos"), ("roku", "Roku"), ("nest", "Google"), ("echo", "Amazon"), ("alexa", "Amazon"), ("homepod", "Apple"),
+             ("chromecast", "Google"), ("firestick", "Amazon"), ("ring", "Amazon"), ("ring", "Ring"), ("roborock", "Roborock"), ("roomba", "iRobot"), ("ecobee", "ecobee"), ("dyson", "Dyson")]
+_HOSTS = ["Living-Hue", "sonos-kitchen", "alice-pc", "Echo-Dot", "nest-cam", "spring", "HomePod", "roomba-7", "", None]
+
+
+@query("f23_hostname_coherence", f"""WITH p AS (SELECT DISTINCT {oracle.pick("k", _HOSTS)} AS hostname, {oracle.pick("user_id", ["Philips Lighting", "Sonos", "Apple", "Amazon", "Google", "Ring", "irobot", "", None])} AS vendor FROM packets)
+  SELECT hostname, vendor, coalesce(hostname = '' OR vendor = '', false) OR coalesce(NOT EXISTS (SELECT w FROM {oracle.values(_KEYWORDS, "o(w, v)")} WHERE contains(lower(hostname), w) GROUP BY w
+    HAVING NOT bool_or(contains(lower(vendor), lower(v)) OR contains(lower(v), lower(vendor)))), true) AS coherent FROM p""")
 def _(t):
-    # Every hostname style with every vendor: two lists of fixed length.
-    h, v = t.packets.select("hostname").distinct(), t.evidence.select("vendor").distinct()
-    return h.join(F.broadcast(v), F.lit(True)).select("hostname", "vendor", names.coherent(F.col("hostname"), F.col("vendor")).alias("coherent"))
+    host, vendor = pick(F.col("k"), _HOSTS), pick(F.col("user_id"), ["Philips Lighting", "Sonos", "Apple", "Amazon", "Google", "Ring", "irobot", "", None])
+    return t.packets.select(host.alias("hostname"), vendor.alias("vendor")).distinct().select("hostname", "vendor", names.coherent(F.col("hostname"), F.col("vendor")).alias("coherent"))
 
 
 @query("f24_fuzzy_vendor", "SELECT id, contains(lower(vendor), lower(coalesce(before, ''))) AS same FROM (SELECT *, CASE WHEN id % 2 = 0 THEN upper(substr(vendor, 1, 3)) ELSE 'zz' END AS before FROM evidence)")
