@@ -264,13 +264,11 @@ def _(t):
     return g.orderBy(rank, F.col("n").desc(), "hw_addr", "rule").limit(50)
 
 
-_FEEDS = [("oui", "single", 1), ("ja3", "single", 2), ("huginn", "multi", 3), ("iana", "single", 4), ("satori", "multi", 5)]
-
-
-@query("o07_small_first", f"SELECT name, row_number() OVER (ORDER BY kind <> 'single', position) AS place FROM {oracle.values(_FEEDS, 'f(name, kind, position)')}")
+@query("o07_small_first", "SELECT source, n, row_number() OVER (ORDER BY vendors > 1, n, source) AS place FROM (SELECT source, count(*) AS n, count(DISTINCT vendor) AS vendors FROM evidence GROUP BY source)")
 def _(t):
-    f = t.spark.createDataFrame(_FEEDS, "name string, kind string, position int")
-    return f.select("name", F.row_number().over(Window.orderBy(F.col("kind") != "single", "position")).alias("place"))
+    # One row a source: those of a single vendor first, then the smaller ones.
+    f = t.evidence.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("vendor").alias("vendors"))
+    return f.select("source", "n", F.row_number().over(Window.orderBy(F.col("vendors") > 1, "n", "source")).alias("place"))
 
 
 _PLUGINS = [("http", 1, 80), ("ssh", 2, 22), ("tls", 3, 443), ("dns", 4, 53), ("generic", 5, 0)]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ip, mac, names, tls
-from ..operators import detect
-from ..sources.adapters import pick
+from ..operators import detect, lifecycle
+from ..sources.adapters import micros, pick
 from . import oracle
 from .base import query
 
@@ -187,9 +187,16 @@ def _(t):
     return t.packets.select("k", names.redacted(raw).alias("line")).distinct()
 
 
-@query("f39_backoff", "SELECT i::INT AS attempt, least(3600, 60 * (2 ** i))::INT AS seconds FROM range(8) r(i)")
+_LADDER = "list_extract([60, 120, 240, 480, 960, 1920, 3600], least(7, level)::INT)"
+
+
+@query("f39_backoff", f"""WITH a AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY importer ORDER BY us, id) AS run FROM (SELECT o_custkey AS importer, epoch_us(o_orderdate) AS us, o_orderkey AS id, o_orderstatus = 'F' AS failed FROM orders)),
+  b AS (SELECT *, CASE WHEN failed THEN row_number() OVER (PARTITION BY importer, run ORDER BY us, id) - (CASE WHEN run > 0 THEN 1 ELSE 0 END) ELSE 0 END AS level FROM a),
+  c AS (SELECT *, CASE WHEN level > 0 THEN {_LADDER} ELSE 300 END AS base, ('0x' || substr(md5(importer || ':' || id), 1, 8))::BIGINT AS chance FROM b)
+  SELECT id, least(7, level)::INT AS level, greatest(1, base + chance % (2 * (base // 5) + 1) - base // 5)::BIGINT AS seconds FROM c""")
 def _(t):
-    return t.spark.range(8).select(F.col("id").cast("int").alias("attempt"), F.least(F.lit(3600), F.lit(60) * F.pow(F.lit(2), F.col("id"))).cast("int").alias("seconds"))
+    runs = t.raw("orders").select(F.col("o_custkey").alias("importer"), micros(F.col("o_orderdate")).alias("us"), F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("failed"))
+    return lifecycle.backoff(runs, "importer", ["us", "id"], F.lit(300)).select("id", "level", "seconds")
 
 
 _SUFFIX = [(0, "workstation"), (32, "server"), (27, "domain_master")]
