@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ip
+
 # Rule, severity, predicate over an observation's own fields, the
 # value that is counted, and the least distinct values that make the rule hold.
 RULES = [
@@ -115,3 +117,31 @@ def chains(found: DataFrame) -> DataFrame:
     rest = F.arrays_overlap(F.slice("needs", F.lit(2), F.size("needs")), F.col("acting"))
     match = F.when(F.col("mode") == "any", F.arrays_overlap("needs", "acting")).when(F.col("mode") == "custom", first & rest).otherwise(F.size(F.array_except("needs", "acting")) == 0)
     return met.where(env & match).select("chain", "severity", F.array_sort(F.array_intersect("needs", "acting")).alias("triggers"))
+
+
+# Ports that speak TLS, and device types that join networks by design.
+TLS_PORTS = [443, 8443, 4443]
+BRIDGING = ["router", "gateway", "firewall", "switch", "access_point", "network_device", "mesh_router", "wireless_bridge", "load_balancer", "cable_modem"]
+
+
+def plain_http(probes: DataFrame) -> DataFrame:
+    """Rule TC-002: HTTP services that a probe found without TLS.
+
+    ``probes``: hw_addr, port, result (JSON with service and tls).  Returns
+    rule, severity, hw_addr, port of each; broken results count as no service.
+    """
+    found = probes.withColumn("_r", F.from_json("result", "service string, tls boolean"))
+    bare = (F.col("_r.service") == "http") & ~F.col("port").isin(TLS_PORTS) & ~F.coalesce("_r.tls", F.lit(False))
+    return found.where(bare).select(F.lit("TC-002").alias("rule"), F.lit("medium").alias("severity"), "hw_addr", "port").distinct()
+
+
+def vlan_leakage(arp: DataFrame, types: DataFrame) -> DataFrame:
+    """Rule L2-008: endpoints that announce addresses of several /20 networks.
+
+    ``arp``: hw_addr, ip_addr; ``types``: hw_addr, category.  Devices that join
+    networks by design are left out.  Returns rule, severity, hw_addr, subnets (sorted).
+    """
+    stated = arp.where("ip_addr IS NOT NULL AND ip_addr <> '0.0.0.0'").select("hw_addr", ip.subnet(F.col("ip_addr"), 20).alias("net"))
+    by_design = types.where(F.col("category").isin(BRIDGING)).select("hw_addr")
+    found = stated.join(by_design, "hw_addr", "left_anti").groupBy("hw_addr").agg(F.array_sort(F.collect_set("net")).alias("subnets"))
+    return found.where(F.size("subnets") > 1).select(F.lit("L2-008").alias("rule"), F.lit("medium").alias("severity"), "hw_addr", "subnets")

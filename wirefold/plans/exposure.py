@@ -150,3 +150,19 @@ def field_observations(t):
   UNION ALL SELECT 'CRED-001', 'high', {_DEVICES} port IN (21, 23, 110, 143, 161) UNION ALL SELECT 'CRED-002', 'info', {_DEVICES} user_id % 5 IN (0, 1)) WHERE devices > 0""", FIELD_VIEW)
 def _(t):
     return X.observed(field_observations(t))
+
+
+@query("x06_plain_http", """SELECT DISTINCT 'TC-002' AS rule, 'medium' AS severity, hw_addr, port FROM packets WHERE k % 3 = 0 AND port NOT IN (443, 8443, 4443) AND user_id % 4 <> 1 AND k % 11 > 0""")
+def _(t):
+    k = F.col("k")
+    stated = F.to_json(F.struct(pick(k, ["http", "ssh", "https"]).alias("service"), F.when(F.col("user_id") % 4 < 2, F.col("user_id") % 4 == 1).alias("tls")))
+    return X.plain_http(t.packets.select("hw_addr", "port", F.when(k % 11 > 0, stated).otherwise("{broken").alias("result")))
+
+
+@query("x03_vlan_leakage", """SELECT 'L2-008' AS rule, 'medium' AS severity, hw_addr, list_sort(list(DISTINCT '10.0.' || (third // 16 * 16) || '.0/20')) AS subnets
+  FROM (SELECT hw_addr, k % 4 * CASE WHEN user_id % 2 = 0 THEN 16 ELSE 3 END AS third FROM packets WHERE protocol = 'arp' AND k % 10 > 0) WHERE hw_addr NOT IN (SELECT hw_addr FROM verdicts WHERE category = 'router')
+  GROUP BY hw_addr HAVING count(DISTINCT third // 16) > 1""")
+def _(t):
+    third = F.col("k") % 4 * F.when(F.col("user_id") % 2 == 0, 16).otherwise(3)
+    place = F.when(F.col("k") % 10 > 0, F.concat(F.lit("10.0."), third.cast("string"), F.lit(".7"))).otherwise("0.0.0.0")
+    return X.vlan_leakage(t.packets.where("protocol = 'arp'").select("hw_addr", place.alias("ip_addr")), t.verdicts.select("hw_addr", "category"))
