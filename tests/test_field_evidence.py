@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from wirefold.functions import names
 from wirefold.operators import exposure, field_evidence, lifecycle
-from wirefold.functions import names
 
 
 def test_evidence(spark):

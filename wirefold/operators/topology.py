@@ -27,13 +27,13 @@ def gateways(devices: DataFrame, bindings: DataFrame) -> DataFrame:
 
     ``devices``: hw_addr, ip_addr, category.
     """
-    every = tiered(devices, bindings)
+    every = written(tiered(devices, bindings), "tiers")  # its least rank is asked of it, too
     return every.where(F.col("rank") == every.select(F.min("rank")).scalar()).select("hw_addr", F.col("rank").alias("tier")).distinct()
 
 
 def nodes(devices: DataFrame, bindings: DataFrame) -> DataFrame:
     """Devices with an address and their tier: gateway, infrastructure, client."""
-    every = tiered(devices, bindings)
+    every = written(tiered(devices, bindings), "tiers")
     gate = F.col("rank") == every.select(F.min("rank")).scalar()
     tier = F.when(gate, "gateway").when(F.col("category").isin(INFRASTRUCTURE), "infrastructure").otherwise("client")
     return every.where("ip_addr IS NOT NULL").select("hw_addr", "ip_addr", tier.alias("tier"), ip.subnet(F.col("ip_addr")).alias("subnet"))

@@ -65,6 +65,6 @@ def _(t):
     folder = fresh(t.spark, "captures")
     capture.write_captures(framed(t, list(KINDS)).repartition(4, "us"), folder).collect()  # a row a file
     capture_source.register(t.spark)
-    frames = t.spark.read.format("capture").option("splitBytes", 1 << 17).load(folder).where("broken IS NULL").select("us", "frame")
+    frames = t.spark.read.format("capture").option("splitBytes", 1 << 19).load(folder).where("broken IS NULL").select("us", "frame")
     found = decoded(capture.payloads(frames).select("us", "hw_addr", "protocol", "payload"))
     return found.select("us", "hw_addr", "protocol", F.explode("fields").alias("name", "value"))

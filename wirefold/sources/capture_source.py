@@ -85,10 +85,10 @@ class Classic:
         head = self.window.get(at, 16)
         if len(head) < 16:
             return 0, "cut off in a header"
-        if not len(self.plausible(head)):
+        sec, part, size, whole = struct.unpack(self.order + "IIII", head)
+        if not (0 < size <= LONGEST and whole >= size and part < self.parts and abs(sec - self.begin) <= SPAN):
             return 0, "not a record header"
-        size = 16 + struct.unpack_from(self.order + "I", head, 8)[0]
-        return (size, None) if at + size <= self.window.size else (0, "cut off in a frame")
+        return (16 + size, None) if at + 16 + size <= self.window.size else (0, "cut off in a frame")
 
     def row(self, at: int, size: int) -> tuple[int | None, int, bytes] | None:
         sec, part = struct.unpack(self.order + "II", self.window.get(at, 8))
