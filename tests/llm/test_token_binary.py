@@ -84,3 +84,14 @@ def test_ranges_read_slices(tmp_path):
     np.arange(50, dtype="<u2").tofile(tmp_path / "x")
     got = _Ranges(fs.LocalFileSystem().open_input_file(str(tmp_path / "x")), "<u2")
     assert len(got) == 50 and got[3:7].tolist() == [3, 4, 5, 6] and got[48:99].tolist() == [48, 49] and got[5:5].tolist() == [] and got[:].sum() == 1225
+
+
+def test_tasks_of_other_uses_drop_the_encoders():
+    from wirefold.llm import textvec
+    from wirefold.llm.token_binary import KEEP, encoder_of
+
+    same = encoder_of(PATH)
+    assert list(textvec.trimmed(iter([1]), KEEP)) == [1] and encoder_of(PATH) is same  # kept from task to task
+    task = textvec.trimmed(iter([1, 2]))
+    next(task)  # before another operator's task works
+    assert not textvec._kept and encoder_of(PATH) is not same

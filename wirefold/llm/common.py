@@ -72,9 +72,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mapped(df: DataFrame, step: Callable, schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` whose tasks give their memory back when they end."""
-    return df.mapInArrow(lambda batches: trimmed(step(batches)), schema)
+def mapped(df: DataFrame, step: Callable, schema: StructType | str, keep: str = "") -> DataFrame:
+    """``mapInArrow`` whose tasks give their memory back when they end.
+
+    Only what ``textvec.kept`` holds by the name ``keep`` stays in the worker.
+    """
+    return df.mapInArrow(lambda batches: trimmed(step(batches), keep), schema)
 
 
 def extended(schema: StructType, ddl: str) -> StructType:

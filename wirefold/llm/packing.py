@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped, written
-from .textvec import sliced
-from .token_binary import _INNER, _TAIL, Encoder, _Odd, encoder_of
+from .textvec import kept, sliced
+from .token_binary import _INNER, _TAIL, KEEP, Encoder, _Odd, encoder_of
 
 #: Penalties of cuts, in tokens of padding.
 DOCUMENT, SENTENCE, INSIDE, WINDOW = 0, 4, 12, 1
@@ -121,9 +121,6 @@ class Words(dict):
         return self.encoder.rest[piece]
 
 
-_words: dict[str, Words] = {}
-
-
 def _piece_ids(encoder: Encoder, words: Words, pieces: pa.Array) -> tuple[list[bytes], np.ndarray]:
     """Ids of distinct pieces behind a space; and which pieces are odd (left empty):
     they are empty or have white space at an end."""
@@ -365,7 +362,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 2048, p
         from pyspark import TaskContext
 
         encoder, part = encoder_of(tokenizer_path), TaskContext.get().partitionId()
-        words = _words.setdefault(tokenizer_path, Words(encoder, MEMORY))  # the worker's, for the tasks that follow
+        words = kept(KEEP).setdefault(f"words of {tokenizer_path}", Words(encoder, MEMORY))  # the worker's, for the tasks that follow
         dtype = encoder.dtype if end_id <= np.iinfo(encoder.dtype).max else np.dtype("<u4")
         last = np.array([end_id], dtype).tobytes()
 
@@ -389,7 +386,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 2048, p
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("_start", F.substring("text", 1, 64)).repartitionByRange(number, "doc_id", "_start")
     rows = rows.select("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    found = written(mapped(rows, step, _SCHEMA), "pieces")
+    found = written(mapped(rows, step, _SCHEMA, KEEP), "pieces")
     # One row a partition: its number of sequences, then the sum before it.
     counts = sorted((r.part, r.n) for r in found.groupBy("part").agg((F.max("sequence") + 1).alias("n")).collect())
     base, at = [], 0

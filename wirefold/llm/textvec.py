@@ -90,14 +90,33 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
                 yield batch.slice(a, b - a)
 
 
-def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: What this worker keeps for the tasks that follow, by the name of its use.
+_kept: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """The worker's memory of one use; the next task of any other use drops it."""
+    return _kept.setdefault(name, {})
+
+
+def trimmed(batches: Iterator[pa.RecordBatch], keep: str = "") -> Iterator[pa.RecordBatch]:
     """Pass batches on; at the task's end give freed memory back to the system.
 
-    Workers live on between tasks, and neither the allocator nor Arrow's pool
-    returns the peaks of a task by itself.
+    Workers live on between tasks and stages, and neither the allocator nor
+    Arrow's pool returns the peaks of a task by itself.  What is kept for
+    another use than ``keep`` goes before the task starts.
     """
+    others = [name for name in _kept if name != keep]
+    for name in others:
+        del _kept[name]
+    if others:
+        _trim()
     yield from batches
     _powers.clear()
+    _trim()
+
+
+def _trim() -> None:
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)

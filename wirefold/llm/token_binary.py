@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped, shared_dir
-from .textvec import sliced
+from .textvec import kept, sliced
 
 #: Bytes that end an alphabetic word without joining it to what follows.
 _TAIL = ",.!?;:|*#$%&)"
@@ -142,14 +142,16 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+#: Name by which workers keep encoders and their pieces.
+KEEP = "encoders"
 
 
 def encoder_of(path: str) -> Encoder:
-    """The worker's encoder: kept, with its pieces, for the tasks that follow."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's encoder: kept, with its pieces, for the encoding tasks that follow."""
+    encoders = kept(KEEP)
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 def _open(path: str):
@@ -256,7 +258,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     # which agrees with their order by whole text.
     rows = rows.withColumn("_start", F.substring("text", 1, 64)).repartitionByRange(number, "doc_id", "_start")
     rows = rows.select("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    made = mapped(rows, encode, "part long, docs long, ids long").collect()  # one row for each partition
+    made = mapped(rows, encode, "part long, docs long, ids long", KEEP).collect()  # one row for each partition
     for info in system.get_file_info(fs.FileSelector(at)):
         if info.base_name.startswith(".") and not info.base_name.endswith(".crc"):
             system.delete_file(info.path)  # what lost tasks have left
