@@ -153,3 +153,44 @@ def test_held_out_accuracy(spark):
     got = predict(docs.where("held"), model)
     row = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right"), F.avg(F.col("rejected").cast("int")).alias("out"), F.avg("score").alias("score")).first()
     assert row.right > 0.97 and row.out < 0.02 and row.score > 0.9
+
+
+def test_remembered_scores_are_the_models(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t, name, "") for name, ts in TEXTS.items() for i, t in enumerate(ts)], SCHEMA)
+    model = train(docs)
+    texts = ["", "...", "the garden of katze", "a", "zzz unseen ñ", "日本の日子 𠀁", "", "the garden of katze"] * 3
+    want = [(-model.score(codes(t)).sum(0, dtype=np.float64) / max(1, len(of(t))), len(of(t)) if any(map(str.isalpha, t)) else 0) for t in texts]
+    column = view(pa.array(texts, pa.large_string()))
+    for step, cells in ((1 << 16, 1 << 20), (7, 1)):  # in one go; in bits, with a few slots that collide
+        monkeypatch.setattr(language_id, "STEP", step)
+        monkeypatch.setattr(language_id, "MEMO_CELLS", cells)
+        model.forget()
+        entropy, count = model.entropies(*column)
+        assert count.tolist() == [n for _, n in want]
+        assert np.allclose(entropy[count > 0], [e for e, n in want if n], rtol=1e-6)
+    monkeypatch.undo()
+    model.forget()
+    entropy, count = model.entropies(*column)
+    monkeypatch.setattr(model, "look", None)  # the second time the model's files are not asked
+    assert (model.entropies(*column)[0] == entropy)[count > 0].all()
+
+
+@pytest.mark.parametrize(("limit", "bits"), [(1 << 18, 12), (40, 12), (1 << 18, 6), (40, 3)])
+def test_tally_counts_every_gram(monkeypatch, limit, bits):
+    monkeypatch.setattr(language_id, "NUMBER_BITS", bits)
+    tally, got, want, sent = language_id.Tally(limit), Counter(), Counter(), 0
+    batches = [["the cat and the dog", "der hund, die katze"], ["", "..."], ["這是一個很好的日子"], ["the cat and the dog", "schöne grüße"], ["𠀀𠀁 日子 😀 時間 a"]] * 2
+    for texts in [*batches, None]:
+        if texts is None:
+            found = tally.flush()
+        else:
+            lang = np.arange(len(texts))
+            want.update((i, g) for i, t in enumerate(texts) for g in of(t))
+            found = tally.add(lang, *symbols(*view(pa.array(texts, pa.large_string()))))
+        for i, window, number in found:
+            sent += len(number)
+            for row, n in zip(window.tolist(), number.tolist()):
+                got[i, "".join(map(chr, row))] += n
+    assert got == want
+    if limit > 40 and bits == 12:  # a task gives each n-gram once, not once a batch
+        assert sent == len(want)

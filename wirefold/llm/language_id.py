@@ -38,6 +38,10 @@ _FACTOR = 0xD1342543DE82EF95
 #: each; beyond that the files grow, and nothing is left out.
 PART_BITS = 12
 PART_CELLS = 1 << 21
+#: Symbols scored at once, and slots and numbers of the remembered scores.
+STEP, MEMO_BITS, MEMO_CELLS = 1 << 16, 18, 1 << 20
+#: Bits of a symbol's number within a task, and distinct n-grams a task holds.
+NUMBER_BITS, TALLY = 12, 1 << 18
 #: Distinct texts of each language used to fit the calibration.
 CALIBRATION_DOCS = 2_000
 UNKNOWN = "und"
@@ -97,29 +101,61 @@ class Coded:
     """The n-grams that end at each symbol but the borders: ``ends[n]`` are their
     hashes, ``before[n]`` those of the n-grams that end one symbol earlier."""
 
-    row: np.ndarray
-    symbol: np.ndarray
     ends: list[np.ndarray]
     before: list[np.ndarray]
 
 
-def coded(sym: np.ndarray, starts: np.ndarray, order: int = ORDER) -> Coded:
+def padded(sym: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with ORDER - 1 borders before each; the places of all other symbols;
+    and how many of these come before each text (n + 1 numbers).
+
+    The n-gram that ends at a symbol is so a slice, wherever in its text it stands.
+    """
+    n, more = len(starts) - 1, ORDER - 2
+    out = np.full(len(sym) + more * n, BORDER, np.uint32)
+    keep = np.ones(len(out), bool)
+    for j in range(more):
+        keep[starts[:-1] + more * np.arange(n) + j] = False
+    out[keep] = sym
+    return out, np.flatnonzero(out != BORDER), starts - np.arange(n + 1)
+
+
+def windows(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ORDER symbols up to each of some places of a padded text, one row each."""
+    if not len(at):
+        return np.empty((0, ORDER), np.uint32)
+    return np.lib.stride_tricks.sliding_window_view(text, ORDER)[at - (ORDER - 1)]
+
+
+def keys_of(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the ORDER-grams that end at ascending places of a padded text."""
+    if not len(at):
+        return np.empty(0, np.uint64)
+    low, high = at[0] - (ORDER - 1), at[-1] + 1
+    code = text[low : high - (ORDER - 1)].astype(np.uint64)
+    for j in range(1, ORDER):
+        code *= np.uint64(_FACTOR)
+        code += text[low + j : high - (ORDER - 1) + j]
+    return _hashed(code[at - at[0]], ORDER)
+
+
+def coded_windows(window: np.ndarray) -> Coded:
+    """N-grams of all orders at the end of each row of ``windows``."""
+
+    def ending(last: int) -> list[np.ndarray]:
+        out, code = [np.empty(0, np.uint64)], np.zeros(len(window), np.uint64)
+        for n in range(1, last + 2):
+            code = code + window[:, last - (n - 1)].astype(np.uint64) * np.uint64(pow(_FACTOR, n - 1, 1 << 64))
+            out.append(_hashed(code, n))
+        return out
+
+    return Coded(ending(ORDER - 1), ending(ORDER - 2))
+
+
+def coded(sym: np.ndarray, starts: np.ndarray) -> Coded:
     """Near a text's start the missing symbols count as borders."""
-    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    place = np.arange(len(sym)) - starts[doc]
-    inner = np.flatnonzero(place > 0)
-    code, none = np.zeros(len(sym), np.uint64), np.empty(0, np.uint64)
-    ends, before = [none], [none]
-    for n in range(1, order + 1):
-        back = np.full(len(sym), BORDER, np.uint64)
-        if n - 1 < len(sym):
-            back[n - 1 :] = sym[: len(sym) - (n - 1)]
-        back[place < n - 1] = BORDER
-        code = code + back * np.uint64(pow(_FACTOR, n - 1, 1 << 64))
-        whole = _hashed(code, n)
-        ends.append(whole[inner])
-        before.append(whole[inner - 1] if n < order else none)
-    return Coded(doc[inner], sym[inner], ends, before)
+    text, at, _ = padded(sym, starts)
+    return coded_windows(windows(text, at))
 
 
 def grams_of(column: pa.Array, n: int) -> np.ndarray:
@@ -161,9 +197,10 @@ class Model:
     bias: float = 0.0
     limits: np.ndarray | None = None
     index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, int]] = field(default_factory=dict)
+    memo: tuple[int, np.ndarray, np.ndarray] | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"index": {}}  # each worker maps the files itself
+        return self.__dict__ | {"index": {}, "memo": None}  # each worker maps the files itself
 
     def part(self, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         if p not in self.index:
@@ -198,13 +235,12 @@ class Model:
         hit = row >= 0
         return hit, values[hit]
 
-    def score(self, text: Coded, a: int = 0, b: int | None = None) -> np.ndarray:
-        """Log probabilities of symbols a to b (a row each, a column per language)."""
-        ends, before = [x[a:b] for x in text.ends], [x[a:b] for x in text.before]
-        out = np.zeros((len(ends[ORDER]), len(self.langs)), np.float32)
+    def score(self, text: Coded) -> np.ndarray:
+        """Log probabilities of all symbols (a row each, a column per language)."""
+        out = np.zeros((len(text.ends[ORDER]), len(self.langs)), np.float32)
         left = np.arange(len(out))
         for n in range(ORDER, 0, -1):
-            hit, values = self.look(ends[n][left])
+            hit, values = self.look(text.ends[n][left])
             out[left[hit]] += values
             left = left[~hit]
             if not len(left):
@@ -212,55 +248,160 @@ class Model:
             if n == 1:
                 out[left] += self.floor
             else:  # an unknown n-gram: the weight of its context, then the shorter one
-                known, values = self.look(before[n - 1][left], weights=True)
+                known, values = self.look(text.before[n - 1][left], weights=True)
                 out[left[known]] += values
         return out
 
+    def remembered(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """``score`` of the symbols at places of a padded text.
+
+        A score depends on the ORDER-gram alone.  Those met lately stand in a
+        table with one slot for each value of their hashes' leading bits, which
+        a task drops at its end; only others are looked up in the model.
+        """
+        if self.memo is None:
+            bits = max(10, min(MEMO_BITS, (MEMO_CELLS // len(self.langs)).bit_length() - 1))
+            # A free slot holds a hash that belongs to another one.
+            free = ~(np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            self.memo = bits, free, np.zeros((1 << bits, len(self.langs)), np.float32)
+        bits, known, values = self.memo
+        key = keys_of(text, at)
+        slot = (key >> np.uint64(64 - bits)).astype(np.int64)
+        out = values.take(slot, axis=0)
+        miss = np.flatnonzero(known.take(slot) != key)
+        if len(miss):
+            new, first, number = np.unique(key[miss], return_index=True, return_inverse=True)
+            got = self.score(coded_windows(windows(text, at[miss[first]])))
+            out[miss] = got[number]
+            slot = (new >> np.uint64(64 - bits)).astype(np.int64)
+            last = np.append(slot[1:] != slot[:-1], True)  # one for each slot
+            known[slot[last]], values[slot[last]] = new[last], got[last]
+        return out
+
     def entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per symbol for each text and language, and lengths.
 
         Texts without a letter have length 0.
         """
-        text = coded(*symbols(data, offsets))
-        n = len(offsets) - 1
-        total = np.zeros((n, len(self.langs)))
-        count = _lengths(text, n)
-        step = 1 << 18
-        for a in range(0, len(text.row), step):
-            got = self.score(text, a, a + step)
-            d = text.row[a : a + step]
-            cut = np.flatnonzero(np.diff(d, prepend=-1))
-            total[d[cut]] += np.add.reduceat(got, cut, axis=0, dtype=np.float64)
+        sym, starts = symbols(data, offsets)
+        count = _lengths(sym, starts)
+        text, at, first = padded(sym, starts)
+        total = np.zeros((len(count), len(self.langs)))
+        some = np.flatnonzero(np.diff(first))
+        first = first[some]
+        for a in range(0, len(at), STEP):
+            got = self.remembered(text, at[a : a + STEP])
+            i, j = np.searchsorted(first, a, "right") - 1, np.searchsorted(first, a + len(got))
+            total[some[i:j]] += np.add.reduceat(got, np.maximum(first[i:j] - a, 0), axis=0, dtype=np.float64)
         return -total / np.maximum(count, 1)[:, None], count
 
+    def forget(self) -> None:
+        """Let go of mapped files and remembered scores."""
+        self.index.clear()
+        self.memo = None
+
+
+def _lengths(sym: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Symbols of each text but its border; 0 for one without a letter."""
+    if len(starts) < 2:
+        return np.zeros(0)
+    letters = np.add.reduceat(sym > GAP, starts[:-1], dtype=np.int64)
+    return np.where(letters > 0, np.diff(starts) - 1, 0).astype(float)
 
-def _lengths(text: Coded, n: int) -> np.ndarray:
-    """Symbols of each text; 0 for one without a letter."""
-    letters = np.bincount(text.row, weights=text.symbol > GAP, minlength=n)
-    return np.where(letters > 0, np.bincount(text.row, minlength=n), 0).astype(float)
+
+class Tally:
+    """Counts of ORDER-grams by language, gathered over the batches of a task.
+
+    An n-gram is packed into one number, NUMBER_BITS for each symbol; a symbol's
+    number is its place among those met so far.  ``add`` and ``flush`` give
+    (language, windows, counts) when more than ``limit`` distinct n-grams are
+    held, when the numbers run out, and at the end.
+    """
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+        self._restart()
+
+    def _restart(self) -> None:
+        self.number, self.known = np.full(0x110000, -1, np.int16), np.empty(0, np.uint32)
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.held = 0
+
+    def _merge(self) -> None:
+        self.held = 0
+        for i, parts in self.parts.items():
+            key, count = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(key, kind="stable")
+            key, count = key[order], count[order]
+            head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            self.parts[i] = [(key[head], np.add.reduceat(count, head))]
+            self.held += len(head)
+
+    def flush(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        self._merge()
+        for i, [(key, count)] in self.parts.items():
+            window = np.empty((len(key), ORDER), np.uint32)
+            for j in range(ORDER):
+                window[:, ORDER - 1 - j] = self.known[((key >> np.uint64(j * NUMBER_BITS)) & np.uint64((1 << NUMBER_BITS) - 1)).astype(np.int64)]
+            yield i, window, count
+        self._restart()
+
+    def add(self, lang: np.ndarray, sym: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Count the texts, whose languages are ``lang``."""
+        text, at, first = padded(sym, starts)
+        if not len(at):
+            return
+        of = np.repeat(lang, np.diff(first))
+        new = self._new(text)
+        if len(self.known) + len(new) > 1 << NUMBER_BITS:
+            yield from self.flush()
+            new = self._new(text)
+            if len(new) > 1 << NUMBER_BITS:  # this batch alone has too many: by hashes
+                key = keys_of(text, at)
+                for i in np.unique(lang[np.diff(first) > 0]).tolist():
+                    mine = np.flatnonzero(of == i)
+                    _, one, count = np.unique(key[mine], return_index=True, return_counts=True)
+                    yield i, windows(text, at[mine[one]]), count
+                return
+        self.number[new] = np.arange(len(self.known), len(self.known) + len(new))
+        self.known = np.concatenate((self.known, new))
+        short = self.number[text].astype(np.uint64)
+        code = short[: len(short) - (ORDER - 1)].copy()
+        for j in range(1, ORDER):
+            code <<= np.uint64(NUMBER_BITS)
+            code |= short[j : len(short) - (ORDER - 1) + j]
+        code = code[at - (ORDER - 1)]
+        for i in np.unique(lang[np.diff(first) > 0]).tolist():
+            key = np.sort(code[of == i])
+            head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            self.parts.setdefault(i, []).append((key[head], np.diff(np.append(head, len(key)))))
+            self.held += len(head)
+        if self.held > 2 * self.limit:
+            self._merge()
+            if self.held > self.limit:
+                yield from self.flush()
+
+    def _new(self, text: np.ndarray) -> np.ndarray:
+        """Symbols without a number."""
+        return np.unique(text[self.number[text] < 0])
 
 
 def _count(texts: DataFrame, langs: list[str]) -> DataFrame:
     code = {name: i for i, name in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally(TALLY)
+
+        def rows(found: Iterator) -> Iterator[pa.RecordBatch]:
+            for i, window, number in found:
+                for a in range(0, len(number), STEP):
+                    part = _strings(window[a : a + STEP])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i)), part, pa.array(number[a : a + STEP])], ["l", "g", "c"])
+
         for batch in sliced(batches):
             lang = np.array([code[x] for x in batch.column("lang").to_pylist()])
-            sym, starts = symbols(*view(batch.column("text")))
-            text = coded(sym, starts)
-            place = np.arange(len(sym)) - np.repeat(starts[:-1], np.diff(starts))
-            inner = np.flatnonzero(place > 0)
-            for i in np.unique(lang):
-                mine = np.flatnonzero(lang[text.row] == i)
-                _, one, number = np.unique(text.ends[ORDER][mine], return_index=True, return_counts=True)
-                if len(one):
-                    at = inner[mine[one]]
-                    window = np.full((len(at), ORDER), BORDER, np.uint32)
-                    for j in range(ORDER):
-                        back = ORDER - 1 - j
-                        some = place[at] >= back
-                        window[some, j] = sym[at[some] - back]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), i)), _strings(window), pa.array(number)], ["l", "g", "c"])
+            yield from rows(tally.add(lang, *symbols(*view(batch.column("text")))))
+        yield from rows(tally.flush())
 
     return mapped(texts, count, "l long, g string, c long").groupBy("l", "g").agg(F.sum("c").alias("c"))
 
@@ -421,7 +562,7 @@ def _sample(model: Model, texts: DataFrame, number: int) -> tuple[np.ndarray, ..
             _, one = np.unique(np.column_stack((l, h)), axis=0, return_index=True)  # copies
             entropy, count = model.entropies(*view(batch.column("text").take(pa.array(one))))
             yield pa.RecordBatch.from_arrays([pa.array(l[one]), pa.array(h[one]), _lists(entropy), pa.array(count)], ["l", "h", "entropy", "count"])
-        model.index.clear()
+        model.forget()
 
     scored = mapped(hashed.where(chance < F.element_at(bound, F.col("lang"))), score, "l long, h long, entropy array<double>, count double")
     table = scored.where("count > 0").groupBy("l", "h").agg(F.first("entropy").alias("entropy"), F.first("count").alias("count")).toArrow()
@@ -497,7 +638,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             n = batch.num_rows
             lang, score, least, out = np.full(n, UNKNOWN, object), np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
             if model is None:
-                out = _lengths(coded(*symbols(*view(batch.column("text")))), n) == 0
+                out = _lengths(*symbols(*view(batch.column("text")))) == 0
             else:
                 entropy, count = model.entropies(*view(batch.column("text")))
                 ok = count > 0
@@ -514,6 +655,6 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             new = [pa.array(lang, pa.string()), pa.array(score), pa.array(least, mask=np.isnan(least)), pa.array(out)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "lang_pred", "score", "entropy", "rejected"])
         if model is not None:
-            model.index.clear()
+            model.forget()
 
     return mapped(docs.select(*names), label, schema)
