@@ -95,3 +95,21 @@ def test_tasks_of_other_uses_drop_the_encoders():
     task = textvec.trimmed(iter([1, 2]))
     next(task)  # before another operator's task works
     assert not textvec._kept and encoder_of(PATH) is not same
+
+
+def test_each_distinct_piece_is_looked_up_once(monkeypatch):
+    import pyarrow as pa
+
+    from wirefold.llm import token_binary as module
+
+    texts = [*ODD, None, "été Straße, the cat!\nThe dog; ñandú.", "", "  ", "plain words, plain words.", None]
+    words = module.Words(encoder, 1000)
+    for column in (pa.array(texts), pa.array(texts[::-1]), pa.array(texts[-2:]), pa.array([], pa.string())):
+        found, counts = module.column_ids(encoder, column, words)
+        want = [ids(t or "").tolist() for t in column.to_pylist()]
+        assert counts.tolist() == [len(x) for x in want] and found.tolist() == [i for x in want for i in x]
+    asked = []
+    monkeypatch.setattr(module, "_piece_ids", lambda e, w, pieces, real=module._piece_ids: asked.append(len(pieces)) or real(e, w, pieces))
+    monkeypatch.setattr(Encoder, "encode", None)  # no text goes piece by piece
+    module.column_ids(encoder, pa.array(["the cat and the dog"] * 500), words)
+    assert asked == [4]

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -35,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped, written
-from .textvec import kept, sliced
-from .token_binary import _INNER, _TAIL, KEEP, Encoder, _Odd, encoder_of
+from .textvec import sliced
+from .token_binary import _INNER, KEEP, Encoder, Words, _Odd, encoder_of, gathered, words_of
 
 #: Penalties of cuts, in tokens of padding.
 DOCUMENT, SENTENCE, INSIDE, WINDOW = 0, 4, 12, 1
@@ -83,72 +82,6 @@ def sentence_ids(encoder: Encoder, text: str) -> tuple[bytes, list[int]]:
     return np.array(found.ids, encoder.dtype).tobytes(), [*cuts.tolist(), len(found.ids)]
 
 
-class Words(dict):
-    """Ids (as bytes) of words of letters behind a space.
-
-    About ``limit`` bytes make a generation; words of the generation before
-    pass to the new one when they come again, others are forgotten.
-    """
-
-    def __init__(self, encoder: Encoder, limit: int) -> None:
-        super().__init__()
-        self.encoder, self.limit, self.held, self.old = encoder, limit, 0, {}
-        self.model, self.code = encoder.tokenizer.model, encoder.rest.code
-
-    def __missing__(self, word: str) -> bytes:
-        out = self.old.pop(word, None)
-        if out is None:
-            if word.isascii():  # these letters stand for themselves, a space for U+0120
-                out = array(self.code, [t.id for t in self.model.tokenize("\u0120" + word)]).tobytes()
-            else:
-                out = self.encoder.rest.word_ids(word)
-        if self.held >= self.limit:
-            self.old = self.copy()
-            self.clear()
-            self.held = 0
-        self[word] = out
-        self.held += len(word) + len(out) + 200  # two objects and a slot
-        return out
-
-    def of(self, piece: str) -> bytes:
-        """Ids of a piece that follows a space and does not end in white space."""
-        word = piece.rstrip(_TAIL)
-        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-            return self[word] if len(word) == len(piece) else self[word] + self.encoder.first[piece[len(word) :]]
-        left, line, right = piece.partition("\n")
-        if line and left and right and not left[-1].isspace() and not right[0].isspace():
-            return self.of(left) + self.encoder.first.line + self.encoder.first[right]
-        return self.encoder.rest[piece]
-
-
-def _piece_ids(encoder: Encoder, words: Words, pieces: pa.Array) -> tuple[list[bytes], np.ndarray]:
-    """Ids of distinct pieces behind a space; and which pieces are odd (left empty):
-    they are empty or have white space at an end."""
-    stem = pc.utf8_rtrim(pieces, characters=_TAIL)
-    plain = pc.and_(pc.utf8_is_alpha(stem), pc.string_is_ascii(stem)).to_numpy(zero_copy_only=False)
-    found, odd = np.full(len(pieces), b"", object), np.zeros(len(pieces), bool)
-    # ASCII words with or without marks behind: once for each word and each tail.
-    at = np.flatnonzero(plain)
-    some = stem.take(pa.array(at)).dictionary_encode()
-    ids = np.empty(len(some.dictionary), object)
-    ids[:] = list(map(words.__getitem__, some.dictionary.to_pylist()))
-    found[at] = ids[some.indices.to_numpy(zero_copy_only=False)]
-    tail = (pc.binary_length(pieces).to_numpy(zero_copy_only=False) - pc.binary_length(stem).to_numpy(zero_copy_only=False))[at]
-    for n in np.unique(tail[tail > 0]).tolist():
-        mine = at[tail == n]
-        marks = pc.utf8_slice_codeunits(pieces.take(pa.array(mine)), -n).dictionary_encode()
-        ends = np.empty(len(marks.dictionary), object)
-        ends[:] = [encoder.first[m] for m in marks.dictionary.to_pylist()]
-        found[mine] += ends[marks.indices.to_numpy(zero_copy_only=False)]
-    rest = np.flatnonzero(~plain)
-    for i, p in zip(rest.tolist(), pieces.take(pa.array(rest)).to_pylist()):
-        if not p or len(p.strip()) != len(p):
-            odd[i] = True
-        else:
-            found[i] = words.of(p)
-    return found.tolist(), odd
-
-
 def batch_ids(encoder: Encoder, column: pa.Array, words: Words) -> Iterator[tuple[bytes, list[int]]]:
     """``sentence_ids`` of every text of a column (null: empty, without ids).
 
@@ -159,25 +92,10 @@ def batch_ids(encoder: Encoder, column: pa.Array, words: Words) -> Iterator[tupl
     if not encoder.by_piece or not len(texts):
         yield from (sentence_ids(encoder, t) if t else (b"", [0]) for t in texts.to_pylist())
         return
-    split = pc.split_pattern(texts, " ")
-    number = pc.list_value_length(split).to_numpy(zero_copy_only=False)
-    bounds = np.concatenate(([0], np.cumsum(number)))
-    coded = pc.list_flatten(split).dictionary_encode()
-    pieces, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    found, odd = _piece_ids(encoder, words, pieces)
-    strange = np.add.reduceat(odd[code], bounds[:-1]) > 0
+    pieces, code, bounds, strange, ids, upto = gathered(encoder, texts, words)
     stops = [pc.ends_with(pieces, mark) for mark in ".!?"]
     sentence = pc.or_(pc.or_(stops[0], stops[1]), stops[2]).to_numpy(zero_copy_only=False)[code]
     sentence[bounds[1:] - 1] = False
-    heads = code[bounds[:-1]]
-    found += [b"" if o else encoder.first[p] for p, o in zip(pieces.take(pa.array(heads)).to_pylist(), odd[heads].tolist())]
-    code[bounds[:-1]] = len(pieces) + np.arange(len(texts))
-    pool = np.frombuffer(b"".join(found), encoder.dtype)
-    size = np.array([len(x) for x in found]) // encoder.dtype.itemsize
-    start = np.cumsum(size) - size
-    each = size[code]
-    upto = np.concatenate(([0], np.cumsum(each)))
-    ids = pool[np.repeat(start[code] - upto[:-1], each) + np.arange(upto[-1])]
     marks = np.flatnonzero(sentence)
     cut = np.searchsorted(marks, bounds)
     for i in range(len(texts)):
@@ -362,7 +280,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 2048, p
         from pyspark import TaskContext
 
         encoder, part = encoder_of(tokenizer_path), TaskContext.get().partitionId()
-        words = kept(KEEP).setdefault(f"words of {tokenizer_path}", Words(encoder, MEMORY))  # the worker's, for the tasks that follow
+        words = words_of(tokenizer_path, MEMORY)
         dtype = encoder.dtype if end_id <= np.iinfo(encoder.dtype).max else np.dtype("<u4")
         last = np.array([end_id], dtype).tobytes()
 

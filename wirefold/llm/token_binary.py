@@ -42,6 +42,9 @@ _TAIL = ",.!?;:|*#$%&)"
 _INNER = re.compile(r"\s \s")
 
 
+#: Bytes of text whose pieces are looked up together.
+BATCH_BYTES = 1 << 22
+
 #: The byte-level alphabet: printable Latin-1 characters stand for themselves,
 #: all other bytes for characters from 256 on, in order.
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -142,6 +145,118 @@ class Encoder:
         return out
 
 
+class Words(dict):
+    """Ids (as bytes) of words of letters behind a space.
+
+    About ``limit`` bytes make a generation; words of the generation before
+    pass to the new one when they come again, others are forgotten.
+    """
+
+    def __init__(self, encoder: Encoder, limit: int) -> None:
+        super().__init__()
+        self.encoder, self.limit, self.held, self.old = encoder, limit, 0, {}
+        self.model, self.code = encoder.tokenizer.model, encoder.rest.code
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.old.pop(word, None)
+        if out is None:
+            if word.isascii():  # these letters stand for themselves, a space for U+0120
+                out = array(self.code, [t.id for t in self.model.tokenize("\u0120" + word)]).tobytes()
+            else:
+                out = self.encoder.rest.word_ids(word)
+        if self.held >= self.limit:
+            self.old = self.copy()
+            self.clear()
+            self.held = 0
+        self[word] = out
+        self.held += len(word) + len(out) + 200  # two objects and a slot
+        return out
+
+    def of(self, piece: str) -> bytes:
+        """Ids of a piece that follows a space and does not end in white space."""
+        word = piece.rstrip(_TAIL)
+        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            return self[word] if len(word) == len(piece) else self[word] + self.encoder.first[piece[len(word) :]]
+        left, line, right = piece.partition("\n")
+        if line and left and right and not left[-1].isspace() and not right[0].isspace():
+            return self.of(left) + self.encoder.first.line + self.encoder.first[right]
+        return self.encoder.rest[piece]
+
+
+def _piece_ids(encoder: Encoder, words: Words, pieces: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """Ids of distinct pieces behind a space; and which pieces are odd (left empty):
+    they are empty or have white space at an end."""
+    stem = pc.utf8_rtrim(pieces, characters=_TAIL)
+    plain = pc.and_(pc.utf8_is_alpha(stem), pc.string_is_ascii(stem)).to_numpy(zero_copy_only=False)
+    found, odd = np.full(len(pieces), b"", object), np.zeros(len(pieces), bool)
+    # ASCII words with or without marks behind: once for each word and each tail.
+    at = np.flatnonzero(plain)
+    some = stem.take(pa.array(at)).dictionary_encode()
+    ids = np.empty(len(some.dictionary), object)
+    ids[:] = list(map(words.__getitem__, some.dictionary.to_pylist()))
+    found[at] = ids[some.indices.to_numpy(zero_copy_only=False)]
+    tail = (pc.binary_length(pieces).to_numpy(zero_copy_only=False) - pc.binary_length(stem).to_numpy(zero_copy_only=False))[at]
+    for n in np.unique(tail[tail > 0]).tolist():
+        mine = at[tail == n]
+        marks = pc.utf8_slice_codeunits(pieces.take(pa.array(mine)), -n).dictionary_encode()
+        ends = np.empty(len(marks.dictionary), object)
+        ends[:] = [encoder.first[m] for m in marks.dictionary.to_pylist()]
+        found[mine] += ends[marks.indices.to_numpy(zero_copy_only=False)]
+    rest = np.flatnonzero(~plain)
+    for i, p in zip(rest.tolist(), pieces.take(pa.array(rest)).to_pylist()):
+        if not p or len(p.strip()) != len(p):
+            odd[i] = True
+        else:
+            found[i] = words.of(p)
+    return found.tolist(), odd
+
+
+def gathered(encoder: Encoder, texts: pa.Array, words: Words) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all texts (at least one, without nulls), each distinct piece looked up once.
+
+    Returns the distinct pieces, the piece of every place, the texts' bounds in
+    these, which texts hold odd pieces (their ids are not right), the ids, and the
+    number of ids up to each place.
+    """
+    split = pc.split_pattern(texts, " ")
+    number = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    bounds = np.concatenate(([0], np.cumsum(number)))
+    coded = pc.list_flatten(split).dictionary_encode()
+    pieces, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    found, odd = _piece_ids(encoder, words, pieces)
+    strange = np.add.reduceat(odd[code], bounds[:-1]) > 0
+    heads = code[bounds[:-1]]
+    found += [b"" if o else encoder.first[p] for p, o in zip(pieces.take(pa.array(heads)).to_pylist(), odd[heads].tolist())]
+    unit = code.copy()
+    unit[bounds[:-1]] = len(pieces) + np.arange(len(texts))
+    pool = np.frombuffer(b"".join(found), encoder.dtype)
+    size = np.array([len(x) for x in found]) // encoder.dtype.itemsize
+    start = np.cumsum(size) - size
+    each = size[unit]
+    upto = np.concatenate(([0], np.cumsum(each)))
+    ids = pool[np.repeat(start[unit] - upto[:-1], each) + np.arange(upto[-1])]
+    return pieces, code, bounds, strange, ids, upto
+
+
+def column_ids(encoder: Encoder, column: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of a column (null: empty), one after another, and each text's number of ids."""
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    if not len(texts):
+        return np.empty(0, encoder.dtype), np.empty(0, np.int64)
+    if encoder.by_piece:
+        _, _, bounds, strange, ids, upto = gathered(encoder, texts, words)
+    else:
+        bounds, strange, ids, upto = np.zeros(len(texts) + 1, np.int64), np.ones(len(texts), bool), np.empty(0, encoder.dtype), np.zeros(1, np.int64)
+    at = upto[bounds]
+    counts, parts, done = np.diff(at), [], 0
+    for i in np.flatnonzero(strange).tolist():
+        text = texts[i].as_py()
+        one = np.frombuffer(encoder.encode(text) if text else b"", encoder.dtype)
+        parts += (ids[at[done] : at[i]], one)
+        counts[i], done = len(one), i + 1
+    return np.concatenate([*parts, ids[at[done] :]]), counts
+
+
 #: Name by which workers keep encoders and their pieces.
 KEEP = "encoders"
 
@@ -154,6 +269,11 @@ def encoder_of(path: str) -> Encoder:
     return encoders[path]
 
 
+def words_of(path: str, limit: int) -> Words:
+    """The worker's words of an encoder, kept like it."""
+    return kept(KEEP).setdefault(f"words of {path}", Words(encoder_of(path), limit))
+
+
 def _open(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
@@ -222,26 +342,20 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, dtype = encoder_of(tokenizer_path), np.dtype(f"<u{width}")
-        end = np.array([end_id], dtype).tobytes()
+        encoder, words, dtype = encoder_of(tokenizer_path), words_of(tokenizer_path, _Units.LIMIT), np.dtype(f"<u{width}")
         part, total, rows = TaskContext.get().partitionId(), 0, 0
         where, base = _open(folder)
         names = [f"{x}-{part:05d}.bin" for x in ("ids", "offsets", "docs")]
         parts = [f"{base}/.{name}-{uuid.uuid4().hex}" for name in names]
         with ExitStack() as stack:
             ids, offsets, keys = (stack.enter_context(where.open_output_stream(x)) for x in parts)
-            for batch in sliced(batches):
-                found: list[bytes] = []
-                counts = np.empty(batch.num_rows, "<u8")
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    counts[i] = total
-                    got = encoder.encode(text) if text else b""
-                    if encoder.dtype != dtype:
-                        got = np.frombuffer(got, encoder.dtype).astype(dtype).tobytes()
-                    found += (got, end)
-                    total += len(got) // width + 1
-                ids.write(b"".join(found))
-                offsets.write(counts.tobytes())
+            for batch in sliced(batches, limit=BATCH_BYTES):
+                found, number = column_ids(encoder, batch.column(1), words)
+                upto = np.cumsum(number)
+                ids.write(np.insert(found.astype(dtype), upto, end_id).tobytes())
+                number += 1
+                offsets.write((total + np.cumsum(number) - number).astype("<u8").tobytes())
+                total += int(number.sum())
                 keys.write(pc.fill_null(batch.column(0), -(1 << 63)).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                 rows += batch.num_rows
             offsets.write(np.array([total], "<u8").tobytes())
