@@ -2,8 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from wirefold.llm import repeat_index
 from wirefold.llm.repeat_index import remove_repeats
 
 SCHEMA = "doc_id long, text string, n_bytes string, pos string"
@@ -59,3 +61,22 @@ def test_empty_and_repeated_rows(spark):
     rows = [(1, "word " * 200, "", "")] * 3 + [(None, None, None, None)]
     got = remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(r.n_removed for r in got) == [0, 1000, 1000, 1000]
+
+
+def test_anchors_beyond_the_position_bits(monkeypatch):
+    """Texts longer than ``_POS`` (here 10 bits) keep their anchors."""
+    texts = [(t or "").encode() for t in made_texts(5)]
+    texts.insert(20, b" ".join(texts))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    whole = repeat_index.anchors(data, offsets, 60, 8)
+    monkeypatch.setattr(repeat_index, "_POS", np.uint64((1 << 10) - 1))
+    for block in (1, 7, 900):
+        monkeypatch.setattr(repeat_index, "BLOCK", block, raising=False)
+        for got, want in zip(repeat_index.anchors(data, offsets, 60, 8), whole):
+            assert got.tolist() == want.tolist()
+    at, row, _ = whole
+    for i, text in enumerate(texts):
+        inside = at[row == i] - offsets[i]
+        starts = np.arange(len(text) - 60 + 1)
+        assert (np.searchsorted(inside, starts + 60 - 8, side="right") > np.searchsorted(inside, starts)).all()

@@ -37,6 +37,8 @@ GRAM = 32
 #: Most entries of one index; beyond it the index is split.
 LIMIT = 40_000
 SPLIT = 8
+#: Windows whose anchors are found at once; far fewer than ``_POS``.
+BLOCK = 1 << 20
 _POS = np.uint64((1 << 28) - 1)
 _PAD = 0xFF  # never a byte of UTF-8
 
@@ -45,13 +47,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
     """Anchor positions in ``data``, their rows and their gram hashes.
 
     Every ``window`` bytes of a text hold the rightmost of their smallest gram
-    hashes as an anchor.
+    hashes as an anchor.  BLOCK windows are handled at once, so a text of any
+    length takes bounded memory and no position outgrows ``_POS``.
     """
-    n = len(data)
-    none = np.empty(0, np.int64)
-    if n < window:
+    starts = len(data) - window + 1
+    if starts < 1:
+        none = np.empty(0, np.int64)
         return none, none, none.astype(np.uint64)
-    code = data.astype(np.uint64) + np.uint64(1)
+    found = [_anchors(data, offsets, a, min(a + BLOCK, starts), window, gram) for a in range(0, starts, BLOCK)]
+    at, code = (np.concatenate(x) for x in zip(*found))
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1]
+    at, code = at[new], code[new]
+    return at, np.searchsorted(offsets, at, side="right") - 1, code
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray, first: int, last: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor and its gram hash of each window that starts in data[first:last]."""
+    code = data[first : last + window - 1].astype(np.uint64) + np.uint64(1)
     done, factor = 1, 0xD6E8FEB86659FD93
     while done < gram:
         step = min(done, gram - done)
@@ -70,16 +83,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
         size *= 2
     if size < span:
         low = np.minimum(low[: len(low) - (span - size)], low[span - size :])
-    length = np.diff(offsets)
-    row = np.repeat(np.arange(len(length)), length)[: len(low)]
-    inside = offsets[1:][row] - np.arange(len(low)) >= window
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.clip(offsets, first, last)))
+    inside = offsets[1:][row] - np.arange(first, last) >= window
     at = (_POS - (low[inside] & _POS)).astype(np.int64)
-    if not len(at):
-        return none, none, none.astype(np.uint64)
     new = np.ones(len(at), bool)
     new[1:] = at[1:] != at[:-1]
     at = at[new]
-    return at, np.searchsorted(offsets, at, side="right") - 1, code[at]
+    return at + first, code[at]
 
 
 def _segment(text: bytes, at: int, window: int, gram: int) -> tuple[bytes, int]:
