@@ -1,12 +1,13 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from wirefold.llm import repeat_index
-from wirefold.llm.repeat_index import remove_repeats
+from wirefold.llm import registry, repeat_index
+from wirefold.llm.repeat_index import remove_repeats, repeated_words
 
 SCHEMA = "doc_id long, text string, n_bytes string, pos string"
 
@@ -80,3 +81,38 @@ def test_anchors_beyond_the_position_bits(monkeypatch):
         inside = at[row == i] - offsets[i]
         starts = np.arange(len(text) - 60 + 1)
         assert (np.searchsorted(inside, starts + 60 - 8, side="right") > np.searchsorted(inside, starts)).all()
+
+
+def brute_words(texts, passage):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    count = Counter(tuple(w[i : i + passage]) for w in words for i in range(len(w) - passage + 1))
+    out = []
+    for w in words:
+        hit = [i for i in range(len(w) - passage + 1) if count[tuple(w[i : i + passage])] > 1]
+        out.append(len({j for i in hit for j in range(i, i + passage)}))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "limit"), [(1, 40_000), (3, 3)])
+def test_repeated_words_against_brute_force(spark, seed, limit):
+    texts = [*made_texts(seed), "a b " * 20, "x\n" * 9 + " y z", "x " * 8]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    k0, k1 = repeat_index._keys()
+    found = {(r.k0, r.k1): r.n_repeat_words for r in repeated_words(frame, passage=9, gram=8, limit=limit).collect()}
+    got = {r.doc_id: found.get((r.k0, r.k1), 0) for r in frame.select("doc_id", k0.alias("k0"), k1.alias("k1")).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_words(texts, 9)
+
+
+def test_short_passage_of_many_words(spark, tmp_path):
+    """52 words in under 400 bytes lose nothing, but are counted, repeated rows and nulls included."""
+    rng = random.Random(7)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 6))) for _ in range(n))
+    passage = prose(52)
+    assert len(passage) < 400
+    texts = [f"{prose(90)} {passage} {prose(80)}", f"{passage}\n{prose(100)}", prose(200), None, "", prose(50)]
+    rows = [*enumerate(texts), (6, texts[5]), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in registry.op10_repeat_index(spark, str(tmp_path)).collect()}
+    assert {i: r.n_repeat_words for i, r in got.items()} == {0: 52, 1: 52, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, None: 0}
+    assert [got[i].n_removed for i in range(7)] == [0] * 7
+    assert got[0].n_bytes == len(texts[0])

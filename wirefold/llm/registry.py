@@ -60,10 +60,16 @@ def op8_ngram_join(spark, sf_dir):
 
 
 def op10_repeat_index(spark, sf_dir):
-    from .repeat_index import remove_repeats
-
-    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    from .common import made, release, written
+    from .repeat_index import remove_repeats, repeated_words
+
+    docs, before = table(spark, sf_dir, "documents").select("doc_id", "text"), made()
+    words = written(repeated_words(docs), "repeat-words")
+    release(spark, before, keep=1)
+    k0, k1 = F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")
+    out = remove_repeats(docs.withColumn("k0", k0).withColumn("k1", k1)).join(words, ["k0", "k1"], "left")
+    words = F.coalesce("n_repeat_words", F.lit(0).cast("long")).alias("n_repeat_words")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", words)
 
 
 def op1_pivot_index(spark, sf_dir):

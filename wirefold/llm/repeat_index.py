@@ -22,7 +22,7 @@ unbounded one.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, extended, mapped, written
-from .textvec import complete_groups, mix, sliced, view
+from .textvec import complete_groups, mix, powers, separated, sliced, view
 
 WINDOW = 400
 GRAM = 32
@@ -41,6 +41,10 @@ SPLIT = 8
 BLOCK = 1 << 20
 _POS = np.uint64((1 << 28) - 1)
 _PAD = 0xFF  # never a byte of UTF-8
+#: Words of a passage, and bytes (of seven bits) that stand for one word.
+PASSAGE = 51
+CODE = 6
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,13 +106,17 @@ def _code(*parts: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
 
 
-def listed(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(k0, k1, text) to one row per anchor; ``seg`` identifies its context."""
+def listed(texts: DataFrame, window: int, gram: int, code: Callable | None = None) -> DataFrame:
+    """(k0, k1, text) to one row per anchor; ``seg`` identifies its context.
+
+    ``code`` puts other bytes in the place of a column of texts.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            data, offsets = view(batch.column("text"))
-            at, row, code = anchors(data, offsets, window, gram)
+            texts = batch.column("text")
+            data, offsets = view(code(texts) if code else texts)
+            at, row, grams = anchors(data, offsets, window, gram)
             if not len(at):
                 continue
             whole, start, end = data.tobytes(), offsets[row], offsets[row + 1]
@@ -118,7 +126,7 @@ def listed(texts: DataFrame, window: int, gram: int) -> DataFrame:
             seg = np.frombuffer(b"".join([blake(whole[a:b], digest_size=8, salt=c).digest() for a, b, c in zip(low.tolist(), high.tolist(), left.astype("<u8").view("S8").tolist())]), np.int64)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(code.view(np.int64)), pa.array(seg), batch.column("k0").take(take), batch.column("k1").take(take),
+                [pa.array(grams.view(np.int64)), pa.array(seg), batch.column("k0").take(take), batch.column("k1").take(take),
                  pa.array((at - start).astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(size.astype(np.int32))],
                 ["anchor", "seg", "k0", "k1", "pos", "left", "size"],
             )
@@ -292,23 +300,17 @@ def _split(entries: DataFrame, window: int) -> DataFrame:
     return mapped(entries, cut, f"{_ENTRY}, parent_gkey long, parent long")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: int = LIMIT) -> DataFrame:
-    """Adds n_bytes, n_removed, n_spans, kept_sha256 and kept_text to every document.
+def _keys() -> tuple[F.Column, F.Column]:
+    """Two hashes that stand for a text."""
+    return F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")
 
-    Texts are UTF-8 bytes (null: empty, kept_text empty).  A byte is removed
-    if a string of ``window`` bytes that covers it also starts anywhere else,
-    in this or another text; overlaps count and all is judged on the input.
-    Texts shorter than ``window`` lose nothing.  Repeated rows count as
-    separate texts.  kept_text is the rest as a binary column (a cut may fall
-    within a character).  Input columns of the added names, and of ``_k0``
-    and ``_k1``, are replaced; an empty table stays empty.
+
+def _spans(texts: DataFrame, window: int, gram: int, limit: int, code: Callable | None = None) -> DataFrame:
+    """Byte spans (_k0, _k1, _spans) that repeated windows cover in (k0, k1, text); they may overlap.
+
+    With ``code`` they are those of the bytes that it puts in a text's place.
     """
-    added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-    docs = docs.drop(*added, "_k0", "_k1")
-    k0, k1 = F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")
-    long = F.octet_length("text") >= window
-    texts = docs.where(long).select(k0.alias("k0"), k1.alias("k1"), "text")
-    places = written(listed(texts, window, gram), "repeat-places")
+    places = written(listed(texts, window, gram, code), "repeat-places")
     rep = F.struct("k0", "k1", "pos", "left", "size")
     segs = places.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(rep).alias("at"))
     segs = written(segs, "repeat-segments")
@@ -324,7 +326,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limi
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             out = []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
+            texts = batch.column("text")
+            for text, places in zip((code(texts) if code else texts).to_pylist(), batch.column("places").to_pylist()):
                 raw = text.encode()
                 for p in places:
                     context, left = _segment(raw, p["pos"], window, gram)
@@ -348,7 +351,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limi
     single = several.where("copies = 1").join(marks, ["anchor", "seg"])
     single = single.select("k0", "k1", (F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("after")).alias("b"))
     spans = whole.distinct().unionByName(single).groupBy("k0", "k1").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
-    spans = written(spans.withColumnsRenamed({"k0": "_k0", "k1": "_k1"}), "repeat-spans")
+    return written(spans.withColumnsRenamed({"k0": "_k0", "k1": "_k1"}), "repeat-spans")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: int = LIMIT) -> DataFrame:
+    """Adds n_bytes, n_removed, n_spans, kept_sha256 and kept_text to every document.
+
+    Texts are UTF-8 bytes (null: empty, kept_text empty).  A byte is removed
+    if a string of ``window`` bytes that covers it also starts anywhere else,
+    in this or another text; overlaps count and all is judged on the input.
+    Texts shorter than ``window`` lose nothing.  Repeated rows count as
+    separate texts.  kept_text is the rest as a binary column (a cut may fall
+    within a character).  Input columns of the added names, and of ``_k0``
+    and ``_k1``, are replaced; an empty table stays empty.
+    """
+    added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    docs = docs.drop(*added, "_k0", "_k1")
+    k0, k1 = _keys()
+    long = F.octet_length("text") >= window
+    spans = _spans(docs.where(long).select(k0.alias("k0"), k1.alias("k1"), "text"), window, gram, limit)
     names = docs.columns
     keyed = docs.withColumn("_k0", F.when(long, k0)).withColumn("_k1", F.when(long, k1))
     # Short and null texts meet no span: a key of their own keeps them apart.
@@ -378,6 +399,44 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limi
     return mapped(met, cut, schema)
 
 
+def word_bytes(texts: pa.Array) -> pa.Array:
+    """CODE bytes of a hash in place of each word of each text."""
+    text, starts = separated(*view(texts), 32)
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], ~_SPACE[text], [False]))))
+    start, end = edge[::2], edge[1::2]
+    up, down = powers(len(text) + 1)
+    total = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=total[1:])
+    word = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    coded = np.empty((len(word), CODE), np.uint8)
+    for i in range(CODE):
+        coded[:, i] = (word >> np.uint64(7 * i)) & np.uint64(127)
+    offsets = np.searchsorted(start, starts) * CODE
+    return pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(coded))
+
+
+def repeated_words(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, limit: int = LIMIT) -> DataFrame:
+    """(k0, k1, n_repeat_words) of the texts with a passage that also starts anywhere else.
+
+    Counts the words ``[^\\x20\\x09-\\x0D]+`` that lie in a string of
+    ``passage`` words which starts at another place too, in this or another
+    row.  The index is that of ``remove_repeats``, over word hashes of 42 bits.
+    """
+    k0, k1 = _keys()
+    texts = docs.where(F.octet_length("text") >= 2 * passage - 1).select(k0.alias("k0"), k1.alias("k1"), "text")
+    spans = _spans(texts, CODE * passage, gram, limit, word_bytes)
+    whole = lambda x: F.greatest(F.lit(0), F.floor(x["b"] / CODE) - F.ceil(x["a"] / CODE))
+
+    def joined(run: F.Column, s: F.Column) -> F.Column:
+        on = s["a"] <= run["b"]
+        a, b = F.when(on, run["a"]).otherwise(s["a"]), F.when(on, F.greatest(run["b"], s["b"])).otherwise(s["b"])
+        return F.struct(a.alias("a"), b.alias("b"), (run["n"] + F.when(on, F.lit(0)).otherwise(whole(run))).alias("n"))
+
+    none = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("n"))
+    n = F.aggregate(F.array_sort("_spans"), none, joined, lambda run: run["n"] + whole(run))
+    return spans.select(F.col("_k0").alias("k0"), F.col("_k1").alias("k1"), n.alias("n_repeat_words"))
+
+
 def _split_marks(large: DataFrame, window: int, gram: int, limit: int) -> DataFrame:
     """Marks of oversized indexes, by splitting them until they fit."""
     # Every entry of the current level, by the (gkey, entry) of the first.
