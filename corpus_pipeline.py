@@ -21,6 +21,10 @@ END_ID = 2
 #: Rows of an Arrow batch between Spark and Python.  Texts are long: Spark's
 #: 10,000 rows would hold tens of MB, several times over, in each task.
 BATCH_ROWS = 1_000
+#: Bytes of text that a task of ``token_output`` encodes at once, and of a generation
+#: of remembered pieces: less than ``token_binary``'s own, as the executors come here
+#: with their heaps grown by the stages before.
+TOKEN_BATCH, TOKEN_MEMORY = 1 << 19, 8 << 20
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -55,7 +59,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in ascending doc_id order, read back document by document."""
     _small_batches(spark)
-    return token_binary(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return token_binary(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, batch_bytes=TOKEN_BATCH, memory=TOKEN_MEMORY)
 
 
 STAGES = [

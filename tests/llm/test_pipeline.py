@@ -72,3 +72,32 @@ def test_stages_return_document_columns(spark, tmp_path):
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns
+
+
+def test_token_output_encodes_and_remembers_little_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+    import pyspark
+
+    from wirefold.llm import textvec, token_binary
+
+    class Collected(list):
+        collect = lambda self: list(self)
+
+    texts = [" ".join(f"word{(i * 977 + j) % 60000:x}" for j in range(2000)) for i in range(240)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(240)), pa.array(texts)], ["doc_id", "text"])
+    sizes, tasks, real = [], [], token_binary.column_ids
+    monkeypatch.setattr(token_binary, "column_ids", lambda e, column, w: sizes.append((column.nbytes, e, w)) or real(e, column, w))
+    monkeypatch.setattr(token_binary, "mapped", lambda rows, step, schema, keep: tasks.append(step) or Collected())
+    monkeypatch.setattr(token_binary, "read_tokens", lambda *a: None)
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})()))
+    corpus_pipeline.token_output(spark, spark.createDataFrame([(0, "a")], "doc_id long, text string"), "")
+    try:
+        (made,) = tasks[0](iter([batch]))
+        assert made["docs"].to_pylist() == [240] and made["ids"].to_pylist() == [240 + sum(len(e) for e in Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False))]
+        assert sum(n for n, *_ in sizes) >= 4_000_000 and max(n for n, *_ in sizes) <= 600_000
+        _, encoder, words = sizes[-1]
+        held = [words, encoder.first, encoder.rest]
+        assert any(x.old for x in held)  # more came than a generation holds
+        assert all(x.held <= 9 << 20 for x in held)
+    finally:
+        textvec._kept.clear()

@@ -280,7 +280,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 2048, p
         from pyspark import TaskContext
 
         encoder, part = encoder_of(tokenizer_path), TaskContext.get().partitionId()
-        words = words_of(tokenizer_path, MEMORY)
+        words = words_of(encoder, MEMORY)
         dtype = encoder.dtype if end_id <= np.iinfo(encoder.dtype).max else np.dtype("<u4")
         last = np.array([end_id], dtype).tobytes()
 

@@ -111,7 +111,7 @@ class _Units(dict):
 class Encoder:
     """Encodes whole texts with a ``tokenizers`` file, remembering pieces."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, limit: int = _Units.LIMIT) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -127,6 +127,7 @@ class Encoder:
         self.first = _Units(self.tokenizer, self.dtype, "")
         self.rest = _Units(self.tokenizer, self.dtype, " ")
         self.rest.plain = self.first
+        self.first.LIMIT = self.rest.LIMIT = limit
         self.first.line = self.rest.line = self.first.ids("\n")
 
     def encode(self, text: str) -> bytes:
@@ -261,17 +262,17 @@ def column_ids(encoder: Encoder, column: pa.Array, words: Words) -> tuple[np.nda
 KEEP = "encoders"
 
 
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, limit: int = _Units.LIMIT) -> Encoder:
     """The worker's encoder: kept, with its pieces, for the encoding tasks that follow."""
     encoders = kept(KEEP)
-    if path not in encoders:
-        encoders[path] = Encoder(path)
-    return encoders[path]
+    if (path, limit) not in encoders:
+        encoders[path, limit] = Encoder(path, limit)
+    return encoders[path, limit]
 
 
-def words_of(path: str, limit: int) -> Words:
+def words_of(encoder: Encoder, limit: int) -> Words:
     """The worker's words of an encoder, kept like it."""
-    return kept(KEEP).setdefault(f"words of {path}", Words(encoder_of(path), limit))
+    return kept(KEEP).setdefault(("words of", encoder, limit), Words(encoder, limit))
 
 
 def _open(path: str):
@@ -321,7 +322,7 @@ def _mapped(folder: str, name: str, dtype: str) -> np.ndarray | _Ranges:
     return _Ranges(system.open_input_file(at), dtype)
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, partitions: int | None = None) -> tuple[str, list[tuple[int, int, int]], int]:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, partitions: int | None = None, batch_bytes: int = BATCH_BYTES, memory: int = _Units.LIMIT) -> tuple[str, list[tuple[int, int, int]], int]:
     """Encode every whole text (null: empty) and write the files.
 
     Returns the folder, the sorted list of (partition, documents, ids) that
@@ -330,6 +331,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     text, and may lie in several partitions.  Other columns are ignored.  An
     empty table writes no files.  Ids, offsets and document ids are written
     as they come; no task holds its partition's.
+
+    A task encodes about ``batch_bytes`` of text at a time and remembers pieces
+    in generations of ``memory`` bytes; both change its memory and time only.
     """
     from tokenizers import Tokenizer
 
@@ -342,14 +346,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, words, dtype = encoder_of(tokenizer_path), words_of(tokenizer_path, _Units.LIMIT), np.dtype(f"<u{width}")
+        encoder, dtype = encoder_of(tokenizer_path, memory), np.dtype(f"<u{width}")
+        words = words_of(encoder, memory)
         part, total, rows = TaskContext.get().partitionId(), 0, 0
         where, base = _open(folder)
         names = [f"{x}-{part:05d}.bin" for x in ("ids", "offsets", "docs")]
         parts = [f"{base}/.{name}-{uuid.uuid4().hex}" for name in names]
         with ExitStack() as stack:
             ids, offsets, keys = (stack.enter_context(where.open_output_stream(x)) for x in parts)
-            for batch in sliced(batches, limit=BATCH_BYTES):
+            for batch in sliced(batches, limit=batch_bytes):
                 found, number = column_ids(encoder, batch.column(1), words)
                 upto = np.cumsum(number)
                 ids.write(np.insert(found.astype(dtype), upto, end_id).tobytes())
@@ -408,12 +413,12 @@ def read_tokens(spark, folder: str, parts: list[tuple[int, int, int]], width: in
     return mapped(table, read, schema)
 
 
-def token_binary(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, partitions: int | None = None) -> DataFrame:
+def token_binary(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, partitions: int | None = None, batch_bytes: int = BATCH_BYTES, memory: int = _Units.LIMIT) -> DataFrame:
     """Write the files and read them back: doc_id, start, n_tokens, ids_crc32.
 
     Nulls: a null text is empty (its end id remains), a null ``doc_id`` comes
     first.  Whole texts of any length are encoded; ties in ``doc_id`` keep one
     output row each; an empty table gives no rows; other columns are ignored.
     """
-    folder, parts, width = write_tokens(docs, tokenizer_path, end_id, folder, partitions)
+    folder, parts, width = write_tokens(docs, tokenizer_path, end_id, folder, partitions, batch_bytes, memory)
     return read_tokens(docs.sparkSession, folder, parts, width)
