@@ -113,3 +113,17 @@ def test_each_distinct_piece_is_looked_up_once(monkeypatch):
     monkeypatch.setattr(Encoder, "encode", None)  # no text goes piece by piece
     module.column_ids(encoder, pa.array(["the cat and the dog"] * 500), words)
     assert asked == [4]
+
+
+def test_the_driver_loads_no_tokenizer(spark, monkeypatch):
+    import tokenizers
+
+    rows = [(i, f"text {i} été", "x") for i in range(9)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(tokenizers, "Tokenizer", None)  # here; the tasks' workers have their own
+    for end in (2, 70_000):  # two bytes an id, and four
+        at = 0
+        for r, (i, text, _) in zip(sorted(token_binary(docs, PATH, end, partitions=2).collect(), key=lambda r: r.start), rows):
+            full = np.append(ids(text), np.uint32(end)).astype("<u4")
+            assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(full), zlib.crc32(full.tobytes()))
+            at += len(full)

@@ -334,19 +334,19 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
 
     A task encodes about ``batch_bytes`` of text at a time and remembers pieces
     in generations of ``memory`` bytes; both change its memory and time only.
+    Only tasks load the tokenizer, the driver does not.
     """
-    from tokenizers import Tokenizer
-
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     system, at = _open(folder)
     system.create_dir(at, recursive=True)
-    width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, dtype = encoder_of(tokenizer_path, memory), np.dtype(f"<u{width}")
+        encoder = encoder_of(tokenizer_path, memory)
+        width = 2 if encoder.dtype.itemsize == 2 and end_id < 1 << 16 else 4
+        dtype = np.dtype(f"<u{width}")
         words = words_of(encoder, memory)
         part, total, rows = TaskContext.get().partitionId(), 0, 0
         where, base = _open(folder)
@@ -369,7 +369,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
                 _publish(where, x, f"{base}/{name}")
             else:
                 where.delete_file(x)
-        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([rows]), pa.array([total])], ["part", "docs", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([rows]), pa.array([total]), pa.array([width])], ["part", "docs", "ids", "width"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     number = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -377,11 +377,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     # which agrees with their order by whole text.
     rows = rows.withColumn("_start", F.substring("text", 1, 64)).repartitionByRange(number, "doc_id", "_start")
     rows = rows.select("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    made = mapped(rows, encode, "part long, docs long, ids long", KEEP).collect()  # one row for each partition
+    made = mapped(rows, encode, "part long, docs long, ids long, width long", KEEP).collect()  # one row for each partition
     for info in system.get_file_info(fs.FileSelector(at)):
         if info.base_name.startswith(".") and not info.base_name.endswith(".crc"):
             system.delete_file(info.path)  # what lost tasks have left
-    return folder, sorted((r.part, r.docs, r.ids) for r in made if r.docs), width
+    return folder, sorted((r.part, r.docs, r.ids) for r in made if r.docs), max((r.width for r in made), default=2)
 
 
 def read_tokens(spark, folder: str, parts: list[tuple[int, int, int]], width: int) -> DataFrame:
