@@ -134,3 +134,33 @@ def test_stream(spark):
     parts = [spark.createDataFrame(p, kind) for p in (rows[::2], [*rows[1::2], (None, 5, 0, "A"), ("m", None, 1, "A"), ("m", 10**12, 2, None)], [("end", 2 * 10**12, 0, "A")])]
     got = replayed(parts, lambda s: affinity.drift(s, SMALL, "1 hour")).collect()
     assert [(r.hw_addr, r.us - 10**12, r.from_vendor, r.to_vendor) for r in got] == [("m", 132 * SECOND, "A", "B")]
+
+
+def test_halves_are_rounded_up_as_in_sql():
+    assert [affinity.percent(1, 16), affinity.percent(7, 16), affinity.percent(169, 2000), affinity.percent(1, 3)] == [6.3, 43.8, 8.5, 33.3]
+
+
+def test_queries_of_one_moment_as_in_sql():
+    import duckdb
+
+    from wirefold.plans import catalog, streams
+    from wirefold.sources.adapters import DOMAINS
+
+    rng, rows = random.Random(5), []
+    for user in range(1, 400):  # few moments, so that many queries share one
+        for _ in range(rng.choice([20, 60])):
+            day = rng.randrange(16)
+            rows.append((len(rows), user, day * 12, rng.choice((1, 2, 3) if day > 4 and user % 3 else (1, 1, 2))))
+    con = duckdb.connect()
+    values = ", ".join(f"({i}, TIMESTAMP '2024-01-01' + INTERVAL {h} HOUR, {u}, 'click', 0.0::DOUBLE, '{{\"k\": {k}}}')" for i, u, h, k in rows)
+    con.sql(f"CREATE TABLE events AS SELECT * FROM (VALUES {values}) AS e(event_id, ts, user_id, event_type, value, props)")
+    want = sorted(con.sql(catalog.oracle_sql()["t03_dns_affinity_stream"]).fetchall())
+    of = dict(streams.OWN_DOMAINS)
+    start, got = 1_704_067_200 * SECOND, []
+    for user in range(1, 400):
+        p, out = Profile(streams._LIMITS), []
+        for h, _, k in sorted((h, i, k) for i, u, h, k in rows if u == user):
+            out += p.row(start + h * 3600 * SECOND, of[DOMAINS[k]])
+        name = f"{'00' if user % 5 else 'd2'}:1a:2b:00:{user // 256:02x}:{user % 256:02x}"
+        got += [(name, *r) for r in out + p.until(10**17)]
+    assert sorted(got) == want and len(want) > 50

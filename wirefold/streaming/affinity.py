@@ -6,13 +6,15 @@ baseline vendor (most queries; ties: seen first) from its first ``least`` querie
 more over ``learn``.  Later, its baseline is displaced when another vendor leads
 with ``top`` of all queries and the baseline has lost ``early`` of them within the
 ``young`` age, ``stable`` of them after.  A young displacement is reported at
-once, a later one when it has held for ``hold``: a timer tells, whether or not
-another query comes.  It is reported once until the baseline is back.  An
+once, with the shares behind the last displaced query of that moment, a later
+one when it has held for ``hold``: a timer tells, whether or not another query
+comes.  It is reported once until the baseline is back, and once a moment.  An
 address without queries for ``forget`` is forgotten by a timer, too.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,16 +43,26 @@ class Limits:
     forget: int = 7 * 86_400 * SECOND
 
 
+def percent(part: int, total: int) -> float:
+    """To one place, halves up as SQL's ``round`` has them (6.25 is 6.3)."""
+    tenths = part * 100 / total * 10
+    return (math.floor(tenths) + (tenths % 1 >= 0.5)) / 10
+
+
 class Profile:
     """What is known of one address; rows come in time order."""
 
     def __init__(self, limits: Limits, first: int | None = None, last: int = 0, baseline: str | None = None, since: int | None = None, told: bool = False, counts: dict[str, int] | None = None) -> None:
         self.limits, self.first, self.last, self.baseline, self.since, self.told = limits, first, last, baseline, since, told
         self.counts = counts if counts is not None else {}  # in the order in which vendors were seen
+        self.quick: tuple | None = None  # a young displacement's report while its moment lasts
 
     def until(self, us: int) -> list[tuple]:
         """Time passes to ``us``, before any row of it: what becomes due."""
         due = []
+        if self.quick is not None and us > self.quick[0]:
+            due.append(self.quick)
+            self.quick = None
         if self.since is not None and not self.told and us >= self.since + self.limits.hold:
             due.append(self._report(self.since + self.limits.hold))
         if self.first is not None and us >= self.last + self.limits.forget:
@@ -73,8 +85,8 @@ class Profile:
         if top == self.baseline or gone < need or self.counts[top] / total < limits.top:
             self.since, self.told = None, False
         elif age < limits.young:
-            if not self.told:
-                out.append(self._report(us))
+            if not self.told or self.quick is not None:
+                self.quick = self._report(us)
         elif self.since is None:
             self.since = us
         return out
@@ -82,7 +94,7 @@ class Profile:
     def _report(self, us: int) -> tuple:
         total, top = sum(self.counts.values()), max(self.counts, key=self.counts.get)
         self.told = True
-        return us, self.baseline, round(self.counts[self.baseline] * 100 / total, 1), top, round(self.counts[top] * 100 / total, 1)
+        return us, self.baseline, percent(self.counts[self.baseline], total), top, percent(self.counts[top], total)
 
     def next(self) -> int | None:
         """When something becomes due without a further row."""
@@ -125,7 +137,7 @@ class Affinity(StatefulProcessor):
                 out += p.row(us, vendor)
             else:
                 later.append((us, id_, vendor))
-        out += p.until(now)
+        out += p.until(now + 1)  # all rows of ``now`` are in
         if later:
             self.waiting.put(later)
         else:
