@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,36 @@ def test_throttle_restarts_only_when_fired(spark):
     assert sorted(r.us for r in throttle.throttled(df, ["k"], "us", 10).collect()) == [0, 11, 21, 40]
 
 
+@pytest.mark.parametrize("size", [1, 3, 500])
+def test_throttle_over_batches(size):
+    rng = random.Random(size)
+    rows = sorted((rng.choice(["a", "b", None]) or "", rng.randrange(200)) for _ in range(150))
+    want, last = [], {}
+    for k, us in rows:
+        if k not in last or us - last[k] >= 7:
+            want.append((k, us))
+            last[k] = us
+    table = pa.table({"k": [k or None for k, _ in rows], "us": [us for _, us in rows]})
+    got = throttle._firing(["k"], "us", 7)(iter(table.to_batches(max_chunksize=size)))
+    assert [(r["k"] or "", r["us"]) for part in got for r in part.to_pylist()] == want
+
+
+def test_sliding_windows_without_a_frame_for_each_row(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), rng.randrange(60), rng.choice("xyz")) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, k string, us long, v string")
+    count = throttle.sliding_count(df, ["k"], "us", 10)
+    changes = throttle.sliding_changes(df, ["k"], "us", "id", "v", 10)
+    within = {i: sorted((t, j, w) for j, o, t, w in rows if o == k and us - 10 < t <= us) for i, k, us, _ in rows}
+    assert {r.id: r.n for r in count.collect()} == {i: len(x) for i, x in within.items()}
+    assert {r.id: r.changes for r in changes.collect()} == {i: sum(a[2] != b[2] for a, b in zip(x, x[1:])) for i, x in within.items()}
+    arp_rows = arp(spark, [("00:00:00:00:00:01", "10.0.0.7", 2, 0)])
+    known = spark.createDataFrame([], "hw_addr string")
+    for out in (count, changes, detect.flip_flops(arp_rows, known), detect.gratuitous_bursts(arp_rows, known)):
+        # A frame that is open behind is one running pass; a bounded one is gone through again for each row.
+        assert "RangeFrame, -" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_hostnames(spark):
     good = ["alice-pc", "nas", "DESKTOP-4F2K", "my.home", "tv-2"]
     bad = ["", None, "10.0.0.1", "_airplay", "x._tcp.local", "a.b.example.com", "123e4567-e89b-12d3-a456-426614174000", "f80f-f9c5-49d2", "fuchsia-f80f-f9c5-49d2", "deadbeef01", "ESP_32AB12CD", "fe80::1"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import mac
+from ..sources.shared import written
 from . import throttle
 
 SECOND = 1_000_000
@@ -53,22 +54,22 @@ def gratuitous_bursts(arp: DataFrame, infra: DataFrame, window: int = BURST_WIND
 def flip_flops(arp: DataFrame, infra: DataFrame, window: int = CHANGE_WINDOW, limit: int = CHANGE_LIMIT) -> DataFrame:
     """An address that moves between hardware addresses, not all randomized."""
     out = throttle.sliding_changes(arp, ["ip_addr"], "us", "packet_id", "hw_addr", window)
-    w = Window.partitionBy("ip_addr").orderBy("us").rangeBetween(-window + 1, 0)
-    out = out.withColumn("_stable", F.max((~mac.local_bit(F.col("hw_addr"))).cast("int")).over(w))
-    out = out.where((F.col("changes") >= limit) & (F.col("_stable") == 1)).drop("_stable")
+    w = Window.partitionBy("ip_addr").orderBy("us")  # the newest row that is not randomized lies within the window
+    out = out.withColumn("_stable", F.max(F.when(~mac.local_bit(F.col("hw_addr")), F.col("us"))).over(w))
+    out = out.where((F.col("changes") >= limit) & (F.col("us") - F.col("_stable") < window)).drop("_stable")
     return out.join(infra.select("hw_addr"), "hw_addr", "left_anti")
 
 
 def limited(found: DataFrame, keys: list[str], interval: int = RATE_LIMIT) -> DataFrame:
     """One row per key and firing time: the throttle comes before suppression."""
-    fired = throttle.throttled(found, keys, "us", interval)
-    w = Window.partitionBy(*keys, "us").orderBy("packet_id")
-    first = found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return first.join(fired, [*keys, "us"])
+    return throttle.fired(found.dropna(subset=keys), keys, "us", interval, ["packet_id"])
 
 
 def arp_findings(arp: DataFrame, bindings: DataFrame, infra: DataFrame, suppressed: DataFrame, scale: int = 1) -> DataFrame:
     """All ARP rules with their severities; ``scale`` widens every window."""
+    # Several rules read both: they are made once.
+    arp = written(arp.select("packet_id", "us", "hw_addr", "ip_addr", "op", "target_ip"), "arp-rows")
+    infra = written(infra.select("hw_addr"), "arp-infra")
     parts = [
         ("gateway_impersonation", "critical", binding_violations(arp, bindings), ["ip_addr", "hw_addr"]),
         ("addr_conflict", "warning", address_conflicts(arp, bindings, CONFLICT_WINDOW * scale), ["ip_addr"]),
@@ -77,7 +78,7 @@ def arp_findings(arp: DataFrame, bindings: DataFrame, infra: DataFrame, suppress
     ]
     out = None
     for name, severity, found, keys in parts:
-        part = limited(found, keys, RATE_LIMIT * scale).select("packet_id", "hw_addr", "ip_addr", "us", F.lit(name).alias("rule"), F.lit(severity).alias("severity"))
+        part = limited(found.select("packet_id", "hw_addr", "ip_addr", "us"), keys, RATE_LIMIT * scale).select("*", F.lit(name).alias("rule"), F.lit(severity).alias("severity"))
         out = part if out is None else out.unionByName(part)
     s = F.broadcast(suppressed)  # a small configuration table
     met = (s["mac"].isNull() | (s["mac"] == out["hw_addr"])) & (s["ip"].isNull() | (s["ip"] == out["ip_addr"])) & (s["subtype"].isNull() | (s["subtype"] == out["rule"]))
