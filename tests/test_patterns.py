@@ -4,6 +4,9 @@ import random
 import re
 import struct
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +14,8 @@ from pyspark.sql import functions as F
 
 from wirefold.operators import lookups
 from wirefold.operators.banners import FIELDS, MATCHERS, identified
-from wirefold.operators.patterns import matches, required_literals
+from wirefold.operators import patterns
+from wirefold.operators.patterns import indexed, matches, required_literals
 
 KNOWN = [
     (r"^SSH-2\.0-OpenSSH_([\d.]+)", ["ssh-2.0-openssh_"]), (r"(?i)Dovecot|Cyrus", ["cyrus", "dovecot"]), (r"\d+\.\d+", ["."]), (r"[a-z]+", []), (r"ab?c", ["a"]), (r"(abc|def)+x?", ["abc", "def"]),
@@ -70,6 +74,34 @@ def test_a_thousand_rules_equal_a_full_scan(spark):
     assert matches(frame, "banner", table.limit(0), lookups.bounded).collect() == []
 
 
+def test_rules_share_a_key_only_if_they_share_a_literal(spark):
+    rules = spark.range(5000).select(F.col("id").alias("priority"), F.concat(F.lit("^(?:server|SRV) item-"), F.col("id").cast("string"), F.lit("/?$")).alias("pattern"))
+    index = indexed(rules)
+    # By three characters up to 14 of these rules had the same key.
+    assert index.groupBy(index.columns[-1]).count().agg(F.max("count")).first()[0] == 1
+    texts = spark.range(0, 6000, 10).select(F.concat(F.lit("SRV item-"), F.col("id").cast("string")).alias("banner"))
+    assert sorted(r.priority for r in matches(texts, "banner", rules, lookups.bounded).collect()) == list(range(0, 5000, 10))
+
+
+@pytest.mark.parametrize("limit", [1, 40, 1 << 20])
+def test_keys_of_texts(limit, monkeypatch):
+    monkeypatch.setattr(patterns, "BYTES", limit)
+    monkeypatch.setattr(patterns, "ROWS", min(limit, 50))
+    grams = ["", "a", "bc", "-12", "part-1", "part-12", "é", "sixteen letters!"]
+    sizes = sorted({len(g.encode()) for g in grams})
+    key = {g: int(np.array([patterns._key.func(pd.Series([g]))[0]])[0]) for g in grams if g.isascii()}
+    texts = ["part-12 part-1", None, "", "abc", "x" * 100 + "bc", "é-12", "sixteen letters!!", "b", "c", "bcbc"] * 3
+
+    class Shared:
+        value = np.full(1 << 10, (1 << 64) - 1, np.uint64)  # lets everything through
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts) + 2)), pa.array(["q", *texts, "q"])], ["id", "_low"]).slice(1, len(texts))
+    got = [(r["id"] - 1, r["_key"]) for part in patterns._keyed(sizes, Shared, 16)(iter([batch])) for r in part.to_pylist()]
+    assert len(got) == len(set(got))
+    for g, k in key.items():
+        assert sorted(i for i, x in got if x == k) == [i for i, t in enumerate(texts) if t is not None and g in t]
+
+
 def status(name, value):
     body = name + b"\0" + value + b"\0"
     return b"S" + struct.pack(">I", len(body) + 4) + body
